@@ -163,12 +163,14 @@ def distinct_by_text(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     """The sorted distinct values of each text."""
     if not len(values):
         return values, off
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    values, at = values.copy(), off.tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    return values[keep], np.searchsorted(text[keep], np.arange(len(off)))
+    keep[1:] = values[1:] != values[:-1]
+    keep[off[:-1][off[:-1] < off[1:]]] = True
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return values[keep], upto[off]
 
 
 def binaries(values: np.ndarray, off: np.ndarray) -> pa.BinaryArray:

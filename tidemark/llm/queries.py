@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, topk, url_filter
+from . import language_id, licenses, minhash, packing, quality, substring, topk, url_filter
 from .common import table
 
 #: Path of the tokenizer files; None takes the installed ones.
@@ -26,6 +26,15 @@ SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets",
 LISTED = [f"{name}.example.{top}" for name in SPAM_NAMES for top in ("com", "net", "org")]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES, listed)
@@ -35,19 +44,32 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), span=20)
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
+        "op2_minhash": op2_minhash,
         "op3_url_filter": op3_url_filter,
         "op4_pack": op4_pack,
+        "op5_repeats": op5_repeats,
         "op6_top_k": op6_top_k,
+        "op9_quality": op9_quality,
         "op10_licenses": op10_licenses,
     }
 
