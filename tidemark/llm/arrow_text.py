@@ -64,8 +64,8 @@ class Words:
 
     __slots__ = ("data", "ends", "off", "starts", "text_off", "value")
 
-    def __init__(self, column: pa.Array, table: tuple[np.ndarray, np.ndarray], cut: tuple[np.ndarray, np.ndarray] | None = None):
-        """cut: the kind (below 8) of each byte, and by 8 * kind + next kind whether words are also cut between them."""
+    def __init__(self, column: pa.Array, table: tuple[np.ndarray, np.ndarray], cut: np.ndarray | None = None):
+        """cut[a, b]: whether words are also cut between neighbouring bytes a and b."""
         self.value, in_word = table
         self.data, self.text_off = buffers(column)
         inside = in_word[self.data]
@@ -79,9 +79,7 @@ class Words:
             edge = self.text_off[1:][filled] - 1
             last[edge] |= inside[edge]
             if cut is not None:
-                kind, between = cut
-                kinds = kind[self.data]
-                at = between[kinds[:-1] * np.uint8(8) + kinds[1:]]
+                at = cut[self.data[:-1], self.data[1:]] & inside[:-1] & inside[1:]
                 first[1:] |= at
                 last[:-1] |= at
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1

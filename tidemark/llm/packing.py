@@ -20,41 +20,37 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .arrow_text import Words, buffers, byte_table, slices
 from .common import written
+from .word_table import WordTable, run_binaries
 
 DIMS, BITS, HASHED = 3, 10, 256
 #: Blanks at which a text may be cut without changing any token: no pre-token holds one.
 SAFE = byte_table(b" \t\n\r", lower=False)
 #: The tokenizer lower-cases, so words that differ in case share their ids.
 FOLDED = byte_table(b" \t\n\r", lower=True)
-#: Words that a worker remembers with their ids.
-REMEMBERED = 700_000
 
 
-def _inner_cuts() -> tuple[np.ndarray, np.ndarray]:
+def _inner_cuts() -> np.ndarray:
     """Cuts inside words that are pre-token ends whatever stands around them.
 
     A digit is a pre-token of its own, and letters and punctuation part, if both bytes are ASCII.
     Next to an apostrophe (which may start a contraction) or a non-ASCII byte nothing is cut.
     """
-    blank, letter, digit, mark, other = range(5)
-    kind = np.full(256, other, np.uint8)
+    kind = np.zeros(256, np.uint8)
     for b in range(33, 127):
-        kind[b] = letter if chr(b).isalpha() else digit if chr(b).isdigit() else other if chr(b) == "'" else mark
-    kind[list(b" \t\n\r")] = blank
-    between = np.zeros(64, bool)
-    for a, b in ((letter, mark), (mark, letter), (letter, digit), (digit, letter), (mark, digit), (digit, mark), (digit, digit)):
-        between[8 * a + b] = True
-    return kind, between
+        kind[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 0 if chr(b) == "'" else 3
+    known = (kind[:, None] > 0) & (kind[None, :] > 0)
+    return known & ((kind[:, None] != kind[None, :]) | (kind[:, None] == 2))
 
 
 INNER = _inner_cuts()
 
 
-class WordTokens:
-    """Ids of words, each distinct word tokenized once; forgotten as a whole when full, so memory is bounded."""
+class WordTokens(WordTable):
+    """Ids of words by a `tokenizers` file, and the projected hash vector of each word."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,66 +59,36 @@ class WordTokens:
         self.model = Tokenizer.from_file(path)
         self.end_id = end_id
         self.projection = np.random.default_rng(20).standard_normal((HASHED, DIMS)).astype(np.float32)
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.off = np.zeros(1 << 12, np.int64)
-        self.len = np.zeros(1 << 12, np.int64)
+        super().forget()
         self.vec = np.zeros((1 << 12, DIMS), np.float32)
-        self.ids = np.zeros(1 << 14, np.uint32)
-        self.used = 1
-        self.ids[0], self.len[0] = self.end_id, 1  # slot 0 ends a document
-        self.n = 1
-
-    def _grow(self, name: str, need: int) -> None:
-        a = getattr(self, name)
-        if len(a) < need:
-            wide = np.zeros((max(need, 2 * len(a)), *a.shape[1:]), a.dtype)
-            wide[: len(a)] = a
-            setattr(self, name, wide)
+        self.ids[0], self.len[0], self.n, self.used = self.end_id, 1, 1, 1  # slot 0 ends a document
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        from xxhash import xxh64_intdigest
-
-        got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        total, to = int(length.sum()), self.n + len(got)
-        for name, need in (("off", to), ("len", to), ("vec", to), ("ids", self.used + total)):
-            self._grow(name, need)
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
-        self.len[self.n : to] = length
-        self.off[self.n : to] = self.used + np.cumsum(length) - length
-        h = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        first = self.n
+        super().learn(words)
+        self.grown("vec", self.n)
+        h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
         sign = np.where(h >> np.uint64(63), -1, 1).astype(np.float32)
-        self.vec[self.n : to] = self.projection[h % np.uint64(HASHED)] * sign[:, None]
-        for i, w in enumerate(words, self.n):
-            self.slot[w] = i
-        self.n, self.used = to, self.used + total
+        self.vec[first : self.n] = self.projection[h % np.uint64(HASHED)] * sign[:, None]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with the end id after each, their offsets, and the projected vectors."""
         plain = b"<|" in memoryview(buffers(column)[0]).tobytes()  # a special token may stand in the text
         words = Words(column, SAFE) if plain else Words(column, FOLDED, INNER)
-        coded = words.array().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > REMEMBERED and self.slot:
-            self.forget()
-        if new := [w for w in distinct if w not in self.slot]:
-            self.learn(new)
-        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
-        each = slot[np.asarray(coded.indices, np.int64)] if len(words) else np.zeros(0, np.int64)
+        each = self.slots(words)
         n = np.diff(words.off)
         vec = np.zeros((len(n), DIMS))
         if full := np.flatnonzero(n).tolist():
             vec[full] = np.add.reduceat(self.vec[each], words.off[:-1][full], axis=0)
         vec /= np.maximum(n, 1)[:, None]
-        each = np.insert(each, words.off[1:], 0)
-        length = self.len[each]
-        upto = np.cumsum(length)
-        ids = self.ids[np.repeat(self.off[each] - (upto - length), length) + np.arange(upto[-1])]
-        off = np.concatenate([[0], upto[words.off[1:] + np.arange(len(n))]])
-        return ids, off, vec
+        ids, to = self.gathered(np.insert(each, words.off[1:], 0))
+        return ids, np.concatenate([[0], to[1:][words.off[1:] + np.arange(len(n))]]), vec
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -169,8 +135,7 @@ def _tokenized(tokenizer: str, end_id: int):
         model, row = _models[key], TaskContext.get().partitionId() << 33
         for part in slices(batches, "text"):
             ids, off, vec = model.encode(part.column(1))
-            size = np.dtype("<u2" if model.model.get_vocab_size() <= 1 << 16 else "<u4")
-            packed = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((off * size.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(size))])
+            packed = run_binaries(ids, off, "<u2" if model.model.get_vocab_size() <= 1 << 16 else "<u4")
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column(0), pa.array(curve_key(vec)), pa.array(np.diff(off)), packed], schema=schema)
             row += part.num_rows
 

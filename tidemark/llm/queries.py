@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, minhash, packing, quality, substring, topk, url_filter
+from . import imatch, language_id, licenses, minhash, packing, pieces, quality, substring, topk, url_filter
 from .common import table
 
 #: Path of the tokenizer files; None takes the installed ones.
@@ -52,6 +52,14 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +77,8 @@ def queries() -> dict:
         "op4_pack": op4_pack,
         "op5_repeats": op5_repeats,
         "op6_top_k": op6_top_k,
+        "op7_pieces": op7_pieces,
+        "op8_imatch": op8_imatch,
         "op9_quality": op9_quality,
         "op10_licenses": op10_licenses,
     }
