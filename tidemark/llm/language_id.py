@@ -206,28 +206,46 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 260) -
     return fit([p[0] for p in pairs], [p[1] for p in pairs], steps) if pairs else None
 
 
+def _pooled(model: ByteGru, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text and its mean probability over all bytes."""
+    data, off = buffers(text)
+    x, inside, of = windows(data, off, WINDOW)
+    total = np.zeros((len(off) - 1, len(model.languages)))
+    for s in range(0, x.shape[1], 4096):
+        np.add.at(total, of[s : s + 4096], model.positions(x[:, s : s + 4096], inside[:, s : s + 4096]))
+    mean = total / np.maximum(np.diff(off), 1)[:, None]
+    best = mean.argmax(1)
+    return best, np.minimum(mean[np.arange(len(best)), best], 1.0)
+
+
 def _predicted(held):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for part in slices(batches, "text", 1 << 19):
-            data, off = buffers(part.column(1))
-            x, inside, text = windows(data, off, WINDOW)
-            total = np.zeros((part.num_rows, len(model.languages)))
-            for s in range(0, x.shape[1], 4096):
-                np.add.at(total, text[s : s + 4096], model.positions(x[:, s : s + 4096], inside[:, s : s + 4096]))
-            mean = total / np.maximum(np.diff(off), 1)[:, None]
-            best = mean.argmax(1)
-            blank = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool) | (np.diff(off) == 0)
+            best, score = _pooled(model, part.column(1))
+            blank = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool)
             names = np.array(model.languages, object)[best]
             names[blank] = "und"
-            score = np.where(blank, 0.0, np.minimum(mean[np.arange(len(best)), best], 1.0))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(np.where(blank, 0.0, score))], schema=schema)
 
     return run
 
 
+def _spoken(held, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 19):
+            yield part.filter(pa.array(_pooled(held.value, part.column(part.schema.get_field_index("text")))[1] >= least))
+
+    return run
+
+
+def keep_spoken(docs: DataFrame, model: ByteGru, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a letter and a language with a score of `least` or more."""
+    return docs.filter(F.col("text").rlike(r"\p{L}")).mapInArrow(_spoken(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
+
+
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of `docs`, from whole texts.
 

@@ -175,3 +175,17 @@ def score(docs: DataFrame, model: Bags | None, threshold: float = 0.3) -> DataFr
         held = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed size
         out = source.mapInArrow(_scored(held), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _good(held, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            x, to = features(*buffers(part.column(part.schema.get_field_index("text"))))
+            yield part.filter(pa.array(held.value.forward(x, to)[-1] >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: Bags | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns, that score `threshold` or more; all rows without a model."""
+    return docs if model is None else docs.mapInArrow(_good(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
