@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import daily
+
+PLANS = (daily,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PLANS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for p in PLANS for k, q in p.ORACLE.items()}
