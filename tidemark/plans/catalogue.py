@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily
+from . import daily, scores, texts
 
-PLANS = (daily,)
+PLANS = (daily, texts, scores)
 
 
 def queries() -> dict:

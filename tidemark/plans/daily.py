@@ -182,7 +182,7 @@ def bars_ohlc(spark, sf):
 
 
 def adjusted_bars(spark, sf):
-    return tidy(bars.adjusted(world(spark, sf)[0], F.when(F.dayofmonth("d") % 7 != 0, 1 - F.dayofmonth("d") / 1000.0)).select("symbol", "d", "o", "h", "l", "c"))
+    return tidy(bars.adjusted(world(spark, sf)[0], F.when(F.dayofmonth("d") % 7 != 0, 1 - F.dayofmonth("d") / 997.0)).select("symbol", "d", "o", "h", "l", "c"))
 
 
 def realised_var(spark, sf):
@@ -271,7 +271,7 @@ ORACLE = {
     "next_business_day": sql("bars cal", "d:d nbd:d", "select d, cast(d + case isodow(d) when 5 then 3 when 6 then 2 else 1 end as date) as nbd from cal"),
     "event_window_mean": sql("bars", "symbol d:d u_1d:f u_5d:f u_10d:f", RV + ";; select symbol, d, " + ", ".join(f"case when count(ln(rv)) over w{h} = {h} then avg(ln(rv)) over w{h} end as u_{h}d" for h in (1, 5, 10)) + " from rv window " + ", ".join(f"w{h} as (partition by symbol order by d rows between 1 following and {h} following)" for h in (1, 5, 10))),
     "bars_ohlc": sql("bars", "symbol d:d o:f h:f l:f c:f v:f", "select * from bars where v > 0"),
-    "adjusted_bars": sql("bars", "symbol d:d o:f h:f l:f c:f", "select symbol, d, o * f as o, h * f as h, l * f as l, c * f as c from (select *, case when day(d) % 7 <> 0 then 1 :: double - day(d) / 1000.0 :: double else 1.0 :: double end as f from bars)"),
+    "adjusted_bars": sql("bars", "symbol d:d o:f h:f l:f c:f", "select symbol, d, o * f as o, h * f as h, l * f as l, c * f as c from (select *, case when day(d) % 7 <> 0 then 1 :: double - day(d) / 997.0 :: double else 1.0 :: double end as f from bars)"),
     "realised_var": sql("bars", "symbol d:d ret:f overnight:f park_var:f rv:f rv_target:f", f"{RV} ;; select * from rv"),
     "har_features": sql("bars", "symbol d:d lrv_d:f lrv_w:f lrv_m:f dow:i", f"""{RV} ;; select symbol, d, ln(rv) as lrv_d, case when count(rv) over a = 5 then ln(avg(rv) over a) end as lrv_w, case when count(rv) over b = 22 then ln(avg(rv) over b) end as lrv_m, isodow(d) - 1 as dow from rv
       window a as (partition by symbol order by d rows 4 preceding), b as (partition by symbol order by d rows 21 preceding)"""),

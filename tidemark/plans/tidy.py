@@ -15,7 +15,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("date", "timestamp"):
             c = c.cast("string")
         elif kind in ("double", "float"):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), 6) + 0.0  # no negative zero
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         out.append(c.alias(name))
@@ -27,7 +27,7 @@ def sql(views: str, columns: str, body: str) -> str:
     chosen = []
     for c in columns.split():
         name, _, kind = c.partition(":")
-        chosen.append({"d": f"cast({name} as varchar) as {name}", "f": f"round(cast({name} as double), 6) as {name}", "i": f"cast({name} as bigint) as {name}"}.get(kind, name))
+        chosen.append({"d": f"cast({name} as varchar) as {name}", "f": f"round(cast({name} as double), 6) + 0.0 as {name}", "i": f"cast({name} as bigint) as {name}"}.get(kind, name))
     head = [SQL[v] for v in views.split()]
     extra, _, last = body.strip().rpartition(";;")
     if extra.strip():
