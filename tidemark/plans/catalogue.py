@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, scores, texts
+from . import daily, networks, scores, texts
 
-PLANS = (daily, texts, scores)
+PLANS = (daily, texts, scores, networks)
 
 
 def queries() -> dict:
