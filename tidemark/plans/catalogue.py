@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, networks, scores, texts
+from . import daily, networks, scores, streams, texts
 
-PLANS = (daily, texts, scores, networks)
+PLANS = (daily, texts, scores, networks, streams)
 
 
 def queries() -> dict:
