@@ -69,10 +69,10 @@ def followed_within(rows: DataFrame, later: DataFrame, by: str, days: int = 15)
 
 def fan_out(calls: DataFrame, cal: DataFrame, by: str, horizon: int, order: list[str]) -> DataFrame:
     """Each call lives on its row and the next `horizon - 1` rows; of several on a row the last by `order` counts."""
-    placed = asof_backward(calls, cal).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn("seq", F.col("row_seq") + F.col("k"))
+    placed = asof_backward(calls, cal).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn("seq", F.col("row_seq") + F.col("_k"))
     last = Window.partitionBy(by, "seq").orderBy(*[F.desc(c) for c in order])
     live = placed.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r", "d", "row_d", "row_seq")
-    return live.join(cal, "seq").withColumn("days_since", F.col("k").cast("long"))
+    return live.join(cal, "seq").withColumn("days_since", F.col("_k").cast("long")).drop("_k")
 
 
 def cluster_starts(days: DataFrame, by: str, gap: int = 5) -> DataFrame:

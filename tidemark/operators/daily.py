@@ -96,6 +96,6 @@ def carried(daily: DataFrame, by: str, value: str, weight: str, window: int = 30
 
     Each day is expanded to the days it reaches, then combined: linear in the number of days.
     """
-    reach = daily.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("day", F.date_add("d", F.col("k")))
-    fade = F.pow(F.lit(2.0), -F.col("k") / F.lit(half_life)) * F.col(weight)
-    return reach.groupBy(by, F.col("day").alias("d")).agg(F.try_divide(F.sum(fade * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), fade))).alias("carry"))
+    reach = daily.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("_day", F.date_add("d", F.col("_lag")))
+    fade = F.pow(F.lit(2.0), -F.col("_lag") / F.lit(half_life)) * F.col(weight)
+    return reach.groupBy(by, F.col("_day").alias("d")).agg(F.try_divide(F.sum(fade * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), fade))).alias("carry"))

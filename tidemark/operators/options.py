@@ -71,7 +71,7 @@ SLICE = "date date, expiry date, days int, F double, atm double, iv95 double, iv
 def surface(chain: DataFrame, rate: float = RATE) -> DataFrame:
     """One row for each date and expiry with at least two quotes that have an implied volatility. Groups hold one day's strikes of an expiry."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf.days.to_numpy() / 365.0
         iv = nm.implied_vol(pdf.close.to_numpy(), pdf.F.to_numpy(), pdf.strike.to_numpy(), t, rate, (pdf.cp == "call").to_numpy())
         ok = np.isfinite(iv)

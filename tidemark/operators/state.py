@@ -25,7 +25,7 @@ def keep_apart(rows: DataFrame, by: str, days: int = 20, known: DataFrame | None
         return F.struct(F.when(new, x["d"]).otherwise(acc["last"]).alias("last"), kept.alias("kept")).cast(kind)
 
     g = all_.groupBy(by).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return g.select(by, F.explode(F.aggregate("rows", start.cast(kind), step)["kept"]).alias("k")).select(by, "k.d", "k.path")
+    return g.select(by, F.explode(F.aggregate("rows", start.cast(kind), step)["kept"]).alias("_x")).select(by, "_x.d", "_x.path")
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str, model: str) -> DataFrame:

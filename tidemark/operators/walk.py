@@ -28,7 +28,7 @@ def ols(rows: DataFrame, by: str, target: str, features: list[str], base: str, f
     """
     dated = rows.select(by, "d", target, base, *features).dropna(subset=[*features, base])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         past = pdf[(pdf.t < key[1]) & pdf[target].notna()]
         now = pdf[pdf.t >= key[1]]
@@ -65,7 +65,7 @@ def by_year(rows: DataFrame, target: str, features: list[str], kind: str = "ols"
     years = y.select(F.col("year").alias("of")).distinct()
     paired = y.join(years, F.col("year") <= F.col("of"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         past, now = pdf[pdf.year < key[0]].sort_values("id"), pdf[pdf.year == key[0]]
         if len(past) < least:
             return pd.DataFrame({"id": [], "p": []})
@@ -81,7 +81,7 @@ def by_year(rows: DataFrame, target: str, features: list[str], kind: str = "ols"
 def garch(returns: DataFrame, by: str, first: int = 500, size: int = 21, asymmetric: bool = False, steps: int = 200) -> DataFrame:
     """(by, d, h): one-step variances, with parameters fitted on the rows before each block."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         r, past = pdf.ret.to_numpy(float), int((pdf.t < key[1]).sum())
         p = nm.garch_fit(r[:past], asymmetric, steps)
@@ -109,7 +109,7 @@ def rolling_connectedness(panel: DataFrame, nodes: list[str], window: int = 250,
     ends = panel.sparkSession.range(window - 1, last + 1, step).select(F.col("id").alias("end"))
     rows = t.withColumn("end", F.explode(F.expr(f"filter(sequence(0, {window - 1}), k -> (t + k - {window - 1}) % {step} = 0 and t + k <= {last} and t + k >= {window - 1})"))).withColumn("end", F.col("t") + F.col("end"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         theta = nm.gfevd(pdf[nodes].to_numpy(float), horizon)
         return pd.DataFrame({"d": [pdf.d.iloc[-1]], "total": [100 * (1 - np.trace(theta) / len(nodes))]})
