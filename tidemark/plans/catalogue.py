@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, networks, scores, streams, texts
+from . import daily, inferences, networks, scores, streams, texts
 
-PLANS = (daily, texts, scores, networks, streams)
+PLANS = (daily, texts, scores, networks, streams, inferences)
 
 
 def queries() -> dict:
