@@ -9,9 +9,10 @@ common band with probability 5e-8.
 
 No group is expanded into all pairs. Equal shingle sets are one class from the start. In a band's
 bucket each class meets the bucket's least and greatest class only; the confirmed links are closed
-into components. Buckets that still hold several components then compare, by sketch and in blocks of
-bounded size, only classes outside the bucket's main component with the others, and a pair only if
-it is not in one component yet: this finds every other link.
+into components. Buckets that still hold several components then compare, in blocks of bounded size, only
+classes outside the bucket's main component with the others: by sketch, then on the full sets, best
+estimates first and only while the two are not in one component. This finds every other link that
+joins components, and only such links leave the task.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BUCKETS = BANDS * ROWS
 #: How far below the threshold an estimate may lie (six standard deviations at 128 buckets).
 MARGIN = 0.22
 #: Rows of a block outside the main component, and of one of all rows.
-REST_BLOCK, ALL_BLOCK, GROUP_ROWS = 256, 2048, 20_000
+REST_BLOCK, ALL_BLOCK, GROUP_ROWS = 64, 1024, 1000
 _rng = np.random.default_rng(42)
 _FLIP = _rng.integers(0, 2**63, BUCKETS, dtype=U64)
 _MULT = _rng.integers(0, 2**62, BUCKETS, dtype=U64) * U64(4) + U64(1)
@@ -127,36 +128,51 @@ def _confirmed(num: int, den: int):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
+                shared = _shared(x, y)
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return run
 
 
-def _block_pairs(least: float):
-    """Candidate pairs of each block: rows outside the bucket's main component against all rows, each pair once over all bands."""
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _block_links(least: float, num: int, den: int):
+    """Links of each block between rows outside the main component and all rows, best estimates first, until what is linked is in one component."""
 
     def run(table: pa.Table) -> pa.Table:
-        key = np.stack([table.column(c).to_numpy() for c in ("key", "rest_block", "all_block")])
+        key = np.stack([table.column(c).to_numpy() for c in ("main", "rest_block", "all_block")])
         order = np.lexsort(key)
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(key[:, order]) != 0).any(0), [True]]))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        cls, comp, n, band, rest = (table.column(c).to_numpy() for c in ("class", "component", "n", "band", "rest"))
+        sets = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
+        cls, comp, n, rest = (table.column(c).to_numpy() for c in ("class", "component", "n", "rest"))
         left, right = [], []
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             own = order[s:e]
             asked, others = own[rest[own]], own[~rest[own]]
+            root: dict[int, int] = {}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
             for i in asked:
-                same = regs[others] == regs[i]
-                ok = (comp[others] != comp[i]) & (estimate(same.sum(1), np.full(len(others), n[i]), n[others]) >= least)
-                if ok.any():
-                    shared = same.reshape(-1, BANDS, ROWS).all(2)
-                    ok &= shared.argmax(1) == band[i]
-                    left += [cls[i]] * int(ok.sum())
-                    right += cls[others[ok]].tolist()
+                near = estimate((regs[others] == regs[i]).sum(1), np.full(len(others), n[i]), n[others])
+                at = np.flatnonzero((comp[others] != comp[i]) & (near >= least))
+                for j in others[at[np.argsort(-near[at], kind="stable")]]:
+                    a, b = find(comp[i]), find(comp[j])
+                    if a != b:
+                        shared = _shared(sets[i], sets[j])
+                        if den * shared >= num * (len(sets[i]) + len(sets[j]) - shared):
+                            root[a] = b
+                            left.append(cls[i])
+                            right.append(cls[j])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
@@ -205,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     near = buckets.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     links = _links(source, classes, _ordered(near), width, percent)
     found = components(links)
-    more = _links(source, classes, _ordered(_rest(buckets, classes, found, percent / 100 - MARGIN)), width, percent)
+    more = _rest(source, buckets, classes, found, width, percent)
     found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
     rooted = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -223,28 +239,38 @@ def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     likely = written(likely.mapInArrow(_estimated(percent / 100 - MARGIN), "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = wanted.join(classes.select("class", "doc_id"), "class")
-    # A class is known by one of its rows; a text that shares the id but not the class is left out by the second join.
-    own = source.join(ids.select("doc_id").distinct(), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = own.select("text").mapInArrow(_set_rows(width), "class long, set binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = written(sets, "sets")
+    sets = _sets_of(source, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), width)
     full = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     return written(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent, 100), "a long, b long"), "links")
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Likely pairs in buckets that hold several components; the first round has met all pairs of buckets of two."""
-    placed = buckets.filter("size > 2").select("key", "class", "band").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+def _sets_of(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, set) of the wanted classes, each from one of its rows."""
+    ids = wanted.join(classes.select("class", "doc_id"), "class")
+    # A text that shares the id but not the class is left out by the second join.
+    own = source.join(ids.select("doc_id").distinct(), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    sets = own.select("text").mapInArrow(_set_rows(width), "class long, set binary").join(wanted, "class", "left_semi")
+    return written(sets.dropDuplicates(["class"]), "sets")
+
+
+def _rest(source: DataFrame, buckets: DataFrame, classes: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links in buckets that hold several components; the first round has met all pairs of buckets of two.
+
+    Buckets with the same main component are taken together, so a class comes once for all its bands.
+    """
+    placed = buckets.filter("size > 2").select("key", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = by.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size")).select("key", F.col("m.component").alias("main"), F.col("size").alias("of"), (F.col("size") - F.col("m.c")).alias("outside")).filter("outside > 0")
-    open_ = written(placed.join(main, "key").join(classes.select("class", "n", "regs"), "class"), "open")
+    main = by.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "main")
+    rows = written(placed.join(main, "key").select("main", "class", "component").distinct(), "open")
+    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("of"), F.count_if(F.col("component") != F.col("main")).alias("outside"))
+    sets = _sets_of(source, classes, rows.select("class").distinct(), width)
+    open_ = rows.join(sizes, "main").join(classes.select("class", "n", "regs"), "class").join(sets, "class")
     rest_blocks, all_blocks = F.ceil(F.col("outside") / REST_BLOCK).cast("int"), F.ceil(F.col("of") / ALL_BLOCK).cast("int")
     place = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["main", "rest_block", "all_block", "class", "component", "n", "rest", "regs", "set"]
     asked = open_.filter("component <> main").withColumns({"rest_block": (place % rest_blocks).cast("int"), "rest": F.lit(True)}).withColumn("all_block", every(all_blocks))
     others = open_.withColumns({"all_block": (place % all_blocks).cast("int"), "rest": F.lit(False)}).withColumn("rest_block", every(rest_blocks))
-    columns = ["key", "rest_block", "all_block", "class", "component", "n", "band", "rest", "regs"]
-    rows = asked.select(columns).unionByName(others.select(columns))
     groups = max(1, rows.count() // GROUP_ROWS)
-    return rows.groupBy(F.pmod(F.xxhash64("key", "rest_block", "all_block"), F.lit(groups)).alias("g")).applyInArrow(_block_pairs(least), "a long, b long")
+    dealt = asked.select(columns).unionByName(others.select(columns)).groupBy(F.pmod(F.xxhash64("main", "rest_block", "all_block"), F.lit(groups)).alias("g"))
+    return written(dealt.applyInArrow(_block_links(percent / 100 - MARGIN, percent, 100), "a long, b long"), "more")
