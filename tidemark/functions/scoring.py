@@ -48,7 +48,7 @@ def scored(rows: DataFrame, text: str, build: Callable[[], Scorer], tag: str, ta
 
     distinct = rows.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
     got = distinct.mapInPandas(run, "_text string, " + ", ".join(f"{n} double" for n in names))
-    return rows.join(got, rows[text] == got["_text"], "left").drop("_text").withColumn(f"sent_{tag}", F.col(f"p_{tag}_positive") - F.col(f"p_{tag}_negative"))
+    return rows.join(got, F.col(text) == F.col("_text"), "left").drop("_text").withColumn(f"sent_{tag}", F.col(f"p_{tag}_positive") - F.col(f"p_{tag}_negative"))
 
 
 def fit_temperature(z: np.ndarray, y: np.ndarray, low: float = 0.05, high: float = 50.0, rounds: int = 80) -> float:
