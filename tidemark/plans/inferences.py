@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entity
 from tidemark.functions import signals as g
-from tidemark.operators import bars, calls, inference, tracker, walk
+from tidemark.operators import bars, calls, graph, inference, options, tracker, walk
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 
@@ -90,11 +90,58 @@ def transcript_turns(spark, sf):
     return tidy(calls.parsed(t).groupBy("path", "role", "section").agg(F.count(F.lit(1)).alias("n")))
 
 
+def focus_paragraphs(spark, sf):
+    d = v.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Stocks in focus. Infosys : "), F.substring("text", 1, 200), F.lit(". Wipro : other words here.")).alias("news"))
+    return tidy(entity.focus(d, "INFY").select("doc_id", "focus_text", "focus_how"))
+
+
+def call_inputs(spark, sf):
+    c = v.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(" TCS may face risks but Infosys gains")).alias("sentence"), F.lit("analyst question").alias("context"))
+    return tidy(calls.model_input(c, "TCS", "tcs").select("conv_id", "turn", "text_a", "text_b"))
+
+
+def _pruned(spark, sf):
+    return graph.comentions(v.mentions(spark, sf), 2, 2)
+
+
+def eigenvector(spark, sf):
+    return tidy(graph.eigenvector(_pruned(spark, sf)))
+
+
+def weighted_clustering(spark, sf):
+    return tidy(graph.weighted_clustering(_pruned(spark, sf)))
+
+
+def _implied(spark, sf):
+    o = v.read(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg((F.avg(F.col("o_orderkey") % 37) / 10 + 1).alias("implied"))
+    return _forecasts(spark, sf).join(o, "d")
+
+
+def implied_regressions(spark, sf):
+    x = _implied(spark, sf).select("symbol", "d", F.ln("rv").alias("y"), F.ln("implied").alias("implied"), F.ln("f2").alias("model"))
+    out = inference.regression(x, "symbol", "y", ["implied"], 5).withColumn("set", F.lit("implied"))
+    for name, features in (("model", ["model"]), ("both", ["implied", "model"])):
+        out = out.unionByName(inference.regression(x, "symbol", "y", features, 5).withColumn("set", F.lit(name)))
+    return tidy(out)
+
+
+def implied_ladder(spark, sf):
+    x = _implied(spark, sf).withColumn("u", F.ln(F.col("rv_target") / F.col("f2"))).withColumn("li", F.ln("implied")).withColumn("lf", F.ln("f1"))
+    a, b = (walk.ols(x.select("symbol", "d", "u", "f2", *f), "symbol", "u", f, "f2", first=400, size=210).select("symbol", "d", F.col("forecast").alias(n)) for n, f in (("base", ["lf"]), ("with_iv", ["lf", "li"])))
+    j = x.select("symbol", "d", "rv_target").join(a, ["symbol", "d"]).join(b, ["symbol", "d"]).filter("rv_target > 0")
+    losses = j.select("symbol", "d", *[ev.qlike(F.col("rv_target"), F.col(m)).alias(m) for m in ("base", "with_iv")])
+    return tidy(inference.contrasts(losses, "symbol", [("with_iv", "base")], 300))
+
+
+def file_urls(spark, sf):
+    return tidy(v.read(spark, sf, "orders").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("d")).distinct().select("d", options.file_url("base", F.col("d")).alias("url")))
+
+
 def lead_texts(spark, sf):
     return tidy(v.read(spark, sf, "documents").select("doc_id", g.lead_text(F.col("text")).alias("lead")))
 
 
-QUERIES = {f.__name__: f for f in (hac_regression, hc3_regression, panel_fixed_effects, contrast_table, cluster_interval, confidence_set, f1_interval, garch_walk, live_tracker, live_summary, entity_roles, marked_inputs, transcript_turns, lead_texts)}
+QUERIES = {f.__name__: f for f in (hac_regression, hc3_regression, panel_fixed_effects, contrast_table, cluster_interval, confidence_set, f1_interval, garch_walk, live_tracker, live_summary, entity_roles, marked_inputs, transcript_turns, lead_texts, focus_paragraphs, call_inputs, eigenvector, weighted_clustering, implied_regressions, implied_ladder, file_urls)}
 TRACK = FC + """, tr0 as (select symbol, lead(d) over w as nd, d as d0, lead(rv) over w as realised, f1, f2 from fc window w as (partition by symbol order by d)),
 tr as (select symbol, coalesce(nd, cast(d0 + case isodow(d0) when 5 then 3 when 6 then 2 else 1 end as date)) as d, realised, f1, f2, nd is null as pending from tr0),
 tracked as (select *, case when d >= date '1999-01-01' then 'test' else 'validation' end as period from tr)"""
@@ -102,5 +149,6 @@ ORACLE = {
     "live_tracker": sql("bars", "symbol d:d realised:f f1:f f2:f pending period", f"{TRACK} ;; select * from tracked"),
     "live_summary": sql("bars", "symbol period model n:i qlike:f change:f", f"""{TRACK}, l as (select symbol, period, 'f1' as model, realised as rv, f1 as f, f1 as b from tracked where not pending union all select symbol, period, 'f2', realised, f2, f1 from tracked where not pending) ;;
       select symbol, period, model, count(*) as n, avg{QL('f')} as qlike, 100 * (avg{QL('f')} / avg{QL('b')} - 1) as change from l where rv > 0 and f > 0 group by symbol, period, model having count(*) >= 10"""),
+    "file_urls": sql("", "d:d url", "select d, case when d >= date '2024-07-08' then 'base/BhavCopy_NSE_FO_0_0_0_' || strftime(d, '%Y%m%d') || '_F_0000.csv.zip' else 'base/' || strftime(d, '%Y') || '/' || upper(strftime(d, '%b')) || '/fo' || upper(strftime(d, '%d%b%Y')) || 'bhav.csv.zip' end as url from (select distinct cast(cast(o_orderdate as date) + 9500 as date) as d from orders)"),
     "lead_texts": sql("", "doc_id lead", r"""x as (select doc_id, text, substr(text, 1, 600) as head, regexp_extract(substr(text, 1, 600), '(?s)^(.*[.?!]) ', 1) as cut from documents) ;; select doc_id, case when length(text) > 600 and length(cut) > 240 then cut else head end as lead from x"""),
 }
