@@ -83,6 +83,8 @@ def test_small_graphs():
     groups, q = nm.greedy_communities(list("abcxyz"), two)
     assert sorted(map(sorted, groups)) == [list("abc"), list("xyz")] and q == pytest.approx(6 / 7 - 0.5)
     assert nm.greedy_communities(["a"], {})[1] == 0.0
+    e = nm.eigenvector(["a", "b", "c", "z"], path)
+    assert [e[n] for n in "abcz"] == pytest.approx([0.5, 0.5**0.5, 0.5, 0.0]) and nm.eigenvector(["a"], {}) == {"a": 0.0}
 
 
 def test_logit_and_temperature():

@@ -253,6 +253,21 @@ def betweenness(nodes: list, edges: dict) -> dict:
     return {v: x / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, x in score.items()}
 
 
+def eigenvector(nodes: list, edges: dict) -> dict:
+    """Weighted eigenvector centrality on the largest component of a small graph, 0 elsewhere."""
+    at = {v: i for i, v in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for (u, v), w in edges.items():
+        a[at[u], at[v]] = a[at[v], at[u]] = w
+    reach = np.linalg.matrix_power((a > 0) + np.eye(len(nodes)), max(len(nodes), 1)) > 0 if nodes else a
+    inside = reach[int(reach.sum(1).argmax())] if nodes and edges else np.zeros(len(nodes), bool)
+    x = np.zeros(len(nodes))
+    if inside.any():
+        values, vectors = np.linalg.eigh(a[np.ix_(inside, inside)])
+        x[inside] = np.abs(vectors[:, values.argmax()])
+    return dict(zip(nodes, x.tolist(), strict=True))
+
+
 def greedy_communities(nodes: list, edges: dict) -> tuple[list[set], float]:
     """Communities by greedy modularity merges of a small weighted graph, and the modularity."""
     total = sum(edges.values())

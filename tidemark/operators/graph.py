@@ -106,24 +106,6 @@ def pairwise_net(shares: DataFrame) -> DataFrame:
     return d.select(F.when(F.col("flow") >= 0, F.col("s")).otherwise(F.col("t")).alias("source"), F.when(F.col("flow") >= 0, F.col("t")).otherwise(F.col("s")).alias("target"), F.abs("flow").alias("flow"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """Weighted eigenvector centrality of the largest component by fixed rounds of power steps, scaled to unit length; 0 elsewhere.
-
-    Every node has a loop, which keeps bipartite networks from swinging, and each round reads the last one once.
-    """
-    part = components(edges)
-    giant = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
-    inside = part.join(giant, "component", "left_semi").select("name")
-    top = degrees(edges).agg(F.max("strength").cast("double")).first()[0] or 1.0
-    ways = both_ways(edges).select("source", "target", (F.col("weight") / top).alias("p")).unionByName(inside.select(F.col("name").alias("source"), F.col("name").alias("target"), F.lit(1.0).alias("p"))).cache()
-    x = inside.withColumn("x", F.lit(1.0))
-    for _ in range(rounds):
-        x = ways.join(x.withColumnRenamed("name", "source"), "source").groupBy(F.col("target").alias("name")).agg(F.sum(F.col("p") * F.col("x")).alias("x"))
-    x = x.cache()
-    norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-    return part.select("name").join(x, "name", "left").select("name", (F.coalesce("x", F.lit(0.0)) / norm).alias("eigenvector"))
-
-
 def weighted_clustering(edges: DataFrame) -> DataFrame:
     """Mean over a node's pairs of neighbours of the geometric mean of the triangle's weights, relative to the greatest weight."""
     top = edges.agg(F.max("weight").cast("double")).first()[0] or 1.0

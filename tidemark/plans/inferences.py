@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import entity
+from tidemark.functions import numeric as nm
 from tidemark.functions import signals as g
 from tidemark.operators import bars, calls, graph, inference, options, tracker, walk
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 
+from .networks import _small
 from .scores import FC, QL, _called, _forecasts
 from .texts import _headlines
 from .tidy import sql, tidy
@@ -105,7 +107,7 @@ def _pruned(spark, sf):
 
 
 def eigenvector(spark, sf):
-    return tidy(graph.eigenvector(_pruned(spark, sf)))
+    return tidy(spark.createDataFrame(list(nm.eigenvector(*_small(spark, sf)).items()), "name string, eigenvector double"))
 
 
 def weighted_clustering(spark, sf):
