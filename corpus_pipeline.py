@@ -22,7 +22,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows that share a doc_id, or have none, count as one document if any id is repeated.
+    """
     kept = written(minhash.near_duplicates(docs).filter("kept").select("doc_id"), "kept")
     alone = kept.distinct()
     out = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc_id"]), "left_semi")
@@ -31,9 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages of 20 words or more."""
-    cut = substring.remove_repeats(docs, span=20, keep_text=True).select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.drop("text", "n_chars").join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")))
-    return joined.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(docs.columns)
+    cut = substring.remove_repeats(docs, span=20, keep_text=True, changed_only=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
+    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    text = F.coalesce("kept_text", "text")
+    return joined.withColumns({"text": text, "n_chars": F.coalesce(F.char_length("kept_text").cast("long"), F.col("n_chars"))}).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
