@@ -152,9 +152,11 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     words = Lexicon(lexicon(base.select("text"), least, most))
     following = written(neighbours(base), "following")
     quarter = F.expr("cast(n div 4 as int)")
-    joined = following.join(base.select(F.col("doc").alias("next_doc"), F.col("body").alias("next_body"), F.col("text").alias("next_text")), ["next_doc", "next_body"])
-    grafts = joined.groupBy("doc", "body").agg(F.max("n").alias("n"), F.max("next_doc").alias("next_doc"), F.max("next_body").alias("next_body"), F.max(F.col("next_text").substr(F.lit(1), quarter)).alias("graft"))
-    whole = base.join(grafts, ["doc", "body"])
+    # Both joins take the texts by the same columns without new names, so that they read one shuffle of them.
+    pairs = following.select(F.col("doc").alias("own_doc"), F.col("body").alias("own_body"), "n", "next_doc", "next_body")
+    joined = pairs.join(base, (F.col("next_doc") == F.col("doc")) & (F.col("next_body") == F.col("body")))
+    grafts = joined.groupBy("own_doc", "own_body").agg(F.max("n").alias("n"), F.max("next_doc").alias("next_doc"), F.max("next_body").alias("next_body"), F.max(F.col("text").substr(F.lit(1), quarter)).alias("graft"))
+    whole = base.join(grafts, (F.col("doc") == F.col("own_doc")) & (F.col("body") == F.col("own_body")))
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n").cast("int") - quarter), "graft")
     marked = whole.select("doc", "body", "next_doc", "next_body", F.col("n").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), parts(F.col("text"), words).alias("own"), parts(edited, words).alias("changed"))
     marked = written(marked, "marked")
