@@ -11,7 +11,7 @@ from tidemark.operators import bars, calls, graph, inference, options, tracker,
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 
-from .networks import _small
+from .networks import _edges, _small
 from .scores import FC, QL, _called, _forecasts
 from .texts import _headlines
 from .tidy import sql, tidy
@@ -102,16 +102,12 @@ def call_inputs(spark, sf):
     return tidy(calls.model_input(c, "TCS", "tcs").select("conv_id", "turn", "text_a", "text_b"))
 
 
-def _pruned(spark, sf):
-    return graph.comentions(v.mentions(spark, sf), 2, 2)
-
-
 def eigenvector(spark, sf):
     return tidy(spark.createDataFrame(list(nm.eigenvector(*_small(spark, sf)).items()), "name string, eigenvector double"))
 
 
 def weighted_clustering(spark, sf):
-    return tidy(graph.weighted_clustering(_pruned(spark, sf)))
+    return tidy(graph.weighted_clustering(_edges(spark, sf)))
 
 
 def _implied(spark, sf):

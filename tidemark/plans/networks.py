@@ -20,11 +20,6 @@ def _edges(spark, sf):
     return graph.comentions(v.mentions(spark, sf))
 
 
-def _pruned(spark, sf):
-    """Edges of items with few names, for operators that need a sparse network."""
-    return graph.comentions(v.mentions(spark, sf), 2, 2)
-
-
 EDGES = 'edges as (select a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name group by 1, 2)'
 SPARSE = """short as (select item from mentions group by item having count(*) = 2), edges as (select a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name where a.item in (select item from short) group by 1, 2 having count(*) >= 2)"""
 BOTH = "two as (select source, target, weight from edges union all select target, source, weight from edges)"
@@ -35,19 +30,19 @@ def comention_edges(spark, sf):
 
 
 def degree_strength(spark, sf):
-    return tidy(graph.degrees(_pruned(spark, sf)))
+    return tidy(graph.degrees(_edges(spark, sf)))
 
 
 def triangles(spark, sf):
-    return tidy(graph.triangles(_pruned(spark, sf)))
+    return tidy(graph.triangles(_edges(spark, sf)))
 
 
 def transitivity(spark, sf):
-    return tidy(graph.transitivity(_pruned(spark, sf)))
+    return tidy(graph.transitivity(_edges(spark, sf)))
 
 
 def components(spark, sf):
-    return tidy(graph.components(graph.comentions(v.mentions(spark, sf), 6, 2)))
+    return tidy(graph.components(_edges(spark, sf)))
 
 
 def pagerank_fixed_iter(spark, sf):
@@ -55,7 +50,7 @@ def pagerank_fixed_iter(spark, sf):
 
 
 def assortativity(spark, sf):
-    return tidy(graph.assortativity(_pruned(spark, sf)))
+    return tidy(graph.assortativity(_edges(spark, sf)))
 
 
 def rank_nodes(spark, sf):
@@ -69,7 +64,7 @@ def monthly_focus(spark, sf):
 
 def _small(spark, sf):
     """The edges of a network of few names, gathered once; the names are a fixed list of brands."""
-    rows = _pruned(spark, sf).collect()
+    rows = _edges(spark, sf).collect()
     e = {(r["source"], r["target"]): r["weight"] for r in rows}
     return sorted({n for p in e for n in p}), e
 
@@ -87,9 +82,8 @@ def modularity(spark, sf):
 
 def _shares(spark, sf):
     """Shares made of co-mention weights, so that they are the same in SQL."""
-    m = v.mentions(spark, sf).filter(F.substring("name", 7, 1) == "1")
-    two = graph.both_ways(graph.comentions(m))
-    own = v.mentions(spark, sf).filter(F.substring("name", 7, 1) == "1").groupBy(F.col("name").alias("source")).agg(F.count(F.lit(1)).alias("weight")).select("source", F.col("source").alias("target"), "weight")
+    two = graph.both_ways(_edges(spark, sf))
+    own = v.mentions(spark, sf).groupBy(F.col("name").alias("source")).agg(F.count(F.lit(1)).alias("weight")).select("source", F.col("source").alias("target"), "weight")
     all_ = two.select("source", "target", "weight").unionByName(own)
     total = all_.groupBy("target").agg(F.sum("weight").alias("total"))
     return all_.join(total, "target").select("target", "source", (F.col("weight") / F.col("total")).alias("share"))
