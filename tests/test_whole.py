@@ -1,10 +1,14 @@
 """Registered queries against brute force over whole tables: no item, filing, window or text is left out."""
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from datetime import timedelta
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import bars
 from tidemark.plans import catalogue
 from tidemark.sources import views as v
 
@@ -57,3 +61,72 @@ def test_shares_take_all_names(spark, network):
         assert r["own"] == pytest.approx(own[n] / total[n], abs=1e-6)
         assert r["to_others"] == pytest.approx(sum(w / total[b] for (a, b), w in pairs.items() if a == n), abs=1e-5)
     assert len(run(spark, "pairwise_net")) == len(pairs) // 2
+
+
+@pytest.fixture(scope="module")
+def dated(spark):
+    """Filings as (symbol, day, sub, id), and trading days as {day: seq} with their list."""
+    filings = [(r["symbol"], r["d"], r["sub"], r["id"]) for r in v.filings(spark, SF).collect()]
+    seq = {r["d"]: r["seq"] for r in v.calendar(v.bars(spark, SF)).collect()}
+    return filings, seq, sorted(seq)
+
+
+def test_meetings_take_all_filings(spark, dated):
+    filings, seq, _ = dated
+    results = defaultdict(set)
+    for symbol, d, sub, _ in filings:
+        if sub == "P":
+            results[symbol].add(d)
+    meet = [(s, d, i) for s, d, sub, i in filings if sub == "O"]
+    near = {(s, d): [d + timedelta(k) for k in range(16) if d + timedelta(k) in results[s]] for s, d, _ in meet}
+    assert {(r["symbol"], r["d"], r["id"]) for r in run(spark, "meet_before_results")} == {(s, str(d), i) for s, d, i in meet if near[s, d]}
+    active = {(s, d + timedelta(k)) for (s, d), found in near.items() for k in range(((found or [d + timedelta(15)])[0] - d).days + 1)}
+    assert {(r["symbol"], r["d"]) for r in run(spark, "announcement_flags")} == {(s, str(d)) for s, d in active if d in seq}
+
+
+def test_every_filing_fans_out(spark, dated):
+    filings, _, days = dated
+    live = {}
+    for symbol, d, _, i in filings:
+        at = bisect_right(days, d)  # the number of the last trading day up to d
+        for k in range(10 if at else 0):
+            if at + k <= len(days):
+                live[symbol, at + k] = max(live.get((symbol, at + k), (d, i, k)), (d, i, k))
+    got = {(r["symbol"], r["d"], r["id"], r["days_since"]) for r in run(spark, "call_live_fanout")}
+    assert got == {(s, str(days[at - 1]), i, k) for (s, at), (_, i, k) in live.items()}
+
+
+def test_same_event_filter_takes_all_filings(spark, dated):
+    first = {}
+    for symbol, d, _, i in dated[0]:
+        first[symbol, d] = min(i, first.get((symbol, d), i))
+    want, last = set(), {}
+    for symbol, d in sorted(first):
+        if symbol not in last or (d - last[symbol]).days > 20:
+            last[symbol] = d
+            want.add((symbol, str(d), str(first[symbol, d])))
+    assert {(r["symbol"], r["d"], r["path"]) for r in run(spark, "same_event_filter")} == want
+
+
+def test_event_path_and_focus_take_all_articles(spark, dated):
+    _, seq, _ = dated
+    rows = v.articles(spark, SF).select("doc_id", "d", "src").collect()
+    priced = {seq[r["d"]] for r in bars.realised(v.bars(spark, SF)).filter("symbol = 'A'").collect() if r["d"] in seq}
+    events = {seq[r["d"]] for r in rows if r["d"] in seq}
+    want = Counter(o for e in events for o in range(-5, 21) if e + o in priced)
+    assert {r["offset"]: r["n"] for r in run(spark, "event_path")} == dict(want)
+    focus = Counter((r["src"][3:4], str(r["d"])) for r in rows)
+    carry = {(r["lang"], r["d"]): r["carry"] or 0.0 for r in run(spark, "carry_decay")}
+    got = {(r["lang"], r["d"]): r["focus_x_carry"] for r in run(spark, "focus_x_carry")}
+    assert got == pytest.approx({k: n * carry.get(k, 0.0) for k, n in focus.items()}, abs=1e-5)
+
+
+def test_implied_volatility_takes_all_orders(spark):
+    atm = defaultdict(dict)
+    for r in v.read(spark, SF, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d")).collect():
+        k, days = r["o_orderkey"], r["o_orderkey"] % 90 + 3
+        atm[str(r["d"])][days] = max(0.1 + k % 37 / 100, atm[str(r["d"])].get(days, 0.0))
+    got = {r["date"]: (r["n_expiries"], r["near_days"], r["atm_near"]) for r in run(spark, "iv30_interp")}
+    assert got == {d: (len(s), min(s), pytest.approx(s[min(s)], abs=1e-6)) for d, s in atm.items()}
+    priced = Counter(r["symbol"] for r in bars.realised(v.bars(spark, SF)).select("symbol", F.col("d").cast("string").alias("d")).collect() if r["d"] in atm)
+    assert {r["symbol"]: r["n"] for r in run(spark, "vrp_summary")} == dict(priced)

@@ -129,7 +129,7 @@ def shifted_target(spark, sf):
 
 def _meetings(spark, sf):
     f = v.filings(spark, sf).select("symbol", "d", "sub", "id")
-    return f.filter((F.col("sub") == "O") & (F.col("id") % 50 == 0)), f.filter((F.col("sub") == "P") & (F.col("id") % 20 == 0))
+    return f.filter(F.col("sub") == "O"), f.filter(F.col("sub") == "P")
 
 
 MEET = """meet as (select symbol, d, id from filings where sub = 'O' and id % 50 = 0), res as (select distinct symbol, d from filings where sub = 'P' and id % 20 = 0),
@@ -147,7 +147,7 @@ def meet_before_results(spark, sf):
 
 
 def call_live_fanout(spark, sf):
-    calls = v.filings(spark, sf).filter(F.col("id") % 40 == 0).select("symbol", "d", "id")
+    calls = v.filings(spark, sf).select("symbol", "d", "id")
     return tidy(align.fan_out(calls, world(spark, sf)[1], "symbol", 10, ["d", "id"]).select("symbol", "d", "id", "days_since"))
 
 
@@ -158,7 +158,7 @@ def event_cluster(spark, sf):
 def event_path(spark, sf):
     b, cal = world(spark, sf)
     r = bars.realised(b).filter(F.col("symbol") == "A").join(cal, "d").withColumn("x", F.ln("rv"))
-    events = v.articles(spark, sf).filter("doc_id % 10 = 0").select("d").distinct().join(cal, "d")
+    events = v.articles(spark, sf).select("d").distinct().join(cal, "d")
     return tidy(align.event_path(events, r, "x"))
 
 
@@ -213,7 +213,7 @@ def carry_decay(spark, sf):
 
 def focus_x_carry(spark, sf):
     a = v.articles(spark, sf).withColumn("lang", F.substring("src", 4, 1))
-    focus = a.filter("doc_id % 4 = 0").groupBy("lang", "d").agg(F.count(F.lit(1)).cast("double").alias("focus"))
+    focus = a.groupBy("lang", "d").agg(F.count(F.lit(1)).cast("double").alias("focus"))
     return tidy(focus.join(daily.carried(_scored_days(spark, sf), "lang", "s", "w"), ["lang", "d"], "left").select("lang", "d", (F.col("focus") * F.coalesce("carry", F.lit(0.0))).alias("focus_x_carry")))
 
 

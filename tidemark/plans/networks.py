@@ -147,7 +147,7 @@ def surface_slice(spark, sf):
 
 def _slices(spark, sf):
     o = v.read(spark, sf, "orders")
-    return o.filter("o_orderkey % 7 < 3").select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm")).groupBy("date", "days").agg(F.max("atm").alias("atm"))
+    return o.select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm")).groupBy("date", "days").agg(F.max("atm").alias("atm"))
 
 
 def iv30_interp(spark, sf):

@@ -59,7 +59,7 @@ def stream_daily_publish(spark, sf):
 
 
 def same_event_filter(spark, sf):
-    f = v.filings(spark, sf).filter(F.col("id") % 5 == 0).groupBy("symbol", "d").agg(F.min("id").cast("string").alias("path"))
+    f = v.filings(spark, sf).groupBy("symbol", "d").agg(F.min("id").cast("string").alias("path"))
     return tidy(state.keep_apart(f, "symbol", 20))
 
 
