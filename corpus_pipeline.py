@@ -22,20 +22,24 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+    """One row of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    Rows that share a doc_id, or have none, count as one document if any id is repeated.
+    A row is known by its doc_id and text, so rows that share an id, or have none, are judged each by its text.
     """
-    kept = written(minhash.near_duplicates(docs).filter("kept").select("doc_id"), "kept")
-    alone = kept.distinct()
-    out = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc_id"]), "left_semi")
-    return out if kept.count() == alone.count() else out.dropDuplicates(["doc_id"])
+    kept = written(minhash.near_duplicates(docs, by_text=True).filter("kept").select("doc_id", "body", (F.col("n_shingles") > 0).alias("worded")), "kept")
+    alone = kept.groupBy(F.col("doc_id").alias("kept_id"), "body").agg((F.max("worded") & (F.count(F.lit(1)) > 1)).alias("again"))
+    out = docs.join(alone, docs["doc_id"].eqNullSafe(alone["kept_id"]) & (F.xxhash64(docs["text"]) == alone["body"]))
+    if alone.filter("again").isEmpty():
+        return out.select(docs.columns)
+    return out.filter(~F.col("again")).unionByName(out.filter("again").dropDuplicates(["doc_id", "body"])).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without their repeated passages of 20 words or more."""
-    cut = substring.remove_repeats(docs, span=20, keep_text=True, changed_only=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    """All documents without their repeated passages of 20 words or more. A row is known by its doc_id and text."""
+    cut = substring.remove_repeats(docs, span=20, keep_text=True, changed_only=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "body", "kept_text")
+    if not docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").isEmpty():
+        cut = cut.dropDuplicates(["cut_id", "body"])
+    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text") == F.col("body")), "left")
     text = F.coalesce("kept_text", "text")
     return joined.withColumns({"text": text, "n_chars": F.coalesce(F.char_length("kept_text").cast("long"), F.col("n_chars"))}).select(docs.columns)
 

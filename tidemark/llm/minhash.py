@@ -91,7 +91,7 @@ def _sketched(width: int):
             values, off = _sets(part.column(1), width)
             one, two = _keys(values, off)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BUCKETS), part.num_rows, [None, pa.py_buffer(registers(values, off))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(one), pa.array(two), packed], names=["doc_id", "n", "class", "class2", "regs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(one), pa.array(two), packed, *part.columns[2:]], names=["doc_id", "n", "class", "class2", "regs", *part.schema.names[2:]])
 
     return run
 
@@ -200,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Takes `doc_id` and `text`; other columns are ignored. A document's set holds its distinct
@@ -209,11 +209,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared shingles are at least `percent` per cent of the union. component_id is the least doc_id
     reachable; kept holds for that document. Rows with the same doc_id are judged each by its text and
     keep the id; a null doc_id is kept only where no other id is reachable. An empty table gives no rows.
+
+    With `by_text` the rows also have `body`, the xxhash64 of the text, and kept holds for one
+    (doc_id, body) of each component, whatever ids repeat or are null: the least, a null doc_id
+    last. Rows that are equal in both are equally kept. A text without words is always kept.
     """
+    own = [F.xxhash64(F.col("text").cast("string")).alias("body")] if by_text else []
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = written(source.mapInArrow(_sketched(width), "doc_id long, n long, class long, class2 long, regs binary"), "sketches")
+    sketches = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(_sketched(width), f"doc_id long, n long, class long, class2 long, regs binary{', body long' * by_text}"), "sketches")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    least_row = [F.min(at).alias("at")] if by_text else []
     classes = written(
-        sketches.filter("n > 0").groupBy("class", "class2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs")).drop("class2"), "classes"
+        sketches.filter("n > 0").groupBy("class", "class2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs"), *least_row).drop("class2"), "classes"
     )
     bands = classes.select("class", "regs").mapInArrow(_banded, "key long, class long, band int")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("size > 1")
@@ -223,11 +230,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = components(links)
     more = _rest(source, buckets, classes, found, width, percent)
     found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
-    rooted = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = rooted.join(least, "component").select("class", "component_id")
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rooted = classes.drop("n", "regs").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text)
+    of_class = rooted.drop("at").join(least, "component").drop("component", "doc_id")
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"), *["body"] * by_text).join(of_class, "class", "left")
+    kept = (F.col("n_shingles") == 0) | (at == F.col("at")) if by_text else F.col("doc_id").eqNullSafe(F.col("component_id"))
+    id_ = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", id_, *["body", "at"] * by_text).withColumn("kept", kept).drop("at")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

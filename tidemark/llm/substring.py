@@ -243,7 +243,8 @@ def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, cha
     smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Of rows that
     share a doc_id, equal texts are judged alike and neither repeats the other; different texts at
     the same start count in the order of their hashes. An empty table gives no rows. kept_text is null
-    for a null text; with `changed_only` it is null wherever nothing was removed, and unchanged texts are not moved for it.
+    for a null text; with `changed_only` it is null wherever nothing was removed, unchanged texts are not moved for it,
+    and `body`, the xxhash64 of the text, tells rows of one doc_id apart.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     source = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
@@ -282,7 +283,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, cha
     if not keep_text:
         return out.select(result)
     if changed_only:
-        return out.select(*result, F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept_text"))
+        return out.select(*result, F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept_text"), "body")
     texts = source.dropDuplicates(["doc", "body"])
     kept = F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text"))
     return out.join(texts, ["doc", "body"]).select(*result, kept.alias("kept_text"))
