@@ -3,20 +3,25 @@
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from datetime import timedelta
+from inspect import signature
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars
-from tidemark.plans import catalogue
+from tidemark.operators import bars, inference, walk
+from tidemark.plans import catalogue, inferences
+from tidemark.plans.scores import _forecasts
+from tidemark.plans.tidy import tidy
 from tidemark.sources import views as v
 
 SF = "/root/testdata/sf0.001"
+#: Series of over 500 days, for the walks.
+LONG = "/root/testdata/sf0.01"
 
 
-def run(spark, name):
-    return catalogue.queries()[name](spark, SF).collect()
+def run(spark, name, sf=SF):
+    return catalogue.queries()[name](spark, sf).collect()
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +135,25 @@ def test_implied_volatility_takes_all_orders(spark):
     assert got == {d: (len(s), min(s), pytest.approx(s[min(s)], abs=1e-6)) for d, s in atm.items()}
     priced = Counter(r["symbol"] for r in bars.realised(v.bars(spark, SF)).select("symbol", F.col("d").cast("string").alias("d")).collect() if r["d"] in atm)
     assert {r["symbol"]: r["n"] for r in run(spark, "vrp_summary")} == dict(priced)
+
+
+def test_walks_take_every_day_from_the_first(spark):
+    panel = bars.panel(bars.realised(v.bars(spark, LONG)), ["A", "N", "R"]).count()
+    assert len(run(spark, "rolling_spillover", LONG)) == len(range(249, panel, 5))
+    usable = Counter(r["symbol"] for r in bars.har(_forecasts(spark, LONG)).select("symbol", "f2", "lrv_d", "lrv_w", "lrv_m").dropna().collect())
+    assert Counter(r["symbol"] for r in run(spark, "ols_multi_walk", LONG)) == {s: n - 120 for s, n in usable.items() if n > 120}
+
+
+def test_garch_walk_fits_as_the_operator_does(spark, monkeypatch):
+    real, asked = walk.garch, []
+    monkeypatch.setattr(walk, "garch", lambda *a, **k: asked.append(signature(real).bind(*a, **k)) or real(*a, **k))
+    run(spark, "garch_walk")
+    (call,) = asked
+    call.apply_defaults()
+    assert (call.arguments["first"], call.arguments["size"], call.arguments["steps"]) == (500, 21, 200)
+
+
+def test_bootstraps_take_full_draws(spark):
+    losses = inferences._losses(spark, SF)
+    for name, want in (("contrast_table", inference.contrasts(losses, "symbol", [("f2", "f1")], 2000)), ("cluster_interval", inference.cluster_bootstrap(losses, "symbol", "f2", "f1", 2000))):
+        assert sorted((r["symbol"], r["lo"], r["hi"]) for r in run(spark, name)) == sorted((r["symbol"], r["lo"], r["hi"]) for r in tidy(want).collect())

@@ -39,25 +39,25 @@ def _losses(spark, sf):
 
 
 def contrast_table(spark, sf):
-    return tidy(inference.contrasts(_losses(spark, sf), "symbol", [("f2", "f1")], 500))
+    return tidy(inference.contrasts(_losses(spark, sf), "symbol", [("f2", "f1")]))
 
 
 def cluster_interval(spark, sf):
-    return tidy(inference.cluster_bootstrap(_losses(spark, sf), "symbol", "f2", "f1", 500))
+    return tidy(inference.cluster_bootstrap(_losses(spark, sf), "symbol", "f2", "f1"))
 
 
 def confidence_set(spark, sf):
-    return tidy(inference.confidence_sets(_losses(spark, sf), "symbol", ["f1", "f2"], draws=300))
+    return tidy(inference.confidence_sets(_losses(spark, sf), "symbol", ["f1", "f2"]))
 
 
 def f1_interval(spark, sf):
     c = _called(spark, sf).select("y", F.col("p").alias("p1"), F.when(F.col("zp") > F.col("zn"), 0).otherwise(1).cast("long").alias("p2"))
-    return tidy(inference.paired_f1(c.groupBy("y", "p1", "p2").agg(F.count(F.lit(1)).alias("n")), 300))
+    return tidy(inference.paired_f1(c.groupBy("y", "p1", "p2").agg(F.count(F.lit(1)).alias("n"))))
 
 
 def garch_walk(spark, sf):
     r = bars.realised(v.bars(spark, sf)).select("symbol", "d", (F.col("ret") / 100).alias("ret"))
-    return tidy(walk.garch(r, "symbol", first=1500, size=150, steps=60))
+    return tidy(walk.garch(r, "symbol"))
 
 
 def live_tracker(spark, sf):
@@ -125,10 +125,10 @@ def implied_regressions(spark, sf):
 
 def implied_ladder(spark, sf):
     x = _implied(spark, sf).withColumn("u", F.ln(F.col("rv_target") / F.col("f2"))).withColumn("li", F.ln("implied")).withColumn("lf", F.ln("f1"))
-    a, b = (walk.ols(x.select("symbol", "d", "u", "f2", *f), "symbol", "u", f, "f2", first=400, size=210).select("symbol", "d", F.col("forecast").alias(n)) for n, f in (("base", ["lf"]), ("with_iv", ["lf", "li"])))
+    a, b = (walk.ols(x.select("symbol", "d", "u", "f2", *f), "symbol", "u", f, "f2").select("symbol", "d", F.col("forecast").alias(n)) for n, f in (("base", ["lf"]), ("with_iv", ["lf", "li"])))
     j = x.select("symbol", "d", "rv_target").join(a, ["symbol", "d"]).join(b, ["symbol", "d"]).filter("rv_target > 0")
     losses = j.select("symbol", "d", *[ev.qlike(F.col("rv_target"), F.col(m)).alias(m) for m in ("base", "with_iv")])
-    return tidy(inference.contrasts(losses, "symbol", [("with_iv", "base")], 300))
+    return tidy(inference.contrasts(losses, "symbol", [("with_iv", "base")]))
 
 
 def file_urls(spark, sf):

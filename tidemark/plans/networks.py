@@ -115,7 +115,7 @@ def gfevd(spark, sf):
 
 def rolling_spillover(spark, sf):
     panel = bars.panel(bars.realised(v.bars(spark, sf)), ["A", "N", "R"])
-    return tidy(walk.rolling_connectedness(panel, ["A", "N", "R"], 250, 100))
+    return tidy(walk.rolling_connectedness(panel, ["A", "N", "R"]))
 
 
 def _chain(spark, sf):
@@ -186,7 +186,7 @@ def garch_filter(spark, sf):
 
 def ols_multi_walk(spark, sf):
     f = bars.har(_forecasts(spark, sf)).withColumn("u", F.ln(F.col("rv_target") / F.col("f2")))
-    return tidy(walk.ols(f.select("symbol", "d", "u", "f2", "lrv_d", "lrv_w", "lrv_m"), "symbol", "u", ["lrv_d", "lrv_w", "lrv_m"], "f2", first=500, size=210))
+    return tidy(walk.ols(f.select("symbol", "d", "u", "f2", "lrv_d", "lrv_w", "lrv_m"), "symbol", "u", ["lrv_d", "lrv_w", "lrv_m"], "f2"))
 
 
 def logit_walk(spark, sf):
