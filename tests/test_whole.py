@@ -9,6 +9,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import entity
+from tidemark.functions.scoring import LexiconScorer
 from tidemark.operators import bars, inference, walk
 from tidemark.plans import catalogue, inferences
 from tidemark.plans.scores import _forecasts
@@ -157,3 +159,23 @@ def test_bootstraps_take_full_draws(spark):
     losses = inferences._losses(spark, SF)
     for name, want in (("contrast_table", inference.contrasts(losses, "symbol", [("f2", "f1")], 2000)), ("cluster_interval", inference.cluster_bootstrap(losses, "symbol", "f2", "f1", 2000))):
         assert sorted((r["symbol"], r["lo"], r["hi"]) for r in run(spark, name)) == sorted((r["symbol"], r["lo"], r["hi"]) for r in tidy(want).collect())
+
+
+def test_texts_are_read_to_their_end(spark):
+    text = {r["doc_id"]: r["text"] for r in v.read(spark, SF, "documents").select("doc_id", "text").collect()}
+    split = {i: t.lower().split(" ") for i, t in text.items()}
+    p, n = ({i: sum(x in words for x in w) for i, w in split.items()} for words in (v.POSITIVE, v.NEGATIVE))
+    scores = {r["doc_id"]: r["s"] for r in v.articles(spark, SF).select("doc_id", "s").collect()}
+    assert scores == {i: pytest.approx((p[i] - n[i]) / (p[i] + n[i])) if p[i] + n[i] else None for i in text}
+    model = LexiconScorer(v.POSITIVE, v.NEGATIVE)
+    got = {r["doc_id"]: (r["z_lex_positive"], r["z_lex_negative"]) for r in run(spark, "lexicon_scores")}
+    assert got == {i: tuple(model.logits([t], [""])[0][:2]) for i, t in text.items()}
+    assert sum(r["tokens"] for r in run(spark, "mlm_split")) == pytest.approx(1.3 * sum(len(split[i]) for i in text if len(text[i]) > 40))
+    news = "Stocks in focus. Infosys : {}. Wipro : other words here."
+    got = {r["doc_id"]: (r["focus_text"], r["focus_how"]) for r in run(spark, "focus_paragraphs")}
+    assert got == {i: entity.focus_paragraph(news.format(t), "INFY") for i, t in text.items()}
+    assert max(len(x) for x, _ in got.values()) == 600
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in v.read(spark, SF, "conversations").collect()}
+    for r in run(spark, "call_inputs"):
+        assert len(r["text_b"].split()) >= len(f"{said[r['conv_id'], r['turn']]} TCS may face risks but Infosys gains".split())
+    assert all(len(r["title"]) > 40 for r in run(spark, "normalise_titles") if len(text[r["doc_id"]].strip()) > 80)

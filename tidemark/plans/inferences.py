@@ -93,12 +93,12 @@ def transcript_turns(spark, sf):
 
 
 def focus_paragraphs(spark, sf):
-    d = v.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Stocks in focus. Infosys : "), F.substring("text", 1, 200), F.lit(". Wipro : other words here.")).alias("news"))
+    d = v.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Stocks in focus. Infosys : "), F.col("text"), F.lit(". Wipro : other words here.")).alias("news"))
     return tidy(entity.focus(d, "INFY").select("doc_id", "focus_text", "focus_how"))
 
 
 def call_inputs(spark, sf):
-    c = v.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(" TCS may face risks but Infosys gains")).alias("sentence"), F.lit("analyst question").alias("context"))
+    c = v.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.col("text"), F.lit(" TCS may face risks but Infosys gains")).alias("sentence"), F.lit("analyst question").alias("context"))
     return tidy(calls.model_input(c, "TCS", "tcs").select("conv_id", "turn", "text_a", "text_b"))
 
 

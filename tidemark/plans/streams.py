@@ -51,9 +51,9 @@ def stream_dedupe_watermark(spark, sf):
 
 
 def stream_daily_publish(spark, sf):
-    a = v.articles(spark, sf).select("doc_id", "d", "title", "src", "relevance").withColumn("s", F.lit(None).cast("double"))
+    a = v.articles(spark, sf).select("doc_id", "d", "title", "text", "src", "relevance").withColumn("s", F.lit(None).cast("double"))
     root, s = _slices(spark, sf, a)
-    live.append_new(s, f"{root}/out", f"{root}/checkpoint", ["title"], ["d", "doc_id"], lambda d: d.withColumn("s", v.lexicon_score(F.col("title")))).awaitTermination()
+    live.append_new(s, f"{root}/out", f"{root}/checkpoint", ["title"], ["d", "doc_id"], lambda d: d.withColumn("s", v.lexicon_score(F.col("text")))).awaitTermination()
     t = live.Versioned(spark, f"{root}/out").read()
     return tidy(t.groupBy("d").agg(F.countDistinct("title").alias("n"), F.avg("s").alias("s")))
 
@@ -68,7 +68,7 @@ def _lexicon():
 
 
 def lexicon_scores(spark, sf):
-    s = scoring.scored(v.articles(spark, sf).select("doc_id", "title"), "title", _lexicon, "lex", temperature=2.0)
+    s = scoring.scored(v.articles(spark, sf).select("doc_id", "text"), "text", _lexicon, "lex", temperature=2.0)
     return tidy(s.select("doc_id", "z_lex_positive", "z_lex_negative", "p_lex_positive", "p_lex_negative", "p_lex_neutral", "sent_lex"))
 
 

@@ -18,7 +18,7 @@ VERBS = ("Sensex drags", "stocks to watch", "Q1 results: net profit rises", "buy
 
 def _headlines(spark, sf) -> DataFrame:
     verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("doc_id") % len(VERBS) + 1).cast("int"))
-    return v.articles(spark, sf).select("doc_id", "src", F.concat(F.lit("Breaking: "), F.substring("title", 1, 20), F.lit(" "), verb).alias("title"))
+    return v.articles(spark, sf).select("doc_id", "src", F.concat(F.lit("Breaking: "), F.col("title"), F.lit(" "), verb).alias("title"))
 
 
 HEAD = f"""head as (select doc_id, src, 'Breaking: ' || substr(title, 1, 20) || ' ' || {list(VERBS)}[doc_id % {len(VERBS)} + 1] as title from articles)"""
@@ -98,9 +98,9 @@ def call_features(spark, sf):
 
 
 def mlm_split(spark, sf):
-    a = v.articles(spark, sf).filter(F.length("title") > 40)
+    a = v.articles(spark, sf).filter(F.length("text") > 40)
     part = F.when(F.col("d") < "1999-01-01", "train").when(F.col("d") < "2000-06-01", "dev").otherwise("test")
-    return tidy(a.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.sum(F.size(F.split("title", " ")) * 1.3).alias("tokens")))
+    return tidy(a.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.sum(F.size(F.split("text", " ")) * 1.3).alias("tokens")))
 
 
 def weighted_sample(spark, sf):

@@ -43,11 +43,11 @@ def _among(words: tuple):
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, d, title, src, s, relevance) from documents."""
+    """(doc_id, d, title, text, src, s, relevance) from documents. The title is the head of the text; s is scored on all of it."""
     title = F.substring("text", 1, 80)
     relevance = F.element_at(F.array(*map(F.lit, (1.0, 0.5, 0.2, 0.1, 0.0))), (F.col("doc_id") % 5 + 1).cast("int"))
     return read(spark, sf_dir, "documents").select(
-        "doc_id", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 7 % 2400).cast("int")).alias("d"), title.alias("title"), F.col("source").alias("src"), lexicon_score(title).alias("s"), relevance.alias("relevance")
+        "doc_id", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 7 % 2400).cast("int")).alias("d"), title.alias("title"), "text", F.col("source").alias("src"), lexicon_score(F.col("text")).alias("s"), relevance.alias("relevance")
     )
 
 
