@@ -49,9 +49,11 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     length = np.maximum(size, 1).astype(F32)[:, None]
     if len(data):
         b = data.astype(np.uint32)
-        h = b.copy()
-        h[1:] += b[:-1] * np.uint32(0x9E37)
-        h[2:] += b[:-2] * np.uint32(0x85EBCA6B)
+        one, two = np.zeros_like(b), np.zeros_like(b)
+        one[1:], two[2:] = b[:-1], b[:-2]
+        first = off[:-1][n > 0]
+        one[first] = two[first] = two[off[:-1][n > 1] + 1] = 0  # no bytes of the text before
+        h = b + one * np.uint32(0x9E37) + two * np.uint32(0x85EBCA6B)
         h *= np.uint32(0xC2B2AE35)
         h >>= np.uint32(22)
         counts = np.bincount(passage * BINS + h, minlength=to[-1] * BINS).reshape(-1, BINS).astype(F32)
