@@ -129,7 +129,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
     """
     spark = rows.sparkSession
     usable_rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_q")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    asked = usable_rows.filter("_q").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # Before the minimum, as an unusable vector could be the smallest. NaN counts as greater than infinity.
+    finite = (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    asked = usable_rows.filter("_q").filter(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # Blocks of ids: a range sort deals the queries out, and each range becomes blocks of bounded size.
     numbered = written(asked.withColumn("_n", F.monotonically_increasing_id()).select("vec_id", "embedding", (F.shiftright("_n", 33)).alias("_part"), (F.col("_n").bitwiseAND((1 << 33) - 1) / block).cast("long").alias("_block")), "queries")
     found = None
