@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entity
 from tidemark.functions.scoring import LexiconScorer
-from tidemark.operators import bars, inference, walk
+from tidemark.operators import bars, graph, inference, walk
 from tidemark.plans import catalogue, inferences
 from tidemark.plans.scores import _forecasts
 from tidemark.plans.tidy import tidy
@@ -58,6 +58,14 @@ def test_graph_queries_take_all_mentions(spark, network):
     assert got[a] == pytest.approx(2 * v3 / (len(near[a]) * (len(near[a]) - 1)), abs=1e-6)
 
 
+def test_assortativity_of_equal_degrees_is_null(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 1)], "source string, target string, weight long")
+    assert graph.assortativity(edges).first()[0] is None
+    path = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "source string, target string, weight long")
+    assert graph.assortativity(path).first()[0] == pytest.approx(-0.5)
+    assert len(run(spark, "assortativity")) == 1
+
+
 def test_shares_take_all_names(spark, network):
     items, pairs = network
     own = Counter(n for names in items.values() for n in names)

@@ -70,10 +70,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
-    """Correlation of degrees over both directions of every edge."""
+    """Correlation of degrees over both directions of every edge; null if all degrees are equal."""
     d = degrees(edges).select("name", "degree")
     j = both_ways(edges).join(d.toDF("source", "x"), "source").join(d.toDF("target", "y"), "target")
-    return j.agg(F.corr("x", "y").alias("assortativity"))
+    return j.agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("assortativity"))
 
 
 def monthly_focus(mentions: DataFrame, dates: DataFrame, focus: str) -> DataFrame:
