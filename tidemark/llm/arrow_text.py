@@ -62,13 +62,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 class Words:
     """Words of the texts of a column: starts and ends are byte positions in `data`, `off[i]` is the first word of text i."""
 
-    __slots__ = ("data", "ends", "off", "starts", "text_off", "value")
+    __slots__ = ("data", "ends", "inside", "off", "starts", "text_off", "value")
 
     def __init__(self, column: pa.Array, table: tuple[np.ndarray, np.ndarray], cut: np.ndarray | None = None):
         """cut[a, b]: whether words are also cut between neighbouring bytes a and b."""
         self.value, in_word = table
         self.data, self.text_off = buffers(column)
-        inside = in_word[self.data]
+        self.inside = inside = in_word[self.data]
         first, last = inside.copy(), inside.copy()
         if len(inside):
             first[1:] &= ~inside[:-1]
@@ -103,12 +103,9 @@ class Words:
 
     def array(self) -> pa.StringArray:
         """The words as an Arrow array (without case folding of `data` unless the table folds)."""
-        length = self.ends - self.starts
-        to = np.zeros(len(length) + 1, np.int32)
-        np.cumsum(length, out=to[1:])
-        pick = np.repeat(self.starts - to[:-1], length) + np.arange(to[-1])
-        body = self.value[self.data[pick]]
-        return pa.StringArray.from_buffers(len(length), pa.py_buffer(to), pa.py_buffer(body))
+        to = np.zeros(len(self) + 1, np.int32)
+        np.cumsum(self.ends - self.starts, out=to[1:])
+        return pa.StringArray.from_buffers(len(self), pa.py_buffer(to), pa.py_buffer(self.value[self.data[self.inside]]))
 
     def text_of(self) -> np.ndarray:
         """The text number of each word."""

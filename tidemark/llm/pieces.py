@@ -160,11 +160,13 @@ class PieceTable(WordTable):
         self.vocabulary = vocabulary
         super().__init__()
 
-    def learn(self, words: list[str]) -> None:
-        super().learn(sorted(words))
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return self.vocabulary.encode_sorted([w.replace(" ", MARK) for w in words])
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words are sorted, so that neighbours share prefixes, and their ids put back in the given order."""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        got: list[list[int]] = [[]] * len(words)
+        for at, ids in zip(order, self.vocabulary.encode_sorted([words[i].replace(" ", MARK) for i in order]), strict=True):
+            got[at] = ids
+        return np.array([i for x in got for i in x], np.uint32), np.fromiter(map(len, got), np.int32, len(got))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and their offsets. A text that is not empty gets a marker in front."""

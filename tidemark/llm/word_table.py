@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .arrow_text import Words
 
-#: Words that a worker remembers with their ids.
-REMEMBERED = 700_000
+#: Words that a worker remembers with their ids, and the bytes of text that are looked up at once.
+REMEMBERED, LOOKUP_BYTES = 1_500_000, 8 << 20
 
 
 class WordTable:
-    """Remembers the ids of words. When full it forgets all of them, so its memory is bounded."""
+    """Remembers the ids of words. When full it forgets all of them, so its memory is bounded.
+
+    The words stay in Arrow: a slice's distinct words are looked up among the known ones by their bytes,
+    and only new words become Python strings.
+    """
 
     def __init__(self):
         self.forget()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, and the number of ids of each."""
         raise NotImplementedError
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.off, self.len, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.known = pa.array([], pa.string())
+        self.off, self.len, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32)
         self.n = self.used = 0
 
     def grown(self, name: str, need: int) -> None:
@@ -33,33 +39,44 @@ class WordTable:
             setattr(self, name, wide)
 
     def learn(self, words: list[str]) -> None:
-        got = self.encode_words(words)
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        total, to = int(length.sum()), self.n + len(got)
-        for name, need in (("off", to), ("len", to), ("ids", self.used + total)):
+        """Gives the words the next slots, in their order."""
+        got, length = self.encode_words(words)
+        to = self.n + len(words)
+        for name, need in (("off", to), ("len", to), ("ids", self.used + len(got))):
             self.grown(name, need)
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+        self.ids[self.used : self.used + len(got)] = got
         self.len[self.n : to] = length
-        self.off[self.n : to] = self.used + np.cumsum(length) - length
-        self.slot.update(zip(words, range(self.n, to), strict=True))
-        self.n, self.used = to, self.used + total
+        self.off[self.n : to] = self.used + np.cumsum(length, dtype=np.int64) - length
+        self.n, self.used = to, self.used + len(got)
 
     def slots(self, words: Words) -> np.ndarray:
         """The slot of each word; new words are learned."""
+        if not len(words):
+            return np.zeros(0, np.int64)
         coded = words.array().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > REMEMBERED and self.slot:
+        distinct = coded.dictionary
+        if len(self.known) + len(distinct) > REMEMBERED and len(self.known):
             self.forget()
-        if new := [w for w in distinct if w not in self.slot]:
-            self.learn(new)
-        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
-        return slot[np.asarray(coded.indices, np.int64)] if len(words) else np.zeros(0, np.int64)
+        first = self.n - len(self.known)  # slots before the words'
+        at = pc.index_in(distinct, value_set=self.known)
+        if at.null_count:
+            new = distinct.filter(at.is_null())
+            self.learn(new.to_pylist())
+            slot = np.array(at.fill_null(-1), np.int64)
+            slot[slot < 0] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+        else:
+            slot = np.asarray(at, np.int64)
+        return (slot + first)[np.asarray(coded.indices)]
 
     def gathered(self, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slots end to end, and where each slot's ids start (one more at the end)."""
         length = self.len[each]
-        to = np.concatenate([[0], np.cumsum(length)])
-        return self.ids[np.repeat(self.off[each] - to[:-1], length) + np.arange(to[-1])], to
+        to = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(length, out=to[1:])
+        at = np.repeat(self.off[each] - to[:-1], length)
+        at += np.arange(to[-1])
+        return self.ids[at], to
 
 
 def run_binaries(values: np.ndarray, off: np.ndarray, dtype: str) -> pa.BinaryArray:
