@@ -136,13 +136,18 @@ def curve_key(vec: np.ndarray) -> np.ndarray:
 _models: dict[tuple[str, int], WordTokens] = {}
 
 
+def model_of(tokenizer: str, end_id: int) -> WordTokens:
+    """The table of this worker. A function of the module, so that all tasks of a worker find the same one."""
+    if (key := (tokenizer, end_id)) not in _models:
+        _models[key] = WordTokens(*key)
+    return _models[key]
+
+
 def _tokenized(tokenizer: str, end_id: int):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("curve", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := (tokenizer, end_id)) not in _models:
-            _models[key] = WordTokens(*key)
-        model, row = _models[key], TaskContext.get().partitionId() << 33
+        model, row = model_of(tokenizer, end_id), TaskContext.get().partitionId() << 33
         for part in slices(batches, "text", LOOKUP_BYTES):
             ids, off, vec = model.encode(part.column(1))
             packed = run_binaries(ids, off, "<u2" if model.model.get_vocab_size() <= 1 << 16 else "<u4")
