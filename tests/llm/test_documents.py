@@ -131,11 +131,13 @@ def brute_repeats(texts, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 2000])
+@pytest.mark.parametrize("words", [200, 150_000])
 @pytest.mark.parametrize("span", [5, 20])
-def test_repeats(spark, docs, monkeypatch, hot, span):
-    monkeypatch.setattr(substring, "HOT", hot)
-    monkeypatch.setattr(substring, "SHARD", 10)
+def test_repeats(spark, docs, monkeypatch, words, span):
+    """Few words a shard make several shards, and a group of its own of each."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", words)
+    monkeypatch.setattr(substring, "GROUP_BYTES", words * 100)
+    monkeypatch.setattr(substring, "PIECE", 16)
     want = brute_repeats(docs[1], span)
     got = {r["doc_id"]: r for r in substring.remove_repeats(docs[0], span, keep_text=True).collect()}
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: w[:3] for i, w in want.items()}
@@ -151,6 +153,31 @@ def test_repeats_same_id(spark):
     assert sorted((r["doc_id"] or 99, r["n_words"], r["n_removed"]) for r in got) == [(7, 30, 0), (7, 30, 0), (8, 31, 30), (9, 0, 0), (99, 30, 30)]
 
 
+def _cut(spark, texts, span=20):
+    got = substring.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), span).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {i: w[:3] for i, w in brute_repeats(texts, span).items()}
+
+
+def test_repeats_of_short_texts_only(spark):
+    """No text has a window, or none repeats."""
+    _cut(spark, {1: "short text", 2: None, 3: "", 4: "short text"})
+    _cut(spark, {1: " ".join(f"a{i}" for i in range(19)), 2: " ".join(f"a{i}" for i in range(19))})
+    _cut(spark, {1: " ".join(f"a{i}" for i in range(40)), 2: "b " * 5})
+
+
+def test_repeats_of_one_phrase_in_many_contexts(spark):
+    """An anchor with many segments: most windows are not in its first one, and some of those repeat."""
+    rng = random.Random(8)
+    phrase, ends = [f"p{i}" for i in range(12)], [[f"e{k}_{i}" for i in range(14)] for k in range(6)]
+    texts = {}
+    for i in range(60):
+        before = [f"{rng.choice('xyz')}{rng.randrange(9)}" for _ in range(rng.randrange(30))]
+        texts[i] = " ".join(before + phrase + ends[rng.randrange(6)][: rng.randrange(4, 15)] + [f"u{i}"])
+    texts[99] = " ".join(["same"] * 700 + phrase + ["same"] * 40)
+    for span in (5, 20):
+        _cut(spark, texts, span)
+
+
 @pytest.mark.parametrize("length", [16, 4096])
 def test_packing(spark, docs, length):
     from tokenizers import Tokenizer

@@ -1,51 +1,57 @@
-"""Repeated passages across documents, found with suffix automata of reference shards.
+"""Repeated passages across documents, found with broadcast suffix automata of reference shards.
 
 A window is `span` consecutive words; a word goes if a window over it also starts earlier in the
-corpus. One automaton of the whole corpus would be as large as the corpus, so the reference is cut
-into shards by content, and each shard's documents come to its automaton:
-
-* Of every window, the 8-word run with the least hash is its anchor. Equal windows have equal
-  anchors, so an anchor that stands only once in the corpus has no repeated window. A segment is the
-  stretch of windows that share one anchor place.
-* Documents with equal word sequences are one class: all but the first are repeats as a whole. Equal
-  segments are one class too; of the distinct ones, shard = hash of the anchor. An anchor with very
-  many distinct segments is dealt out by single windows instead, so no shard grows with a hot phrase.
-* In a shard, segments stream in corpus order through the suffix automaton of those before them. The
-  matching statistic at each word is the longest suffix seen earlier; where it reaches `span`, the
-  window is a repeat. The segment then joins the automaton. A shard's size is bounded by the number of
-  segments in it, so it is shuffled to one task rather than broadcast to all.
+corpus. The corpus is its own reference, so only what can be the first place of a repeat enters it:
+
+* Documents with equal word sequences (by SHA-256) are one class: all but the first are repeats as a whole.
+* Of every window, the 8-word run with the least hash is its anchor; a segment is the stretch of windows that share one
+  anchor place. Equal windows have equal anchors, so an anchor that stands once in the corpus has no
+  repeated window. Of an anchor that stands more often, the first segment joins the reference.
+* The reference is dealt into shards of bounded size by document. A task builds a shard's suffix automaton; each state
+  knows the first place of its strings. Shards are broadcast one bounded group after another, and the segments
+  whose anchor leads to the group stream against it. Where the matching statistic reaches `span`, the
+  window is a repeat if the state's first place is an earlier one. Words are compared as words.
+* Windows that are not in their anchor's first segment (one phrase in many contexts) go through the same steps
+  again with anchors as long as the window. Then each anchor has one content, and its first segment is its first place.
+
+So nothing is grouped by an anchor but its count and its first place, which are combined before the
+shuffle; a phrase that stands in a third of all documents costs each task its own share of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import PLAIN, U64, Words, mix, slices
-from .common import written
+from .common import released, shared_dir, written
 
 GRAM = 8
-#: Segments of a shard on average, and distinct segments from which an anchor is dealt out by windows.
-SHARD, HOT = 3000, 2000
+#: Words of a reference shard on average, windows of a streamed piece, and bytes of automata that are broadcast at once.
+SHARD_WORDS, PIECE, GROUP_BYTES = 150_000, 256, 64 << 20
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over words, with one entry for each state in three lists."""
+    """A generalised suffix automaton over words. `first` is the place of the last word of a state's first occurrence."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.first, self.words = [-1], [0], [-1], 0
 
     def add(self, words: list) -> None:
-        nxt, link, length, last = self.next, self.link, self.length, 0
-        for w in words:
+        """Adds a string; its words take the next places."""
+        nxt, link, length, first, last = self.next, self.link, self.length, self.first, 0
+        for at, w in enumerate(words, self.words):
             q = nxt[last].get(w)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._split(last, w, q)
@@ -54,6 +60,7 @@ class SuffixAutomaton:
             nxt.append({})
             length.append(length[last] + 1)
             link.append(0)
+            first.append(at)
             p = last
             while p >= 0 and w not in nxt[p]:
                 nxt[p][w] = new
@@ -62,6 +69,7 @@ class SuffixAutomaton:
                 q = nxt[p][w]
                 link[new] = q if length[q] == length[p] + 1 else self._split(p, w, q)
             last = new
+        self.words += len(words)
 
     def _split(self, p: int, w, q: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -69,24 +77,88 @@ class SuffixAutomaton:
         nxt.append(nxt[q].copy())
         length.append(length[p] + 1)
         link.append(link[q])
+        self.first.append(self.first[q])
         link[q] = new
         while p >= 0 and nxt[p].get(w) == q:
             nxt[p][w] = new
             p = link[p]
         return new
 
-    def matches(self, words: list) -> list[int]:
-        """The length of the longest suffix of words[:i + 1] that the automaton holds, for each i."""
-        nxt, link, length, state, have, out = self.next, self.link, self.length, 0, 0, []
-        for w in words:
-            to = nxt[state].get(w)
-            while to is None and state:
-                state = link[state]
-                have = length[state]
-                to = nxt[state].get(w)
-            if to is not None:
-                state, have = to, have + 1
-            out.append(have)
+    def arrays(self) -> dict[str, np.ndarray]:
+        each = np.fromiter(map(len, self.next), np.int32, len(self.next))
+        total = int(each.sum())
+        return {
+            "state": np.repeat(np.arange(len(each), dtype=np.int32), each),
+            "word": np.fromiter((w for x in self.next for w in x), np.int32, total),
+            "to": np.fromiter((q for x in self.next for q in x.values()), np.int32, total),
+            "link": np.array(self.link, np.int32),
+            "length": np.array(self.length, np.int32),
+            "first": np.array(self.first, np.int32),
+        }
+
+
+class Group:
+    """Automata of several shards as one set of arrays; each shard keeps a root of its own."""
+
+    def __init__(self, shards: dict[int, dict], span: int):
+        vocabulary = pa.concat_arrays([x["vocabulary"] for x in shards.values()]).dictionary_encode()
+        word = np.asarray(vocabulary.indices, np.int64)
+        self.vocabulary, self.span, self.root = vocabulary.dictionary, span, {}
+        states = words = known = 0
+        keys, to, parts = [], [], {"link": [], "length": [], "first": [], "begin": [], "doc": [], "body": [], "at": []}
+        for k, x in shards.items():
+            self.root[k] = states
+            keys.append((x["state"].astype(np.int64) + states) << 32 | word[known + x["word"]])
+            to.append(x["to"] + states)
+            parts["link"].append(np.where(x["link"] < 0, -1, x["link"] + states))
+            parts["first"].append(x["first"].astype(np.int64) + words)
+            parts["begin"].append(x["begin"] + words)
+            for name in ("length", "doc", "body", "at"):
+                parts[name].append(x[name])
+            states, words, known = states + len(x["link"]), words + x["n_words"], known + len(x["vocabulary"])
+        self.keys, self.to = np.concatenate(keys), np.concatenate(to).astype(np.int32)
+        order = np.argsort(self.keys)
+        self.keys, self.to = self.keys[order], self.to[order]
+        for name, x in parts.items():
+            setattr(self, name, np.concatenate(x))
+        # The state of the last `span` words: up the links as long as they hold as many, in steps that double.
+        up = np.maximum(self.link, 0)
+        self.top = np.where(self.length[up] >= span, up, np.arange(states)).astype(np.int32)
+        while not np.array_equal(to := self.top[self.top], self.top):
+            self.top = to
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether there is one."""
+        key = state.astype(np.int64) << 32 | word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.to[at], self.keys[at] == key
+
+    def matches(self, words: np.ndarray, off: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """For each word, the reference place of the first occurrence of the `span` words up to it, or -1.
+
+        All pieces stream side by side, a word of each at a time.
+        """
+        n = np.diff(off)
+        lanes = np.argsort(-n, kind="stable")
+        begin, n = off[:-1][lanes], n[lanes]
+        roots = np.array([self.root[k] for k in shard[lanes].tolist()], np.int32)
+        state, have, out = roots.copy(), np.zeros(len(n), np.int32), np.full(len(words), -1, np.int64)
+        for t in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -t, side="left"))  # pieces of more than t words
+            at = begin[:live] + t
+            w, s, h = words[at], state[:live], have[:live]
+            to, found = self.step(s, w)
+            todo = np.flatnonzero(~found & (w >= 0) & (s != roots[:live]))
+            while len(todo):
+                up = self.link[s[todo]]
+                s[todo], h[todo] = up, self.length[up]
+                to[todo], found[todo] = self.step(up, w[todo])
+                todo = todo[~found[todo] & (up != roots[todo])]
+            state[:live] = np.where(found, to, roots[:live])
+            have[:live] = np.where(found, h + 1, 0)
+            if t >= self.span - 1:
+                hit = np.flatnonzero(have[:live] >= self.span)
+                out[at[hit]] = self.first[self.top[state[hit]]]
         return out
 
 
@@ -94,12 +166,12 @@ def anchors(hashes: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray,
     """Segments of all texts as (anchor, first window, last window), windows counted from the text's start, and offsets by text."""
     gram = min(GRAM, span)
     n, total = np.diff(off), len(hashes)
-    run = np.zeros(total, U64)
-    padded = np.concatenate([hashes, np.zeros(span, U64)])
-    for k in range(gram):
-        run = mix(run + padded[k : k + total] + U64(k))
     windows = np.maximum(n - span + 1, 0)
     to = np.concatenate([[0], np.cumsum(windows)])
+    if not to[-1]:
+        none = np.zeros(0, np.int64)
+        return none.view(U64), none, none, np.zeros(len(off), np.int64)
+    run = runs_of(hashes, gram, 0)
     text = np.repeat(np.arange(len(n)), windows)
     at = np.arange(to[-1]) - np.repeat(to[:-1] - off[:-1], windows)  # word number of each window's start
     best, place = run[at], at.copy()
@@ -112,43 +184,52 @@ def anchors(hashes: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray,
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    begin = off[text]
-    return best[first], at[first] - begin[first], at[last] - begin[first] if len(first) else at[last], np.searchsorted(text[first], np.arange(len(n) + 1))
+    begin = off[text[first]]
+    return best[first], at[first] - begin, at[last] - begin, np.searchsorted(text[first], np.arange(len(n) + 1))
+
+
+def runs_of(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The hash of the `width` words from each word on (past the end, of zeros)."""
+    run = np.full(len(hashes), seed, U64)
+    padded = np.concatenate([hashes, np.zeros(width, U64)])
+    for k in range(width):
+        run = mix(run + padded[k : k + len(hashes)] + U64(k))
+    return run
 
 
 def joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all words, each followed by one space, and the place of each word (one more at the end)."""
-    length = words.ends - words.starts + 1
-    to = np.concatenate([[0], np.cumsum(length)])
-    at = np.repeat(words.starts - to[:-1], length) + np.arange(to[-1])
-    body = words.data[np.minimum(at, max(len(words.data) - 1, 0))].copy() if len(words) else np.zeros(0, np.uint8)
-    body[to[1:] - 1] = 32
+    to = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words.ends - words.starts + 1, out=to[1:])
+    body = np.full(to[-1], 32, np.uint8)
+    own = np.ones(to[-1], bool)
+    own[to[1:] - 1] = False
+    body[own] = words.data[words.inside]
     return body, to
 
 
 def _profiled(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text"):
             words = Words(part.column(1), PLAIN)
-            h, off = words.hashes(), words.off
-            spread = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + mix((np.arange(len(h)) - off[words.text_of()]).astype(U64))), dtype=U64)])
-            spread2 = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ mix((np.arange(len(h)) - off[words.text_of()]).astype(U64) + U64(7))), dtype=U64)])
+            off = words.off
             body, to = joined(words)
             raw = body.tobytes()
-            sha = [hashlib.sha256(raw[to[a] : max(to[b] - 1, to[a])]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
-            anchor, first, last, seg = anchors(h, off, span)
+            sha = [hashlib.sha256(raw[a : max(b - 1, a)]).hexdigest() for a, b in zip(to[off[:-1]].tolist(), to[off[1:]].tolist(), strict=True)]
+            anchor, first, last, seg = anchors(words.hashes(), off, span)
             cuts = pa.array(seg.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(np.diff(off)), pa.array((spread[off[1:]] - spread[off[:-1]]).view(np.int64)), pa.array((spread2[off[1:]] - spread2[off[:-1]]).view(np.int64)), pa.array(sha)]
+                [part.column(0), part.column(2), pa.array(np.diff(off)), pa.array(sha, pa.string())]
                 + [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (anchor.view(np.int64), first.astype(np.int32), last.astype(np.int32))],
-                names=["doc", "body", "n_words", "seq", "seq2", "sha", "anchor", "first", "last"],
+                names=["doc", "body", "n_words", "sha", "anchor", "first", "last"],
             )
 
     return run
 
 
-def _segments(span: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()), ("body", pa.int64()), ("windows", pa.int32()), ("words", pa.string())])
+def _stretched(span: int, shards: int):
+    """Text of the runs of windows: `ref` rows of first segments, whole; others in pieces of at most PIECE windows."""
+    schema = pa.schema([("ref", pa.bool_()), ("shard", pa.int32()), ("doc", pa.int64()), ("body", pa.int64()), ("first", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -158,41 +239,115 @@ def _segments(span: int):
             runs = part.column(3)
             flat = runs.flatten()
             text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets)))
-            anchor, first, last = (np.asarray(flat.field(i)) for i in range(3))
-            begin, end = to[words.off[text] + first], to[words.off[text] + last + span] - 1
-            own = [raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(first), part.column(1).take(pa.array(text)), pa.array(last - first + 1), pa.array(own, pa.string())], schema=schema)
+            first, last, origin, head = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            shard = (origin.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((first, shard, head, text))
+            text, first, last, shard, head = (x[order] for x in (text, first, last, shard, head))
+            new = np.ones(len(text), bool)  # the reference is joined across shared words, the rest only from window to window
+            reach = np.where(head[:-1], span, 1)
+            new[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1]) | (head[1:] != head[:-1]) | (first[1:] > last[:-1] + reach)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(text)) - 1
+            count = last[end] - first[begin] + 1
+            cuts = np.where(head[begin], 1, -(-count // PIECE))
+            row = np.repeat(begin, cuts)
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
+            lo = first[row] + at
+            hi = np.where(head[row], np.repeat(last[end], cuts), np.minimum(lo + PIECE - 1, np.repeat(last[end], cuts)))
+            base = words.off[text[row]]
+            own = [raw[a:b] for a, b in zip(to[base + lo].tolist(), (to[base + hi + span] - 1).tolist(), strict=True)]
+            of = pa.array(text[row])
+            yield pa.RecordBatch.from_arrays([pa.array(head[row]), pa.array(shard[row]), part.column(0).take(of), part.column(1).take(of), pa.array(lo, pa.int32()), pa.array(own, pa.binary()).cast(pa.string())], schema=schema)
 
     return run
 
 
-def _streamed(span: int):
-    """Repeated windows of a shard's segments, as (doc, body, first word, last word)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("anchor", "doc", "first", "body", "words")), strict=True))
-        automaton, of = SuffixAutomaton(), None
-        for anchor, doc, first, body, text in rows:
-            if anchor != of:  # windows with different anchors are never equal
-                automaton, of = SuffixAutomaton(), anchor
-            words = text.split(" ")
-            seen = automaton.matches(words)
-            hits = [i - span + 1 for i in range(span - 1, len(words)) if seen[i] >= span]
-            if len(hits) < len(words) - span + 1:
-                automaton.add(words)
-            at = 0
-            while at < len(hits):
-                to = at
-                while to + 1 < len(hits) and hits[to + 1] == hits[to] + 1:
-                    to += 1
-                out.append((doc, body, first + hits[at], first + hits[to] + span - 1))
-                at = to + 1
-        return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[], [], [], []])], names=["doc", "body", "lo", "hi"])
+def _built(table: pa.Table) -> pa.Table:
+    """The suffix automaton of a shard's reference, added in corpus order."""
+    table = table.combine_chunks().sort_by([("doc", "ascending"), ("first", "ascending"), ("body", "ascending")])
+    words = Words(table.column("words").combine_chunks(), PLAIN)
+    coded = words.array().dictionary_encode()
+    ids, off = np.asarray(coded.indices).tolist(), words.off.tolist()
+    automaton = SuffixAutomaton()
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        automaton.add(ids[a:b])
+    blob = automaton.arrays() | {"vocabulary": coded.dictionary, "n_words": len(ids), "begin": words.off[:-1].astype(np.int64)}
+    blob |= {"doc": np.asarray(table.column("doc")), "body": np.asarray(table.column("body")), "at": np.asarray(table.column("first")).astype(np.int64)}
+    raw = pickle.dumps(blob, protocol=5)
+    return pa.table({"shard": table.column("shard")[:1], "size": pa.array([len(raw)], pa.int64()), "blob": pa.array([raw], pa.binary())})
+
+
+def _matched(group, span: int, seed: int):
+    """Repeated spans as (doc, body, first word, last word, null), and windows not found as (doc, body, window, window, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for part in slices(batches, "words"):
+            own = own or group.value
+            words = Words(part.column(4), PLAIN)
+            coded = words.array().dictionary_encode()
+            known = pc.index_in(coded.dictionary, value_set=own.vocabulary).fill_null(-1)
+            ids = np.asarray(known, np.int64)[np.asarray(coded.indices)]
+            place = own.matches(ids, words.off, np.asarray(part.column(0)))
+            piece = words.text_of()
+            end = np.flatnonzero(np.arange(len(ids)) - words.off[piece] >= span - 1)  # last words of windows
+            place, piece = place[end], piece[end]
+            doc, body, base = (np.asarray(part.column(i)).astype(np.int64) for i in (1, 2, 3))
+            lo = base[piece] + end - (span - 1) - words.off[piece]
+            found = place >= 0
+            ref = np.searchsorted(own.begin, np.maximum(place, 0), side="right") - 1
+            at = own.at[ref] + place - own.begin[ref] - (span - 1)
+            mine = (doc[piece], lo, body[piece])
+            theirs = (own.doc[ref], at, own.body[ref])
+            less = (theirs[0] < mine[0]) | ((theirs[0] == mine[0]) & ((theirs[1] < mine[1]) | ((theirs[1] == mine[1]) & (theirs[2] < mine[2]))))
+            same = (theirs[0] == mine[0]) & (theirs[1] == mine[1]) & (theirs[2] == mine[2])
+            gone = np.flatnonzero(found & less)
+            new = np.ones(len(gone), bool)
+            new[1:] = (piece[gone[1:]] != piece[gone[:-1]]) | (lo[gone[1:]] != lo[gone[:-1]] + 1)
+            a = gone[new]
+            b = gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1] if len(gone) else gone
+            rest = np.flatnonzero(~found | ~(less | same))
+            anchor = runs_of(words.hashes(), span, seed)[end[rest] - (span - 1)].view(np.int64)
+            at = np.concatenate([a, rest])
+            columns = [doc[piece[at]], body[piece[at]], lo[at], np.concatenate([lo[b] + span - 1, lo[rest]])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(anchor)])], names=["doc", "body", "lo", "hi", "anchor"])
 
     return run
 
 
+def _streamed(held: DataFrame, shards: int, span: int, seed: int) -> DataFrame:
+    """What _matched says of all runs of `held`, one broadcast group of shards after another."""
+    spark = held.sparkSession
+    pieces = held.mapInArrow(_stretched(span, shards), "ref boolean, shard int, doc long, body long, first int, words string")
+    pieces = written(pieces.repartitionByRange("shard", "doc").sortWithinPartitions("shard"), "stretches")
+    automata = written(pieces.filter("ref").drop("ref").groupBy("shard").applyInArrow(_built, "shard int, size long, blob binary"), "automata")
+    together = shards
+    while together > 1 and automata.groupBy(F.floor(F.col("shard") / together)).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] > GROUP_BYTES:
+        together = -(-together // 2)
+    path = f"{shared_dir(spark)}/tidemark/matched-{uuid.uuid4().hex}"
+    for begin in range(0, shards, together):
+        inside = F.col("shard").between(begin, begin + together - 1)
+        blobs = {r["shard"]: pickle.loads(r["blob"]) for r in automata.filter(inside).select("shard", "blob").collect()}  # GROUP_BYTES at most
+        if blobs:
+            group = spark.sparkContext.broadcast(Group(blobs, span))
+            rows = pieces.filter(inside & ~F.col("ref")).drop("ref").mapInArrow(_matched(group, span, seed), "doc long, body long, lo long, hi long, anchor long")
+            rows.write.mode("append").option("compression", "zstd").parquet(path)
+            group.destroy()
+    released(pieces, automata)
+    return spark.read.schema("doc long, body long, lo long, hi long, anchor long").parquet(path)
+
+
+def _live(segments: DataFrame) -> DataFrame:
+    """Segments whose anchor stands more than once, the `origin` (a hash of the document) of its first one, and whether they are it."""
+    twice = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    live = written(segments.join(twice, "anchor"), "live")
+    heads = live.groupBy("anchor").agg(F.min(F.struct("doc", "first", "body")).alias("at"))
+    marked = live.join(heads, "anchor").select("doc", "body", "first", "last", F.xxhash64("at.doc", "at.body").alias("origin"), (F.struct("doc", "first", "body") == F.col("at")).alias("head"))
+    marked = written(marked, "marked")
+    released(live)
+    return marked
+
+
 def _removed(keep_text: bool):
     names = ["doc", "body", "n_removed", "sha", "kept"]
 
@@ -227,53 +382,59 @@ def _removed(keep_text: bool):
     return run
 
 
-def _folded(occurrences: DataFrame, key: list[str], span: int) -> tuple[DataFrame, DataFrame]:
-    """The first occurrence of each class, and the spans of all others."""
-    place = F.struct("doc", "first", "body")
-    first = occurrences.groupBy(*key).agg(F.min(place).alias("at"))
-    marked = occurrences.join(first, key).withColumn("own", place == F.col("at"))
-    later = marked.filter("not own").select("doc", "body", F.col("first").cast("long").alias("lo"), (F.col("first") + F.col("windows") + span - 2).cast("long").alias("hi"))
-    return marked.filter("own").drop("own", "at"), later
+def _runs(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("doc", "body").agg(F.collect_list(F.struct("first", "last", "origin", "head")).alias("runs"))
+
+
+def _shards(marked: DataFrame, span: int) -> int:
+    """How many shards the reference fills; 0 if nothing is repeated."""
+    words = marked.filter("head").agg(F.sum(F.col("last") - F.col("first") + span)).first()[0]
+    return -(-(words or 0) // SHARD_WORDS)
 
 
 def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, changed_only: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with `keep_text` the column kept_text) of every row.
 
-    Takes `doc_id` and `text`; other columns are ignored. Null text has no words. Earlier means a
-    smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Of rows that
+    Takes `doc_id` and `text`; other columns are ignored. Null text has no words; a text of fewer than `span` words
+    stays. Earlier means a smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Of rows that
     share a doc_id, equal texts are judged alike and neither repeats the other; different texts at
     the same start count in the order of their hashes. An empty table gives no rows. kept_text is null
     for a null text; with `changed_only` it is null wherever nothing was removed, unchanged texts are not moved for it,
     and `body`, the xxhash64 of the text, tells rows of one doc_id apart.
     """
+    spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     source = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
-    profile = written(
-        source.select("doc", "text", "body").mapInArrow(_profiled(span), "doc long, body long, n_words long, seq long, seq2 long, sha string, anchor array<long>, first array<int>, last array<int>"), "profile"
-    )
-    long_ = profile.filter(F.col("n_words") >= span)
-    first = long_.groupBy("seq", "seq2").agg(F.min("doc").alias("origin"), F.count(F.lit(1)).alias("copies"))
-    copied = written(first.filter("copies > 1").drop("copies"), "copied")
-    # Only classes with copies are kept, so that unique documents need no join partner.
-    own = profile.join(copied, ["seq", "seq2"], "left").withColumn("copy", F.coalesce((F.col("doc") != F.col("origin")) & (F.col("n_words") >= span), F.lit(False)))
-    runs = own.filter(~F.col("copy") & (F.col("n_words") >= span)).select("doc", "body", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc", "body", "r.*")
-    live = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    runs = runs.join(live, "anchor").groupBy("doc", "body").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
-    held = written(source.join(runs, ["doc", "body"]).select("doc", "body", "text", "runs").dropDuplicates(["doc", "body"]), "held")
-    places = held.mapInArrow(_segments(span), "anchor long, doc long, first int, body long, windows int, words string").withColumn("segment", F.xxhash64("words"))
-    places = written(places, "segments")
-    distinct, later = _folded(places, ["anchor", "segment"], span)
-    distinct = written(distinct, "distinct")
-    hot = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("anchor"), "hot")
-    shards = max(1, -(-distinct.count() // SHARD))
-    cold = distinct.join(hot, "anchor", "left_anti").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    streamed = cold.applyInArrow(_streamed(span), "doc long, body long, lo long, hi long")
-    each = distinct.join(hot, "anchor", "left_semi").select("doc", "body", F.col("first").alias("base"), F.split("words", " ").alias("w"), F.explode(F.expr("sequence(0, windows - 1)")).alias("k"))
-    each = each.select("doc", "body", (F.col("base") + F.col("k")).alias("first"), F.lit(1).alias("windows"), F.xxhash64(F.slice("w", F.col("k") + 1, span)).alias("window"), F.hash(F.slice("w", F.col("k") + 1, span)).alias("window2"))
-    spans = later.unionByName(streamed).unionByName(_folded(each, ["window", "window2"], span)[1])
-    spans = spans.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    cut = held.join(spans, ["doc", "body"]).select("doc", "body", "text", "spans").mapInArrow(_removed(keep_text), "doc long, body long, n_removed long, sha string, kept string")
-    out = own.select("doc", "body", "n_words", "copy", F.col("sha").alias("whole")).join(cut, ["doc", "body"], "left")
+    profile = written(source.select("doc", "text", "body").mapInArrow(_profiled(span), "doc long, body long, n_words long, sha string, anchor array<long>, first array<int>, last array<int>"), "profile")
+    classes = profile.filter(F.col("n_words") >= span).groupBy("sha").agg(F.min("doc").alias("origin"), F.count(F.lit(1)).alias("copies"))
+    copied = written(classes.filter("copies > 1").select("sha", "origin"), "copied")  # unique documents need no join partner
+    copy = F.coalesce((F.col("doc") != F.col("origin")) & (F.col("n_words") >= span), F.lit(False))
+    own = written(profile.select("doc", "body", "n_words", "sha").join(copied, "sha", "left").withColumn("copy", copy).drop("origin"), "own")
+    single = profile.filter(F.size("anchor") > 0).join(copied, "sha", "left").filter(~copy)
+    segments = single.select("doc", "body", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc", "body", "r.*")
+    spans, held, level, spent = [], None, 0, [profile]
+    while shards := _shards(marked := _live(segments), span):
+        runs = _runs(marked)
+        if held is None:  # the texts that hold a repeated anchor; all later steps read these
+            held = written(source.join(runs, ["doc", "body"]).select("doc", "body", "text", "runs").dropDuplicates(["doc", "body"]), "held")
+        level += 1
+        texts = held if level == 1 else held.drop("runs").join(runs, ["doc", "body"]).select("doc", "body", "text", "runs")
+        found = _streamed(texts, shards, span, level)
+        released(marked, *spent)
+        spent = []
+        spans.append(found.filter("anchor is null").select("doc", "body", "lo", "hi"))
+        segments = found.filter("anchor is not null").select("doc", "body", "anchor", F.col("lo").cast("int").alias("first"), F.col("lo").cast("int").alias("last"))
+    released(marked, *spent)
+    out = own.select("doc", "body", "n_words", "copy", F.col("sha").alias("whole"))
+    if held is None:
+        out = out.withColumns({"n_removed": F.lit(None).cast("long"), "sha": F.lit(None).cast("string"), "kept": F.lit(None).cast("string")})
+    else:
+        every = spans[0]
+        for more in spans[1:]:
+            every = every.unionByName(more)
+        every = every.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        cut = held.join(every, ["doc", "body"]).select("doc", "body", "text", "spans").mapInArrow(_removed(keep_text), "doc long, body long, n_removed long, sha string, kept string")
+        out = out.join(cut, ["doc", "body"], "left")
     result = [
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
         "n_words",
@@ -286,4 +447,4 @@ def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, cha
         return out.select(*result, F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept_text"), "body")
     texts = source.dropDuplicates(["doc", "body"])
     kept = F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text"))
-    return out.join(texts, ["doc", "body"]).select(*result, kept.alias("kept_text"))
+    return out.join(texts, [out["doc"] == texts["doc"], out["body"].eqNullSafe(texts["body"])]).drop(texts["doc"], texts["body"]).select(*result, kept.alias("kept_text"))
