@@ -32,17 +32,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    spark._jvm.System.gc()  # the step's shuffle files have no reader any more: Spark's cleaner drops what is unreachable
     return out
 
 
 def released(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made and nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished steps."""
+    """Deletes tables that `written` made and nothing reads any more."""
     for df in tables:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

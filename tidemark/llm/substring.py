@@ -5,16 +5,16 @@ corpus. The corpus is its own reference, so only what can be the first place of
 
 * Documents with equal word sequences (by SHA-256) are one class: all but the first are repeats as a whole.
 * Of every window, the 8-word run with the least hash is its anchor; a segment is the stretch of windows that share one
-  anchor place. Equal windows have equal anchors, so an anchor that stands once in the corpus has no
-  repeated window. Of an anchor that stands more often, the first segment joins the reference.
+  anchor place. Equal windows have equal anchors, so an anchor that stands once among different documents has no
+  repeated window. Of an anchor that stands more often, the segments of the first document join the reference.
 * The reference is dealt into shards of bounded size by document. A task builds a shard's suffix automaton; each state
   knows the first place of its strings. Shards are broadcast one bounded group after another, and the segments
   whose anchor leads to the group stream against it. Where the matching statistic reaches `span`, the
   window is a repeat if the state's first place is an earlier one. Words are compared as words.
-* Windows that are not in their anchor's first segment (one phrase in many contexts) go through the same steps
-  again with anchors as long as the window. Then each anchor has one content, and its first segment is its first place.
+* Windows that their anchor's first document lacks (one phrase in many contexts) go through the same steps
+  again with anchors as long as the window. Then each anchor has one content, and its first document holds it.
 
-So nothing is grouped by an anchor but its count and its first place, which are combined before the
+So of an anchor only its first document and whether it repeats are aggregated, combined before the
 shuffle; a phrase that stands in a third of all documents costs each task its own share of them.
 """
 
@@ -36,8 +36,8 @@ from .common import released, shared_dir, written
 
 GRAM = 8
 #: Words of a reference shard on average, windows of a streamed piece, and bytes of automata that are broadcast at once.
-SHARD_WORDS, PIECE, GROUP_BYTES = 150_000, 256, 64 << 20
-LAST = (1 << 63) - 1
+SHARD_WORDS, PIECE, GROUP_BYTES = 150_000, 256, 32 << 20
+NO_ID = 1 << 62
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -209,6 +209,8 @@ def joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiled(span: int):
+    """Per text: words, SHA-256, and its segments: anchor, windows as (first << 32) + more windows, and whether the anchor stands there twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column(1), PLAIN)
@@ -217,12 +219,14 @@ def _profiled(span: int):
             raw = body.tobytes()
             sha = [hashlib.sha256(raw[a : max(b - 1, a)]).hexdigest() for a, b in zip(to[off[:-1]].tolist(), to[off[1:]].tolist(), strict=True)]
             anchor, first, last, seg = anchors(words.hashes(), off, span)
+            text = np.repeat(np.arange(len(off) - 1), np.diff(seg))
+            order = np.lexsort((anchor, text))
+            same = (text[order[1:]] == text[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+            again = np.zeros(len(anchor), bool)
+            again[order[1:][same]] = True
             cuts = pa.array(seg.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(np.diff(off)), pa.array(sha, pa.string())]
-                + [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (anchor.view(np.int64), first.astype(np.int32), last.astype(np.int32))],
-                names=["doc", "body", "n_words", "sha", "anchor", "first", "last"],
-            )
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (anchor.view(np.int64), first << 32 | last - first, again)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(off)), pa.array(sha, pa.string()), *lists], names=["doc", "body", "no_id", "n_words", "sha", "anchor", "place", "again"])
 
     return run
 
@@ -239,8 +243,14 @@ def _stretched(span: int, shards: int):
             runs = part.column(3)
             flat = runs.flatten()
             text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets)))
-            first, last, origin, head = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            shard = (origin.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            place, origin = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            shard = (mix(origin.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            # A segment of the anchor's first document is reference, and is streamed as well: it may repeat within the document.
+            own = np.flatnonzero(origin == np.asarray(part.column(0))[text])
+            head = np.arange(len(text) + len(own)) >= len(text)
+            text, place, shard = (np.concatenate([x, x[own]]) for x in (text, place, shard))
+            first = place >> 32
+            last = first + (place & 0xFFFFFFFF)
             order = np.lexsort((first, shard, head, text))
             text, first, last, shard, head = (x[order] for x in (text, first, last, shard, head))
             new = np.ones(len(text), bool)  # the reference is joined across shared words, the rest only from window to window
@@ -264,7 +274,7 @@ def _stretched(span: int, shards: int):
 
 def _built(table: pa.Table) -> pa.Table:
     """The suffix automaton of a shard's reference, added in corpus order."""
-    table = table.combine_chunks().sort_by([("doc", "ascending"), ("first", "ascending"), ("body", "ascending")])
+    table = table.combine_chunks().sort_by([("doc", "ascending"), ("body", "ascending"), ("first", "ascending")])
     words = Words(table.column("words").combine_chunks(), PLAIN)
     coded = words.array().dictionary_encode()
     ids, off = np.asarray(coded.indices).tolist(), words.off.tolist()
@@ -297,8 +307,8 @@ def _matched(group, span: int, seed: int):
             found = place >= 0
             ref = np.searchsorted(own.begin, np.maximum(place, 0), side="right") - 1
             at = own.at[ref] + place - own.begin[ref] - (span - 1)
-            mine = (doc[piece], lo, body[piece])
-            theirs = (own.doc[ref], at, own.body[ref])
+            mine = (doc[piece], body[piece], lo)
+            theirs = (own.doc[ref], own.body[ref], at)
             less = (theirs[0] < mine[0]) | ((theirs[0] == mine[0]) & ((theirs[1] < mine[1]) | ((theirs[1] == mine[1]) & (theirs[2] < mine[2]))))
             same = (theirs[0] == mine[0]) & (theirs[1] == mine[1]) & (theirs[2] == mine[2])
             gone = np.flatnonzero(found & less)
@@ -338,14 +348,15 @@ def _streamed(held: DataFrame, shards: int, span: int, seed: int) -> DataFrame:
 
 
 def _live(segments: DataFrame) -> DataFrame:
-    """Segments whose anchor stands more than once, the `origin` (a hash of the document) of its first one, and whether they are it."""
-    twice = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    live = written(segments.join(twice, "anchor"), "live")
-    heads = live.groupBy("anchor").agg(F.min(F.struct("doc", "first", "body")).alias("at"))
-    marked = live.join(heads, "anchor").select("doc", "body", "first", "last", F.xxhash64("at.doc", "at.body").alias("origin"), (F.struct("doc", "first", "body") == F.col("at")).alias("head"))
-    marked = written(marked, "marked")
-    released(live)
-    return marked
+    """Anchors that stand in two documents of different words, or twice in one, and the first document of each."""
+    met = segments.groupBy("anchor").agg(F.min("doc").alias("origin"), F.min("class").alias("least"), F.max("class").alias("most"), F.max("again").alias("again"))
+    return written(met.filter("again or least <> most").select("anchor", "origin"), "live")
+
+
+def _runs(segments: DataFrame, live: DataFrame, own: DataFrame) -> DataFrame:
+    """The segments with a live anchor of each document that is no copy."""
+    runs = segments.join(live.hint("merge"), "anchor").groupBy("doc", "body").agg(F.collect_list(F.struct("place", "origin")).alias("runs"))
+    return written(runs.join(own.filter("not copy").select("doc", "body").dropDuplicates().hint("merge"), ["doc", "body"]), "runs")
 
 
 def _removed(keep_text: bool):
@@ -382,50 +393,42 @@ def _removed(keep_text: bool):
     return run
 
 
-def _runs(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("doc", "body").agg(F.collect_list(F.struct("first", "last", "origin", "head")).alias("runs"))
-
-
-def _shards(marked: DataFrame, span: int) -> int:
-    """How many shards the reference fills; 0 if nothing is repeated."""
-    words = marked.filter("head").agg(F.sum(F.col("last") - F.col("first") + span)).first()[0]
-    return -(-(words or 0) // SHARD_WORDS)
-
-
 def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, changed_only: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with `keep_text` the column kept_text) of every row.
 
     Takes `doc_id` and `text`; other columns are ignored. Null text has no words; a text of fewer than `span` words
-    stays. Earlier means a smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Of rows that
-    share a doc_id, equal texts are judged alike and neither repeats the other; different texts at
-    the same start count in the order of their hashes. An empty table gives no rows. kept_text is null
-    for a null text; with `changed_only` it is null wherever nothing was removed, unchanged texts are not moved for it,
-    and `body`, the xxhash64 of the text, tells rows of one doc_id apart.
+    stays. Earlier means a smaller doc_id, or the same document and an earlier start. Null ids come last (as ids from
+    2**62 on), in the order of the texts' hashes, and so do different texts of one doc_id among each other; of rows that
+    share a doc_id (or have none), equal texts are judged alike and neither repeats the other.
+    An empty table gives no rows. kept_text is null for a null text; with `changed_only` it is null wherever nothing was
+    removed, unchanged texts are not moved for it, and `body`, the xxhash64 of the text, tells rows of one doc_id apart.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    source = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
-    profile = written(source.select("doc", "text", "body").mapInArrow(_profiled(span), "doc long, body long, n_words long, sha string, anchor array<long>, first array<int>, last array<int>"), "profile")
-    classes = profile.filter(F.col("n_words") >= span).groupBy("sha").agg(F.min("doc").alias("origin"), F.count(F.lit(1)).alias("copies"))
+    body = F.xxhash64(F.col("text").cast("string"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(body, 2))
+    source = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"), body.alias("body"), F.col("doc_id").isNull().alias("no_id"))
+    profile = written(
+        source.mapInArrow(_profiled(span), "doc long, body long, no_id boolean, n_words long, sha string, anchor array<long>, place array<long>, again array<boolean>"), "profile"
+    )
+    classes = profile.filter(F.col("n_words") >= span).groupBy("sha").agg(F.min(F.struct("doc", "body")).alias("origin"), F.count(F.lit(1)).alias("copies"))
     copied = written(classes.filter("copies > 1").select("sha", "origin"), "copied")  # unique documents need no join partner
-    copy = F.coalesce((F.col("doc") != F.col("origin")) & (F.col("n_words") >= span), F.lit(False))
-    own = written(profile.select("doc", "body", "n_words", "sha").join(copied, "sha", "left").withColumn("copy", copy).drop("origin"), "own")
-    single = profile.filter(F.size("anchor") > 0).join(copied, "sha", "left").filter(~copy)
-    segments = single.select("doc", "body", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc", "body", "r.*")
-    spans, held, level, spent = [], None, 0, [profile]
-    while shards := _shards(marked := _live(segments), span):
-        runs = _runs(marked)
-        if held is None:  # the texts that hold a repeated anchor; all later steps read these
-            held = written(source.join(runs, ["doc", "body"]).select("doc", "body", "text", "runs").dropDuplicates(["doc", "body"]), "held")
+    copy = F.coalesce((F.struct("doc", "body") != F.col("origin")) & (F.col("n_words") >= span), F.lit(False))
+    own = written(profile.select("doc", "body", "no_id", "n_words", "sha").join(copied.hint("merge"), "sha", "left").withColumn("copy", copy).drop("origin"), "own")
+    segments = profile.withColumn("class", F.xxhash64("sha")).select("doc", "body", "class", F.explode(F.arrays_zip("anchor", "place", "again")).alias("r")).select("doc", "body", "class", "r.*")
+    spans, held, level, spent = [], None, 0, [profile, copied]
+    while anchors_ := (live := _live(segments)).count():
         level += 1
-        texts = held if level == 1 else held.drop("runs").join(runs, ["doc", "body"]).select("doc", "body", "text", "runs")
-        found = _streamed(texts, shards, span, level)
-        released(marked, *spent)
-        spent = []
+        runs = _runs(segments.select("anchor", "doc", "body", "place"), live, own)
+        released(live, *spent)
+        if held is None:  # the texts that hold a repeated anchor; all later steps read these
+            held = written(source.select("doc", "body", "text").join(runs.hint("merge"), ["doc", "body"]).dropDuplicates(["doc", "body"]), "held")
+        texts = held if level == 1 else held.drop("runs").join(runs.hint("merge"), ["doc", "body"]).select("doc", "body", "text", "runs")
+        found = _streamed(texts, -(-anchors_ * span // SHARD_WORDS), span, level)
+        spent = [runs]
         spans.append(found.filter("anchor is null").select("doc", "body", "lo", "hi"))
-        segments = found.filter("anchor is not null").select("doc", "body", "anchor", F.col("lo").cast("int").alias("first"), F.col("lo").cast("int").alias("last"))
-    released(marked, *spent)
-    out = own.select("doc", "body", "n_words", "copy", F.col("sha").alias("whole"))
+        rest = found.filter("anchor is not null")
+        segments = rest.select("doc", "body", F.xxhash64("doc", "body", "lo").alias("class"), "anchor", F.shiftleft("lo", 32).alias("place"), F.lit(False).alias("again"))
+    released(live, *spent)
+    out = own.select("doc", "body", "no_id", "n_words", "copy", F.col("sha").alias("whole"))
     if held is None:
         out = out.withColumns({"n_removed": F.lit(None).cast("long"), "sha": F.lit(None).cast("string"), "kept": F.lit(None).cast("string")})
     else:
@@ -433,10 +436,10 @@ def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, cha
         for more in spans[1:]:
             every = every.unionByName(more)
         every = every.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-        cut = held.join(every, ["doc", "body"]).select("doc", "body", "text", "spans").mapInArrow(_removed(keep_text), "doc long, body long, n_removed long, sha string, kept string")
-        out = out.join(cut, ["doc", "body"], "left")
+        cut = held.drop("runs").join(every.hint("merge"), ["doc", "body"]).select("doc", "body", "text", "spans").mapInArrow(_removed(keep_text), "doc long, body long, n_removed long, sha string, kept string")
+        out = out.join(cut.hint("merge"), ["doc", "body"], "left")
     result = [
-        F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(_EMPTY)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
@@ -445,6 +448,6 @@ def remove_repeats(docs: DataFrame, span: int = 20, keep_text: bool = False, cha
         return out.select(result)
     if changed_only:
         return out.select(*result, F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept_text"), "body")
-    texts = source.dropDuplicates(["doc", "body"])
+    texts = source.select("doc", "body", "text").dropDuplicates(["doc", "body"])
     kept = F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text"))
-    return out.join(texts, [out["doc"] == texts["doc"], out["body"].eqNullSafe(texts["body"])]).drop(texts["doc"], texts["body"]).select(*result, kept.alias("kept_text"))
+    return out.join(texts, ["doc", "body"]).select(*result, kept.alias("kept_text"))
