@@ -36,7 +36,7 @@ from .common import released, shared_dir, written
 
 GRAM = 8
 #: Words of a reference shard on average, windows of a streamed piece, and bytes of automata that are broadcast at once.
-SHARD_WORDS, PIECE, GROUP_BYTES = 150_000, 256, 32 << 20
+SHARD_WORDS, PIECE, GROUP_BYTES = 50_000, 256, 32 << 20
 NO_ID = 1 << 62
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -292,7 +292,7 @@ def _matched(group, span: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for part in slices(batches, "words"):
+        for part in slices(batches, "words", 1 << 20):
             own = own or group.value
             words = Words(part.column(4), PLAIN)
             coded = words.array().dictionary_encode()
