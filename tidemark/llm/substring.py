@@ -35,8 +35,8 @@ from .arrow_text import PLAIN, U64, Words, mix, slices
 from .common import released, shared_dir, written
 
 GRAM = 8
-#: Words of a reference shard on average, windows of a streamed piece, and bytes of automata that are broadcast at once.
-SHARD_WORDS, PIECE, GROUP_BYTES = 50_000, 256, 32 << 20
+#: Words of a reference shard on average, windows of a streamed piece, and bytes of automata (before compression) that are broadcast at once.
+SHARD_WORDS, PIECE, GROUP_BYTES = 50_000, 256, 40 << 20
 NO_ID = 1 << 62
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -97,35 +97,67 @@ class SuffixAutomaton:
         }
 
 
+def squeezed(arrays: dict[str, np.ndarray]) -> dict[str, tuple]:
+    """Arrays as compressed differences: most states follow their neighbour, so these are mostly ones."""
+    return {name: (x.dtype.str, len(x), pa.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), "zstd", asbytes=True)) for name, x in arrays.items()}
+
+
+def restored(packed: dict[str, tuple]) -> dict[str, np.ndarray]:
+    out = {}
+    for name, (kind, n, raw) in packed.items():
+        flat = np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+        out[name] = np.cumsum(flat, dtype=kind)
+    return out
+
+
 class Group:
-    """Automata of several shards as one set of arrays; each shard keeps a root of its own."""
+    """Automata of several shards as one set of arrays; each shard keeps a root of its own.
+
+    Transitions are sorted by state and word. The group is pickled in its compressed form.
+    """
 
     def __init__(self, shards: dict[int, dict], span: int):
         vocabulary = pa.concat_arrays([x["vocabulary"] for x in shards.values()]).dictionary_encode()
-        word = np.asarray(vocabulary.indices, np.int64)
+        word = np.asarray(vocabulary.indices, np.int32)
         self.vocabulary, self.span, self.root = vocabulary.dictionary, span, {}
         states = words = known = 0
-        keys, to, parts = [], [], {"link": [], "length": [], "first": [], "begin": [], "doc": [], "body": [], "at": []}
+        parts: dict[str, list] = {name: [] for name in ("state", "word", "to", "link", "length", "first", "begin", "doc", "body", "at")}
         for k, x in shards.items():
+            a = restored(x["arrays"])
             self.root[k] = states
-            keys.append((x["state"].astype(np.int64) + states) << 32 | word[known + x["word"]])
-            to.append(x["to"] + states)
-            parts["link"].append(np.where(x["link"] < 0, -1, x["link"] + states))
-            parts["first"].append(x["first"].astype(np.int64) + words)
-            parts["begin"].append(x["begin"] + words)
+            parts["state"].append(a["state"] + states)
+            parts["word"].append(word[known + a["word"]])
+            parts["to"].append(a["to"] + states)
+            parts["link"].append(np.where(a["link"] < 0, -1, a["link"] + states).astype(np.int32))
+            parts["first"].append(a["first"] + words)
+            parts["begin"].append(a["begin"] + words)
             for name in ("length", "doc", "body", "at"):
-                parts[name].append(x[name])
-            states, words, known = states + len(x["link"]), words + x["n_words"], known + len(x["vocabulary"])
-        self.keys, self.to = np.concatenate(keys), np.concatenate(to).astype(np.int32)
-        order = np.argsort(self.keys)
-        self.keys, self.to = self.keys[order], self.to[order]
-        for name, x in parts.items():
-            setattr(self, name, np.concatenate(x))
+                parts[name].append(a[name])
+            states, words, known = states + len(a["link"]), words + x["n_words"], known + len(x["vocabulary"])
+        self.arrays = {name: np.concatenate(x) for name, x in parts.items()}
+        order = np.lexsort((self.arrays["word"], self.arrays["state"]))
+        for name in ("state", "word", "to"):
+            self.arrays[name] = self.arrays[name][order]
         # The state of the last `span` words: up the links as long as they hold as many, in steps that double.
-        up = np.maximum(self.link, 0)
-        self.top = np.where(self.length[up] >= span, up, np.arange(states)).astype(np.int32)
-        while not np.array_equal(to := self.top[self.top], self.top):
-            self.top = to
+        up = np.maximum(self.arrays["link"], 0)
+        top = np.where(self.arrays["length"][up] >= span, up, np.arange(states, dtype=np.int32))
+        while not np.array_equal(to := top[top], top):
+            top = to
+        self.arrays["top"] = top
+        self._open()
+
+    def _open(self) -> None:
+        self.__dict__.update((name, self.arrays[name]) for name in ("to", "link", "length", "first", "top", "begin", "doc", "body", "at"))
+        self.keys = self.arrays["state"].astype(np.int64) << 32 | self.arrays["word"]
+
+    def __getstate__(self) -> tuple:
+        return squeezed(self.arrays), self.vocabulary, self.span, self.root
+
+    def __setstate__(self, packed: tuple) -> None:
+        arrays, self.vocabulary, self.span, self.root = packed
+        self.arrays = restored(arrays)
+        self._open()
+        del self.arrays
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and whether there is one."""
@@ -281,10 +313,10 @@ def _built(table: pa.Table) -> pa.Table:
     automaton = SuffixAutomaton()
     for a, b in zip(off[:-1], off[1:], strict=True):
         automaton.add(ids[a:b])
-    blob = automaton.arrays() | {"vocabulary": coded.dictionary, "n_words": len(ids), "begin": words.off[:-1].astype(np.int64)}
-    blob |= {"doc": np.asarray(table.column("doc")), "body": np.asarray(table.column("body")), "at": np.asarray(table.column("first")).astype(np.int64)}
-    raw = pickle.dumps(blob, protocol=5)
-    return pa.table({"shard": table.column("shard")[:1], "size": pa.array([len(raw)], pa.int64()), "blob": pa.array([raw], pa.binary())})
+    arrays = automaton.arrays() | {"begin": words.off[:-1].astype(np.int32), "doc": np.array(table.column("doc"), np.int64), "body": np.array(table.column("body"), np.int64), "at": np.array(table.column("first"), np.int32)}
+    size = sum(x.nbytes for x in arrays.values())
+    raw = pickle.dumps({"vocabulary": coded.dictionary, "n_words": len(ids), "arrays": squeezed(arrays)}, protocol=5)
+    return pa.table({"shard": table.column("shard")[:1], "size": pa.array([size], pa.int64()), "blob": pa.array([raw], pa.binary())})
 
 
 def _matched(group, span: int, seed: int):
@@ -306,7 +338,7 @@ def _matched(group, span: int, seed: int):
             lo = base[piece] + end - (span - 1) - words.off[piece]
             found = place >= 0
             ref = np.searchsorted(own.begin, np.maximum(place, 0), side="right") - 1
-            at = own.at[ref] + place - own.begin[ref] - (span - 1)
+            at = place - own.begin[ref] - (span - 1) + own.at[ref]
             mine = (doc[piece], body[piece], lo)
             theirs = (own.doc[ref], own.body[ref], at)
             less = (theirs[0] < mine[0]) | ((theirs[0] == mine[0]) & ((theirs[1] < mine[1]) | ((theirs[1] == mine[1]) & (theirs[2] < mine[2]))))
