@@ -10,42 +10,69 @@ from tidemark.llm.common import table, written
 from tidemark.llm.queries import tokenizer_path
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1."""
+    """Documents that the quality classifier predicts as 1; all of them if no label can be learned from.
+
+    Rows come back whole, with all columns; nulls and empty texts are scored like any text, repeated rows each.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is told with a score of at least one half."""
+    """Documents with letters whose language is told with a score of at least one half; all of them if no language can be learned.
+
+    Rows come back whole, with all columns. A null text and one without a letter is rejected; repeated rows are judged each.
+    """
     model = language_id.train(docs)
-    return docs.limit(0) if model is None else language_id.keep_spoken(docs, model)
+    return docs if model is None else language_id.keep_spoken(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    A row is known by its doc_id and text, so rows that share an id, or have none, are judged each by its text.
+    A row is known by its doc_id and text, so rows that share an id, or have none, are judged each by its text;
+    of rows that are equal in both one stays. Texts without words all stay. Other columns come back as they are, whatever their names.
     """
+    id_, hash_, again = free(docs, "kept_id", "kept_hash", "kept_again")
     kept = written(minhash.near_duplicates(docs, by_text=True).filter("kept").select("doc_id", "body", (F.col("n_shingles") > 0).alias("worded")), "kept")
-    alone = kept.groupBy(F.col("doc_id").alias("kept_id"), "body").agg((F.max("worded") & (F.count(F.lit(1)) > 1)).alias("again"))
-    out = docs.join(alone, docs["doc_id"].eqNullSafe(alone["kept_id"]) & (F.xxhash64(docs["text"]) == alone["body"]))
-    if alone.filter("again").isEmpty():
+    alone = kept.groupBy(F.col("doc_id").alias(id_), F.col("body").alias(hash_)).agg((F.max("worded") & (F.count(F.lit(1)) > 1)).alias(again))
+    out = docs.join(alone, docs["doc_id"].eqNullSafe(alone[id_]) & (F.xxhash64(docs["text"]) == alone[hash_]))
+    if alone.filter(again).isEmpty():
         return out.select(docs.columns)
-    return out.filter(~F.col("again")).unionByName(out.filter("again").dropDuplicates(["doc_id", "body"])).select(docs.columns)
+    return out.filter(~F.col(again)).unionByName(out.filter(again).dropDuplicates(["doc_id", hash_])).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without their repeated passages of 20 words or more. A row is known by its doc_id and text."""
-    cut = substring.remove_repeats(docs, span=20, keep_text=True, changed_only=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "body", "kept_text")
+    """All documents without their repeated passages of 20 words or more; n_chars, if there is one, follows the text.
+
+    A row is known by its doc_id and text; equal rows are cut alike. Null, empty and short texts stay. Other
+    columns come back as they are, whatever their names.
+    """
+    id_, hash_, kept = free(docs, "cut_id", "cut_hash", "cut_text")
+    cut = substring.remove_repeats(docs.select("doc_id", "text"), span=20, keep_text=True, changed_only=True).filter("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias(id_), F.col("body").alias(hash_), F.col("kept_text").alias(kept))
     if not docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").isEmpty():
-        cut = cut.dropDuplicates(["cut_id", "body"])
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text") == F.col("body")), "left")
-    text = F.coalesce("kept_text", "text")
-    return joined.withColumns({"text": text, "n_chars": F.coalesce(F.char_length("kept_text").cast("long"), F.col("n_chars"))}).select(docs.columns)
+        cut = cut.dropDuplicates([id_, hash_])
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut[id_]) & (F.xxhash64(docs["text"]) == cut[hash_]), "left")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.char_length(kept).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return joined.withColumns(new).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens along the curve."""
+    """Pieces of all documents in sequences of 4096 tokens along the curve; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -40,3 +40,25 @@ def test_repeats_by_row(spark):
     rows = [(1, text(a, shared)), (2, text(shared, b)), (2, text(c)), (2, text(c)), (None, text(d)), (None, text(shared, d[:10]))]
     got = pairs(corpus_pipeline.drop_repeats(spark, frame(spark, rows), None))
     assert got == Counter([(1, text(a, shared)), (2, text(b)), (2, text(c)), (2, text(c)), (None, text(d)), (None, text(d[:10]))])
+
+
+def test_clashing_columns_and_no_n_chars(spark):
+    shared, a, b = words(30), words(40), words(40)
+    rows = [(1, " ".join(a + shared), "p", "q"), (2, " ".join(shared + b), "r", "s"), (3, "short", "t", "u"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut_text string, kept_id string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.drop_repeats(spark, docs, None).collect()}
+    assert got == {1: rows[0][1:], 2: (" ".join(b), "r", "s"), 3: rows[2][1:], 4: rows[3][1:]}
+    near_ = corpus_pipeline.drop_near_duplicates(spark, docs.withColumnsRenamed({"cut_text": "body", "kept_id": "kept"}), None)
+    assert near_.columns == ["doc_id", "text", "body", "kept"] and near_.count() == 4
+
+
+def test_short_texts_and_no_labels(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, [(1, "short text"), (2, None), (3, ""), (4, "other words")]).drop("lang").selectExpr("*", "cast(null as string) as lang")
+    want = pairs(docs)
+    assert pairs(corpus_pipeline.keep_quality(spark, docs, str(tmp_path))) == want
+    assert pairs(corpus_pipeline.keep_language(spark, docs, str(tmp_path))) == want
+    assert pairs(corpus_pipeline.drop_repeats(spark, docs, None)) == want
+    assert pairs(corpus_pipeline.drop_near_duplicates(spark, docs, None)) == want
+    empty = docs.limit(0)
+    assert not any(f(spark, empty, str(tmp_path)).count() for _, f in corpus_pipeline.STAGES)

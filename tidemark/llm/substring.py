@@ -362,7 +362,7 @@ def _streamed(held: DataFrame, shards: int, span: int, seed: int) -> DataFrame:
     spark = held.sparkSession
     pieces = held.mapInArrow(_stretched(span, shards), "ref boolean, shard int, doc long, body long, first int, words string")
     pieces = written(pieces.repartitionByRange("shard", "doc").sortWithinPartitions("shard"), "stretches")
-    automata = written(pieces.filter("ref").drop("ref").groupBy("shard").applyInArrow(_built, "shard int, size long, blob binary"), "automata")
+    automata = written(pieces.filter("ref").drop("ref").repartition(-(-shards // 4), "shard").groupBy("shard").applyInArrow(_built, "shard int, size long, blob binary"), "automata")
     together = shards
     while together > 1 and automata.groupBy(F.floor(F.col("shard") / together)).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] > GROUP_BYTES:
         together = -(-together // 2)
