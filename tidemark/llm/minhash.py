@@ -91,7 +91,7 @@ def _sketched(width: int):
             values, off = _sets(part.column(1), width)
             one, two = _keys(values, off)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BUCKETS), part.num_rows, [None, pa.py_buffer(registers(values, off))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(one), pa.array(two), packed, *part.columns[2:]], names=["doc_id", "n", "class", "class2", "regs", *part.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(one), pa.array(two), packed, *part.columns[2:]], names=["doc_id", "n", "key1", "key2", "regs", *part.schema.names[2:]])
 
     return run
 
@@ -117,7 +117,7 @@ def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             values, off = _sets(part.column(0), width)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(values, off)[0]), binaries(values, off)], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _keys(values, off)), binaries(values, off)], names=["key1", "key2", "set"])
 
     return run
 
@@ -188,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # so that a hub's edges can be split over tasks
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
@@ -216,14 +216,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text:
     """
     own = [F.xxhash64(F.col("text").cast("string")).alias("body")] if by_text else []
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(_sketched(width), f"doc_id long, n long, class long, class2 long, regs binary{', body long' * by_text}"), "sketches")
+    sketches = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(_sketched(width), f"doc_id long, n long, key1 long, key2 long, regs binary{', body long' * by_text}"), "sketches")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     least_row = [F.min(at).alias("at")] if by_text else []
-    classes = written(
-        sketches.filter("n > 0").groupBy("class", "class2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs"), *least_row).drop("class2"), "classes"
-    )
+    distinct = sketches.filter("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs"), *least_row)
+    # 128 bits tell shingle sets apart; a number of their own, fixed once it is written, stands for them from here on.
+    classes = written(distinct.withColumn("class", F.monotonically_increasing_id()), "classes")
     bands = classes.select("class", "regs").mapInArrow(_banded, "key long, class long, band int")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("size > 1")
+    # Written, so that the join reads two shuffles and a key with very many rows can be split over tasks.
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("size > 1"), "shared")
     buckets = written(bands.join(shared, "key"), "buckets")
     near = buckets.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     links = _links(source, classes, _ordered(near), width, percent)
@@ -232,11 +233,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text:
     found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
     rooted = classes.drop("n", "regs").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text)
-    of_class = rooted.drop("at").join(least, "component").drop("component", "doc_id")
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"), *["body"] * by_text).join(of_class, "class", "left")
-    kept = (F.col("n_shingles") == 0) | (at == F.col("at")) if by_text else F.col("doc_id").eqNullSafe(F.col("component_id"))
-    id_ = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", id_, *["body", "at"] * by_text).withColumn("kept", kept).drop("at")
+    of_class = written(rooted.drop("at").join(least, "component").select("key1", "key2", "component_id", *["at"] * by_text), "components")
+    body = ["body"] * by_text
+    worded = sketches.filter("n > 0").join(of_class, ["key1", "key2"])
+    kept = at == F.col("at") if by_text else F.col("doc_id").eqNullSafe(F.col("component_id"))
+    worded = worded.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *body, kept.alias("kept"))
+    return worded.unionByName(sketches.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *body, F.lit(True).alias("kept")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -255,11 +257,11 @@ def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
 def _sets_of(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(class, set) of the wanted classes, each from one of its rows."""
-    ids = wanted.join(classes.select("class", "doc_id"), "class")
+    ids = wanted.join(classes.select("class", "doc_id", "key1", "key2"), "class")
     # A text that shares the id but not the class is left out by the second join.
     own = source.join(ids.select("doc_id").distinct(), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = own.select("text").mapInArrow(_set_rows(width), "class long, set binary").join(wanted, "class", "left_semi")
-    return written(sets.dropDuplicates(["class"]), "sets")
+    sets = own.select("text").mapInArrow(_set_rows(width), "key1 long, key2 long, set binary").join(ids.drop("doc_id"), ["key1", "key2"])
+    return written(sets.select("class", "set").dropDuplicates(["class"]), "sets")
 
 
 def _rest(source: DataFrame, buckets: DataFrame, classes: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
