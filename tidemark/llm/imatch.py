@@ -28,7 +28,6 @@ TERMS = 1 << 18
 SUBSETS = ((0, 1), (2, 3), (3, 3), (4, 3), (5, 3), (6, 4), (7, 4), (8, 4), (9, 4))
 LAST = (1 << 63) - 1
 #: Documents of a bucket when the next document is looked up.
-BUCKET_BITS = 16
 
 
 def terms(text: Column) -> Column:
@@ -121,19 +120,20 @@ def likeness(a: Column, b: Column) -> Column:
 def neighbours(docs: DataFrame) -> DataFrame:
     """(doc, body, n, next_doc, next_body): the next document of each, by id and text hash; the first follows the last.
 
-    Ids are dealt into buckets of 2**16; the first document of the next bucket follows a bucket's last.
+    Ranges of (doc, body) of about equal size are led through each by itself, whatever the ids are; the head of the next
+    range follows a range's last document. Only the heads, one of each range, meet in one place.
     """
     narrow = docs.groupBy("doc", "body").agg(F.max(F.char_length("text")).alias("n"))
-    narrow = written(narrow.withColumn("bucket", F.shiftright("doc", BUCKET_BITS)), "narrow")
+    narrow = written(narrow.repartitionByRange("doc", "body").withColumn("range", F.spark_partition_id()), "narrow")
     head = F.struct("doc", "body")
-    heads = narrow.groupBy("bucket").agg(F.min(head).alias("head"))
+    heads = narrow.groupBy("range").agg(F.min(head).alias("head"))
     first = heads.agg(F.min("head")).first()[0]
     if first is None:
         return narrow.select("doc", "body", "n", F.col("doc").alias("next_doc"), F.col("body").alias("next_body"))
     whole = F.struct(F.lit(first["doc"]).cast("long").alias("doc"), F.lit(first["body"]).cast("long").alias("body"))
-    after = heads.select("bucket", F.coalesce(F.lead("head").over(Window.orderBy("bucket")), whole).alias("after"))
-    own = Window.partitionBy("bucket").orderBy("doc", "body")
-    led = narrow.withColumn("next", F.lead(head).over(own)).join(after, "bucket")
+    after = heads.select("range", F.coalesce(F.lead("head").over(Window.orderBy("head")), whole).alias("after"))
+    own = Window.partitionBy("range").orderBy("doc", "body")
+    led = narrow.withColumn("next", F.lead(head).over(own)).join(F.broadcast(after), "range")  # a row for each partition
     follow = F.coalesce("next", "after")
     return led.select("doc", "body", "n", follow["doc"].alias("next_doc"), follow["body"].alias("next_body"))
 
