@@ -132,7 +132,7 @@ def _meetings(spark, sf):
     return f.filter(F.col("sub") == "O"), f.filter(F.col("sub") == "P")
 
 
-MEET = """meet as (select symbol, d, id from filings where sub = 'O' and id % 50 = 0), res as (select distinct symbol, d from filings where sub = 'P' and id % 20 = 0),
+MEET = """meet as (select symbol, d, id from filings where sub = 'O'), res as (select distinct symbol, d from filings where sub = 'P'),
 iv as (select m.symbol, m.d as s, coalesce(min(r.d), cast(m.d + 15 as date)) as e from (select distinct symbol, d from meet) m left join res r on r.symbol = m.symbol and r.d between m.d and m.d + 15 group by m.symbol, m.d)"""
 
 
@@ -262,10 +262,10 @@ ORACLE = {
     "shifted_target": sql("bars", "symbol d:d target:f", f"{RV} ;; select symbol, d2 as d, rv as target from (select symbol, lead(d) over (partition by symbol order by d) as d2, rv from rv) where d2 is not null"),
     "announcement_flags": sql("bars cal filings", "symbol d:d", f"{MEET} ;; select distinct symbol, cal.d from iv join cal on cal.d between s and e"),
     "meet_before_results": sql("filings", "symbol d:d id", f"{MEET} ;; select * from meet m where exists (select 1 from res r where r.symbol = m.symbol and r.d between m.d and m.d + 15)"),
-    "call_live_fanout": sql("bars cal filings", "symbol d:d id days_since:i", """calls as (select f.symbol, f.d as pd, f.id, c.seq from filings f asof join cal c on f.d >= c.d where f.id % 40 = 0) ;;
+    "call_live_fanout": sql("bars cal filings", "symbol d:d id days_since:i", """calls as (select f.symbol, f.d as pd, f.id, c.seq from filings f asof join cal c on f.d >= c.d) ;;
       select symbol, d, id, seq - s0 as days_since from (select c.symbol, c.id, c.seq as s0, cal.seq, cal.d, row_number() over (partition by c.symbol, cal.seq order by c.pd desc, c.id desc) as r from calls c join cal on cal.seq between c.seq and c.seq + 9) where r = 1"""),
     "event_cluster": sql("filings", "symbol d:d", "select symbol, d from (select *, lag(d) over (partition by symbol order by d) as b from (select distinct symbol, d from filings where sub = 'P')) where b is null or d - b > 5"),
-    "event_path": sql("bars cal articles", "offset_:i mean:f n:i", f"""{RV}, r as (select seq, ln(rv) as x from rv join cal using (d) where symbol = 'A'), ev as (select seq from cal where d in (select d from articles where doc_id % 10 = 0)) ;;
+    "event_path": sql("bars cal articles", "offset_:i mean:f n:i", f"""{RV}, r as (select seq, ln(rv) as x from rv join cal using (d) where symbol = 'A'), ev as (select seq from cal where d in (select d from articles)) ;;
       select r.seq - ev.seq as offset_, avg(x) as mean, count(x) as n from ev join r on r.seq between ev.seq - 5 and ev.seq + 20 group by 1""").replace("cast(offset_ as bigint) as offset_", 'cast(offset_ as bigint) as "offset"'),
     "close_shift": sql("", "day:d n:i total:f", "select cast(l + case when extract(hour from l) * 60 + extract(minute from l) >= 930 then interval 1 day else interval 0 day end as date) as day, count(*) as n, sum(value) as total from (select ts + interval 330 minute as l, value from events) group by 1"),
     "next_business_day": sql("bars cal", "d:d nbd:d", "select d, cast(d + case isodow(d) when 5 then 3 when 6 then 2 else 1 end as date) as nbd from cal"),
@@ -278,7 +278,7 @@ ORACLE = {
     "rv_forward21": sql("bars", "symbol d:d rv_fwd:f", f"{RV} ;; select symbol, d, case when count(rv) over a >= 15 then avg(rv) over a end as rv_fwd from rv window a as (partition by symbol order by d rows between 1 following and 21 following)"),
     "ffill_market": sql("bars", "d:d rv:f mkt:f", f"{RV} ;; select a.d, a.rv, last_value(m.rv ignore nulls) over (order by a.d rows unbounded preceding) as mkt from rv a left join (select d, rv from rv where symbol = 'N' and day(d) % 3 <> 0) m using (d) where a.symbol = 'A'"),
     "carry_decay": sql("articles", "lang d:d carry:f", f"{DAYS} ;; select * from carried"),
-    "focus_x_carry": sql("articles", "lang d:d focus_x_carry:f", f"{DAYS}, focus as (select substr(src, 4, 1) as lang, d, count(*) as focus from articles where doc_id % 4 = 0 group by 1, 2) ;; select lang, d, focus * coalesce(carry, 0) as focus_x_carry from focus left join carried using (lang, d)"),
+    "focus_x_carry": sql("articles", "lang d:d focus_x_carry:f", f"{DAYS}, focus as (select substr(src, 4, 1) as lang, d, count(*) as focus from articles group by 1, 2) ;; select lang, d, focus * coalesce(carry, 0) as focus_x_carry from focus left join carried using (lang, d)"),
     "cum_gain": sql("bars", "symbol d:d gain:f", f"{RV} ;; select symbol, d, sum(x) over (partition by symbol order by d rows unbounded preceding) as gain from (select symbol, d, ln(rv) - lag(ln(rv)) over (partition by symbol order by d) as x from rv)"),
     "lnrv_panel": sql("bars", "d:d a:f n:f r:f", f"{RV} ;; select * from (select d, max(ln(rv)) filter (symbol = 'A') as a, max(ln(rv)) filter (symbol = 'N') as n, max(ln(rv)) filter (symbol = 'R') as r from rv where rv > 0 group by d) where a is not null and n is not null and r is not null"),
 }

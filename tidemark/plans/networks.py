@@ -21,7 +21,6 @@ def _edges(spark, sf):
 
 
 EDGES = 'edges as (select a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name group by 1, 2)'
-SPARSE = """short as (select item from mentions group by item having count(*) = 2), edges as (select a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name where a.item in (select item from short) group by 1, 2 having count(*) >= 2)"""
 BOTH = "two as (select source, target, weight from edges union all select target, source, weight from edges)"
 
 
@@ -89,7 +88,7 @@ def _shares(spark, sf):
     return all_.join(total, "target").select("target", "source", (F.col("weight") / F.col("total")).alias("share"))
 
 
-SHARES = """m as (select * from mentions where substr(name, 7, 1) = '1'), edges as (select a.name as source, b.name as target, count(*) as weight from m a join m b on a.item = b.item and a.name <> b.name group by 1, 2 union all select name, name, count(*) from m group by name),
+SHARES = """edges as (select a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name <> b.name group by 1, 2 union all select name, name, count(*) from mentions group by name),
 shares as (select target, source, weight / sum(weight) over (partition by target) as share from edges)"""
 
 
@@ -207,19 +206,19 @@ def _rank_sql(rounds: int) -> str:
 TRI = "tri as (select a.source as a, a.target as b, b.target as c from edges a join edges b on a.target = b.source join edges c on c.source = a.source and c.target = b.target), per as (select name, count(*) as t from (select unnest([a, b, c]) as name from tri) group by name), deg as (select source as name, count(*) as k from two group by source)"
 ORACLE = {
     "comention_edges": sql("mentions", "source target weight:i", f"{EDGES} ;; select * from edges"),
-    "degree_strength": sql("mentions", "name degree:i strength:i", f"{SPARSE}, {BOTH} ;; select source as name, count(*) as degree, sum(weight) as strength from two group by source"),
-    "triangles": sql("mentions", "name triangles:i clustering:f", f"{SPARSE}, {BOTH}, {TRI} ;; select name, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(k * (k - 1), 0), 0) as clustering from deg left join per using (name)"),
-    "transitivity": sql("mentions", "transitivity:f nodes:i edges:i", f"{SPARSE}, {BOTH}, {TRI} ;; select coalesce(2.0 * sum(coalesce(t, 0)) / nullif(sum(k * (k - 1)), 0), 0) as transitivity, count(*) as nodes, sum(k) / 2 as edges from deg left join per using (name)"),
-    "components": "with recursive " + sql("mentions", "name component", f"""{SPARSE.replace('>= 2', '>= 6')}, {BOTH}, reach as (select distinct source as name, source as here from two union select reach.name, two.target from reach join two on two.source = reach.here) ;; select name, min(here) as component from reach group by name""").removeprefix("with "),
+    "degree_strength": sql("mentions", "name degree:i strength:i", f"{EDGES}, {BOTH} ;; select source as name, count(*) as degree, sum(weight) as strength from two group by source"),
+    "triangles": sql("mentions", "name triangles:i clustering:f", f"{EDGES}, {BOTH}, {TRI} ;; select name, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(k * (k - 1), 0), 0) as clustering from deg left join per using (name)"),
+    "transitivity": sql("mentions", "transitivity:f nodes:i edges:i", f"{EDGES}, {BOTH}, {TRI} ;; select coalesce(2.0 * sum(coalesce(t, 0)) / nullif(sum(k * (k - 1)), 0), 0) as transitivity, count(*) as nodes, sum(k) / 2 as edges from deg left join per using (name)"),
+    "components": "with recursive " + sql("mentions", "name component", f"""{EDGES}, {BOTH}, reach as (select distinct source as name, source as here from two union select reach.name, two.target from reach join two on two.source = reach.here) ;; select name, min(here) as component from reach group by name""").removeprefix("with "),
     "pagerank_fixed_iter": sql("mentions", "name rank:f", _rank_sql(4)),
-    "assortativity": sql("mentions", "assortativity:f", f"{SPARSE}, {BOTH}, deg as (select source as name, count(*) as k from two group by source) ;; select corr(x.k, y.k) as assortativity from two join deg x on x.name = source join deg y on y.name = target"),
+    "assortativity": sql("mentions", "assortativity:f", f"{EDGES}, {BOTH}, deg as (select source as name, count(*) as k from two group by source) ;; select corr(x.k, y.k) as assortativity from two join deg x on x.name = source join deg y on y.name = target"),
     "rank_nodes": sql("mentions", "name degree:i strength:i rank:i", f"{EDGES}, {BOTH} ;; select *, rank() over (order by strength desc) as rank from (select source as name, count(*) as degree, sum(weight) as strength from two group by source)"),
     "monthly_focus": sql("mentions", "month partners:i strength:i share:f", """e as (select strftime(o_orderdate, '%Y-%m') as month, a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name join orders on o_orderkey = a.item group by 1, 2, 3) ;;
       select month, count(*) filter (source = 'Brand#11' or target = 'Brand#11') as partners, coalesce(sum(weight) filter (source = 'Brand#11' or target = 'Brand#11'), 0) as strength, coalesce(sum(weight) filter (source = 'Brand#11' or target = 'Brand#11'), 0) / sum(weight) as share from e group by month"""),
     "connectedness_table": sql("mentions", "node from_others:f own:f to_others:f net:f", f"{SHARES} ;; select node, from_others, own, to_others, to_others - from_others as net from (select target as node, coalesce(sum(share) filter (source <> target), 0) as from_others, coalesce(sum(share) filter (source = target), 0) as own from shares group by target) join (select source as node, coalesce(sum(share) filter (source <> target), 0) as to_others from shares group by source) using (node)"),
     "pairwise_net": sql("mentions", "source target flow:f", f"{SHARES}, d as (select a.source as s, a.target as t, a.share - b.share as f from shares a join shares b on a.source = b.target and a.target = b.source where a.source < a.target) ;; select case when f >= 0 then s else t end as source, case when f >= 0 then t else s end as target, abs(f) as flow from d"),
     "forward_parity": sql("", "date:d expiry:d F:f", f"""{CHAIN}, n as (select *, strike + exp(0.065 :: double * (expiry - date) / 365.0 :: double) * (call - put) as f, row_number() over (partition by date, expiry order by abs(call - put), strike) as r from c2 where call > 0 and put > 0) ;; select date, expiry, median(f) as "F" from n where r <= 3 group by date, expiry"""),
-    "iv30_interp": sql("", "date:d iv30:f atm_near:f atm_next:f near_days:i n_expiries:i term_slope:f sigma_day_implied:f", """s as (select cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm from orders where o_orderkey % 7 < 3 group by 1, 2),
+    "iv30_interp": sql("", "date:d iv30:f atm_near:f atm_next:f near_days:i n_expiries:i term_slope:f sigma_day_implied:f", """s as (select cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm from orders group by 1, 2),
       g as (select date, max(row(days, atm)) filter (days <= 30) as lo, min(row(days, atm)) filter (days >= 30) as hi, min(row(days, atm)) as near, count(*) as n, list_sort(list(row(days, atm)))[2][2] as nxt from s group by date),
       i as (select *, case when lo is null then hi[2] when hi is null or lo[1] = hi[1] then lo[2] else sqrt((lo[2] * lo[2] * lo[1] + (hi[2] * hi[2] * hi[1] - lo[2] * lo[2] * lo[1]) * (30 - lo[1]) / (hi[1] - lo[1])) / 30) end as iv from g) ;;
       select date, iv as iv30, near[2] as atm_near, nxt as atm_next, near[1] as near_days, n as n_expiries, nxt - near[2] as term_slope, 100 * iv / sqrt(252) as sigma_day_implied from i"""),

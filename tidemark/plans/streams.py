@@ -77,7 +77,7 @@ ORACLE = {
     "stream_upsert": sql("", "user_id event_type event_id value:f", "select * from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events) where r = 1"),
     "stream_dedupe_watermark": sql("", "user_id event_type", "select distinct user_id, event_type from events"),
     "stream_daily_publish": None,
-    "same_event_filter": "with recursive " + sql("filings", "symbol d:d path", """f as (select symbol, d, cast(min(id) as varchar) as path, row_number() over (partition by symbol order by d) as t from filings where id % 5 = 0 group by symbol, d),
+    "same_event_filter": "with recursive " + sql("filings", "symbol d:d path", """f as (select symbol, d, cast(min(id) as varchar) as path, row_number() over (partition by symbol order by d) as t from filings group by symbol, d),
       r as (select symbol, t, d, path, d as last, true as own from f where t = 1 union all select f.symbol, f.t, f.d, f.path, case when f.d - r.last > 20 then f.d else r.last end, f.d - r.last > 20 from r join f on f.symbol = r.symbol and f.t = r.t + 1) ;; select symbol, d, path from r where own""").removeprefix("with "),
 }
 ORACLE = {k: q for k, q in ORACLE.items() if q}

@@ -21,7 +21,7 @@ def _headlines(spark, sf) -> DataFrame:
     return v.articles(spark, sf).select("doc_id", "src", F.concat(F.lit("Breaking: "), F.col("title"), F.lit(" "), verb).alias("title"))
 
 
-HEAD = f"""head as (select doc_id, src, 'Breaking: ' || substr(title, 1, 20) || ' ' || {list(VERBS)}[doc_id % {len(VERBS)} + 1] as title from articles)"""
+HEAD = f"""head as (select doc_id, src, 'Breaking: ' || title || ' ' || {list(VERBS)}[doc_id % {len(VERBS)} + 1] as title from articles)"""
 
 
 def normalise_titles(spark, sf):
@@ -159,7 +159,7 @@ ORACLE = {
       select conv_id, count(*) as n_sentences, avg(qa :: integer) as qa_share, count(*) filter (x = 'q') as n_analyst, avg(s) as tone_all, avg(s) filter (x = 'p') as tone_prepared, avg(s) filter (x = 'a') as tone_answers, avg(s) filter (x = 'q') as tone_analysts,
       avg((s < -0.5) :: integer) filter (qa) as neg_share_qa, avg(hedge :: integer) filter (x = 'a') as hedge_rate_answers, avg(forward :: integer) filter (role = 'management') as forward_share, avg(s) filter (role = 'management' and forward) as forward_tone,
       stddev_samp(s) filter (qa) as dispersion_qa, avg(abs(s)) filter (qa) as magnitude_qa, avg(s) filter (x = 'a') - avg(s) filter (x = 'p') as gap from f group by conv_id"""),
-    "mlm_split": sql("articles", "part n:i first_d:d last_d:d tokens:f", "select case when d < date '1999-01-01' then 'train' when d < date '2000-06-01' then 'dev' else 'test' end as part, count(*) as n, min(d) as first_d, max(d) as last_d, sum(len(string_split(title, ' ')) * 1.3 :: double) as tokens from articles where length(title) > 40 group by 1"),
+    "mlm_split": sql("articles", "part n:i first_d:d last_d:d tokens:f", "select case when d < date '1999-01-01' then 'train' when d < date '2000-06-01' then 'dev' else 'test' end as part, count(*) as n, min(d) as first_d, max(d) as last_d, sum(len(string_split(text, ' ')) * 1.3 :: double) as tokens from articles where length(text) > 40 group by 1"),
     "weighted_sample": sql("articles", "doc_id src", """keyed as (select *, -ln((cast('0x' || substr(md5('s' || doc_id), 1, 8) as bigint) + 0.5 :: double) / 4294967296.0 :: double) / relevance as k from articles where relevance > 0) ;; select doc_id, src from (select *, row_number() over (partition by src order by k, doc_id) as r from keyed) where r <= 5"""),
     "value_share": sql("", "lang n:i share:f", "select lang, count(*) as n, count(*) / sum(count(*)) over () as share from documents group by lang"),
     "crosstab": sql("", "source de:i en:i es:i fr:i", "select source, " + ", ".join(f"count(*) filter (lang = '{x}') as {x}" for x in ("de", "en", "es", "fr")) + " from documents group by source"),

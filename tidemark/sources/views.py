@@ -76,10 +76,10 @@ SQL = {
       from (select l_returnflag as symbol, cast(l_shipdate as date) as d, l_extendedprice / l_quantity as px, l_quantity as q, l_orderkey as k1, l_linenumber as k2, l_partkey as k3, l_suppkey as k4, l_extendedprice as k5 from lineitem)
       where isodow(d) < 6 group by symbol, d having max(px) > min(px))""",
     "cal": "cal as (select d, row_number() over (order by d) as seq from (select distinct d from bars where symbol = 'A'))",
-    "articles": """articles as (select doc_id, cast(date '1995-01-02' + cast(doc_id * 7 % 2400 as integer) as date) as d, substr(text, 1, 80) as title, source as src,
+    "articles": """articles as (select doc_id, cast(date '1995-01-02' + cast(doc_id * 7 % 2400 as integer) as date) as d, substr(text, 1, 80) as title, text, source as src,
       case when p + n > 0 then cast(p - n as double) / (p + n) end as s, [1.0, 0.5, 0.2, 0.1, 0.0][doc_id % 5 + 1] :: double as relevance
-      from (select *, len(list_filter(string_split(lower(substr(text, 1, 80)), ' '), lambda w: w in ('the', 'de', 'die', 'que'))) as p,
-        len(list_filter(string_split(lower(substr(text, 1, 80)), ' '), lambda w: w in ('of', 'la', 'der', 'le'))) as n from documents))""",
+      from (select *, len(list_filter(string_split(lower(text), ' '), lambda w: w in ('the', 'de', 'die', 'que'))) as p,
+        len(list_filter(string_split(lower(text), ' '), lambda w: w in ('of', 'la', 'der', 'le'))) as n from documents))""",
     "filings": """filings as (select o_orderkey as id, c_mktsegment as symbol, cast(o_orderdate as date) as d, o_orderpriority as "group", o_orderstatus as sub, o_orderkey % 3 = 0 as after_close, o_totalprice as value
       from orders join customer on o_custkey = c_custkey)""",
     "logits": "logits as (select vec_id as id, embedding[1] :: double * 10 as zp, embedding[2] :: double * 10 as zn, embedding[3] :: double * 10 as zu, label % 3 as y from embeddings)",
