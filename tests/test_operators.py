@@ -88,6 +88,12 @@ def test_options(spark):
     iv = options.constant_maturity(s.select("date", "days", "atm")).first()
     a, b = got[24]["atm"] ** 2 * 24, got[52]["atm"] ** 2 * 52
     assert iv["iv30"] == pytest.approx(((a + (b - a) * 6 / 28) / 30) ** 0.5) and iv["near_days"] == 24
+    both = chain.unionByName(chain.withColumns({"symbol": F.lit("Y"), "strike": F.col("strike") * 50, "close": F.col("close") * 50}))
+    idle = [(D("2024-01-01"), "Y", "future", D("2024-01-25"), None, "", 4000.0, 0.0), (D("2024-01-01"), "X", "future", D("2024-01-25"), None, "", 101.0, 3.0)]
+    fwd = {(r["symbol"], str(r["expiry"])): r["F"] for r in options.forward(both.unionByName(spark.createDataFrame(idle, chain.schema))).collect()}
+    assert fwd["X", "2024-01-25"] == 101.0 and fwd["Y", "2024-01-25"] == pytest.approx(5000) and fwd["X", "2024-02-22"] == pytest.approx(100)
+    two = {r["symbol"]: r for r in options.constant_maturity(options.surface(both)).collect()}
+    assert two["X"]["iv30"] == pytest.approx(two["Y"]["iv30"]) == pytest.approx(iv["iv30"]) and two["Y"]["F_near"] == pytest.approx(5000) and two["X"]["skew_near"] == got[24]["skew"]
     old = spark.createDataFrame([("OPTIDX", "NIFTY", "25-JAN-2024", "21000", "CE", "10.5", "10.4", "7", "x", "02-JAN-2024"), ("FUTIDX", "NIFTY", "25-JAN-2024", "0", "XX", "21010", "21011", "7", "3", "02-JAN-2024")], list(options.OLD))
     out = {r["kind"]: r for r in options.normalise(old).collect()}
     assert out["option"]["cp"] == "call" and out["option"]["volume"] is None and str(out["option"]["expiry"]) == "2024-01-25" and out["future"]["strike"] is None
@@ -134,3 +140,27 @@ def test_scorer_and_second_run_adds_nothing(spark, tmp_path):
         live.append_new(live.file_stream(spark, src, rows.schema), out, cp, ["title"], ["d", "id"]).awaitTermination()
         got = live.Versioned(spark, out).read()
         assert {(r["title"], r["id"]) for r in got.collect()} == {("up", 1), ("down", 2)}
+
+
+def test_no_row_is_lost_at_the_edges(spark):
+    cal = weekdays(spark)
+    rows = spark.createDataFrame([(1, D("2023-12-31")), (2, D("2024-02-29")), (3, D("2199-01-01")), (4, None)], "id long, d date")
+    assert {r["id"]: str(r["row_d"]) for r in align.asof_backward(rows, cal).collect()} == {2: "2024-02-29", 3: "2024-02-29"}
+    twice = spark.createDataFrame([("a", None), ("a", None), (None, None)], "k string, j string")
+    assert sorted(r["dup_count"] for r in daily.dup_count(twice, ["k", "j"]).collect()) == [1, 2, 2]
+    days = spark.createDataFrame([("x", D("2024-01-01"), 1.0, 1.0), ("x", D("2024-01-06"), None, 1.0)], "k string, d date, s double, w double")
+    got = {str(r["d"]): r["carry"] for r in daily.carried(days, "k", "s", "w").collect()}
+    assert got["2024-01-06"] == pytest.approx(0.5 / 1.5) and max(got) == "2024-01-06"
+
+
+def test_network_summary(spark):
+    names = spark.createDataFrame([(x,) for x in "abcdefg"], "name string")
+    none = spark.createDataFrame([], "source string, target string, weight long")
+    s = graph.summary(none, names).first()
+    assert (s["nodes"], s["edges"], s["density"], s["isolates"], s["components"], s["giant"]) == (7, 0, 0.0, 7, 7, 1) and graph.diameter(none).first()[0] == 0
+    path = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "d", 1), ("e", "f", 5)], "source string, target string, weight long")
+    s = graph.summary(path, names).first()
+    assert (s["nodes"], s["edges"], s["isolates"], s["components"], s["giant"]) == (7, 4, 1, 3, 4) and s["density"] == pytest.approx(8 / 42) and graph.diameter(path).first()[0] == 3
+    assert [(r["source"], r["weight"]) for r in graph.top_ties(path, 2).collect()] == [("e", 5), ("b", 2)]
+    chain = spark.range(40).selectExpr("lpad(id, 3, '0') as source", "lpad(id + 1, 3, '0') as target", "1L as weight")
+    assert {r["component"] for r in graph.components(chain).collect()} == {"000"}

@@ -24,9 +24,10 @@ def day_map(cal: DataFrame, beyond: int = 400) -> DataFrame:
 
 
 def asof_backward(rows: DataFrame, cal: DataFrame, on: str = "d") -> DataFrame:
-    """Adds row_d and row_seq, the last trading day up to `on`; rows before the first are dropped."""
-    m = day_map(cal, beyond=20_000).select(F.col("day").alias(on), F.col("prev_d").alias("row_d"), F.col("prev_seq").alias("row_seq"))
-    return rows.join(m, on)
+    """Adds row_d and row_seq, the last trading day up to `on`; rows before the first, or without a day, are dropped. Rows after the last, however late, get the last."""
+    m = day_map(cal, beyond=0).select(F.col("day").alias("_day"), F.col("prev_d").alias("row_d"), F.col("prev_seq").alias("row_seq"))
+    last = cal.agg(F.max("d")).scalar()
+    return rows.withColumn("_day", F.when(F.col(on).isNotNull(), F.least(on, last))).join(m, "_day").drop("_day")
 
 
 def reaction_day(rows: DataFrame, cal: DataFrame, on: str = "d", after_close: str = "after_close") -> DataFrame:

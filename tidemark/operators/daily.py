@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import asof_backward
@@ -25,18 +28,23 @@ def syndicated(articles: DataFrame) -> DataFrame:
 
 
 def attention(articles: DataFrame, cal: DataFrame) -> DataFrame:
-    """Counts by trading day on the full calendar, with log1p and a no-news flag."""
+    """Counts by trading day on the full calendar, with log1p and a no-news flag.
+
+    n_focus counts roundups (is_focus); results_day is 1 if an article on results has the target as its primary name.
+    """
     placed = asof_backward(syndicated(articles), cal)
+    primary = F.col("relevance") == 1.0
     by = placed.groupBy(F.col("row_d").alias("d")).agg(
-        F.count(F.lit(1)).alias("n_articles"), F.count_if(F.col("relevance") == 1.0).alias("n_primary"), F.countDistinct("src").alias("n_sources"), F.max("n_syndicated").alias("syndication")
-    )
-    full = cal.select("d").join(by, "d", "left").fillna(0, ["n_articles", "n_primary", "n_sources", "syndication"])
+        F.count(F.lit(1)).alias("n_articles"), F.count_if(primary).alias("n_primary"), F.countDistinct("src").alias("n_sources"), F.count_if("is_focus").alias("n_focus"),
+        F.max((primary & (F.col("kind") == "results")).cast("double")).alias("results_day"), F.max("n_syndicated").alias("syndication"),
+    )
+    full = cal.select("d").join(by, "d", "left").fillna(0, ["n_articles", "n_primary", "n_sources", "n_focus", "results_day", "syndication"])
     return full.withColumn("log_n", F.log1p(F.col("n_articles").cast("double"))).withColumn("no_news", (F.col("n_articles") == 0).cast("double"))
 
 
 def weighted_sentiment(articles: DataFrame, cal: DataFrame) -> DataFrame:
-    """Relevance-weighted mean and magnitude, and minimum, by trading day. A null score keeps its weight in the denominator."""
-    placed = asof_backward(articles.filter("relevance > 0"), cal)
+    """Relevance-weighted mean and magnitude, and minimum, by trading day, without roundups. A null score keeps its weight in the denominator."""
+    placed = asof_backward(articles.filter("relevance > 0 and not is_focus"), cal)
     w, s = F.col("relevance"), F.col("s")
     return placed.groupBy(F.col("row_d").alias("d")).agg(F.try_divide(F.sum(s * w), F.sum(w)).alias("sent"), F.try_divide(F.sum(F.abs(s) * w), F.sum(w)).alias("mag"), F.min(s).alias("sent_min"))
 
@@ -66,8 +74,10 @@ def company_day(news: DataFrame) -> DataFrame:
 
 
 def dup_count(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Copies of each key, on every row; counted by aggregation and joined, so a hot key is combined first."""
-    return rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("dup_count")), by)
+    """Copies of each key, on every row; a null is a key like any other. Counted by aggregation and joined, so a hot key is combined first."""
+    counts = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("dup_count"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return rows.join(counts, same).drop(*[f"_by_{c}" for c in by])
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -92,10 +102,33 @@ def top_of_day(rows: DataFrame, priorities: dict[str, int], by: list[str]) -> Da
 
 
 def carried(daily: DataFrame, by: str, value: str, weight: str, window: int = 30, half_life: float = 5.0) -> DataFrame:
-    """Exponential carry over calendar days: sum 2**(-k/half_life) w s over sum 2**(-k/half_life) w, lags 0 to window - 1; null without rows.
+    """Exponential carry over calendar days: sum 2**(-k/half_life) w s over sum 2**(-k/half_life) w, lags 0 to window - 1.
 
-    Each day is expanded to the days it reaches, then combined: linear in the number of days.
+    A day without a score adds its weight alone. Days from the first to the last of `by`; none where no row is in reach,
+    null where all weights in reach are zero. Each day is expanded to the days it reaches, then combined: linear in the number of days.
     """
+    last = daily.groupBy(F.col(by).alias("_by")).agg(F.max("d").alias("_last"))
     reach = daily.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("_day", F.date_add("d", F.col("_lag")))
     fade = F.pow(F.lit(2.0), -F.col("_lag") / F.lit(half_life)) * F.col(weight)
-    return reach.groupBy(by, F.col("_day").alias("d")).agg(F.try_divide(F.sum(fade * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), fade))).alias("carry"))
+    carry = reach.groupBy(by, F.col("_day").alias("d")).agg(F.try_divide(F.sum(F.coalesce(fade * F.col(value), F.lit(0.0))), F.sum(fade)).alias("carry"))
+    return carry.join(last, F.col(by).eqNullSafe(F.col("_by")) & (F.col("d") <= F.col("_last"))).drop("_by", "_last")
+
+
+def scored_days(articles: DataFrame, by: str) -> DataFrame:
+    """(by, d, s, w) of the days with articles that are no roundups: relevance-weighted sentiment and the weight. A null score counts as zero."""
+    own = articles.filter("not is_focus")
+    w = F.sum("relevance")
+    return own.groupBy(by, "d").agg(F.try_divide(F.sum(F.coalesce(F.col("s") * F.col("relevance"), F.lit(0.0))), w).alias("s"), w.alias("w"))
+
+
+def daily_table(articles: DataFrame, cal: DataFrame) -> DataFrame:
+    """Everything a trading day knows of its articles: attention, sentiment without roundups, the roundups' own paragraphs, and the carry.
+
+    Takes doc_id, d, title, src, s, s_focus, relevance, is_focus, kind. Syndicated copies count once. Missing sentiment is zero.
+    """
+    kept = syndicated(articles).drop("title_norm", "n_syndicated")
+    one = F.lit(1).alias("_one")
+    carry = carried(scored_days(kept.select("*", one), "_one"), "_one", "s", "w").select("d", "carry")
+    focus = asof_backward(kept, cal).groupBy(F.col("row_d").alias("d")).agg(F.avg("s_focus").alias("focus_para_sent"))
+    out = attention(articles, cal).join(weighted_sentiment(kept, cal), "d", "left").join(focus, "d", "left").join(carry, "d", "left")
+    return out.fillna(0.0, ["sent", "mag", "sent_min", "focus_para_sent", "carry"]).withColumn("focus_x_carry", F.col("n_focus") * F.col("carry"))

@@ -81,10 +81,11 @@ def diebold_mariano(rows: DataFrame, diff: str, by: str, lags: int) -> DataFrame
 
 
 def average_ranks(rows: DataFrame, value: str, by: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean. Values are combined first, so the window runs over distinct values."""
-    g = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(g.select(by, value, (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out)), [by, value])
+    """Ranks with ties at their mean; a null value has no rank. Values are combined first, so the window runs over distinct values."""
+    g = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_by").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = g.select("_by", "_value", (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    return rows.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(value) == F.col("_value")), "left").drop("_by", "_value")
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:

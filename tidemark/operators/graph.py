@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import released, written
+
 
 def comentions(mentions: DataFrame, least: int = 1, most_names: int | None = None) -> DataFrame:
     """(source, target, weight): items that name both. An item's names form pairs; `most_names` leaves out longer items."""
@@ -41,31 +43,79 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return j.agg(F.coalesce(F.try_divide(2.0 * F.sum("triangles"), F.sum(F.col("degree") * (F.col("degree") - 1))), F.lit(0.0)).alias("transitivity"), F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(name, component): the least name reachable. Labels spread along edges until none changes; stops with an error after `rounds`."""
-    both = both_ways(edges).select("source", "target").cache()
-    label = both.select(F.col("source").alias("name")).distinct().withColumn("component", F.col("name"))
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """(name, component): the least name reachable. Labels spread along edges and jump to their label's label until none changes.
+
+    Each round doubles the way a label has come, so a long chain takes as many rounds as its length has digits.
+    """
+    both = written(both_ways(edges).select("source", "target"), "both")
+    label = written(both.select(F.col("source").alias("name")).distinct().withColumn("component", F.col("name")), "labels")
+    while True:
         near = both.join(label.select(F.col("name").alias("target"), "component"), "target").groupBy(F.col("source").alias("name")).agg(F.min("component").alias("near"))
-        new = label.join(near, "name", "left").select("name", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")).cache()
-        moved = new.filter("moved").limit(1).count()
-        label = new.select("name", "component")
-        if not moved:
+        spread = label.join(near, "name", "left").select("name", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        jump = label.select(F.col("name").alias("to"), F.col("component").alias("further"))
+        new = written(spread.join(jump, "to", "left").select("name", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("was")).alias("moved")), "labels")
+        settled = new.filter("moved").isEmpty()
+        released(label)
+        label = new.drop("moved")
+        label.written_to = new.written_to
+        if settled:
+            released(both)
             return label
-    raise RuntimeError("components did not settle")
+
+
+def summary(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Nodes, edges, density, isolates, mean degree and strength, components (isolates count), the giant one's size, of a network over `names` (name).
+
+    A network without edges has density 0 and as many components as nodes.
+    """
+    d = names.select("name").distinct().join(degrees(edges), "name", "left").fillna(0, ["degree", "strength"])
+    c = names.select("name").distinct().join(components(edges), "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.count(F.lit(1)).alias("size"))
+    n = F.count(F.lit(1))
+    one = d.agg(n.alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.coalesce(F.try_divide(F.sum("degree"), n * (n - 1)), F.lit(0.0)).alias("density"), F.count_if(F.col("degree") == 0).alias("isolates"), F.avg("degree").alias("mean_degree"), F.avg("strength").alias("mean_strength"))
+    two = c.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("giant"))
+    return one.withColumn("_k", F.lit(1)).join(two.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def diameter(edges: DataFrame) -> DataFrame:
+    """(diameter): the longest shortest path, in edges, within the largest component (ties: the least name's); 0 without edges.
+
+    Distances spread from all nodes at once, a step a round: pairs of the component, so for networks of few thousand nodes.
+    """
+    c = components(edges)
+    size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    giant = size.agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
+    both = written(both_ways(edges).select("source", "target").distinct().join(c.join(giant, "component").select(F.col("name").alias("source")), "source"), "both")
+    seen = written(both.select("source", F.col("source").alias("target")).distinct(), "seen")
+    front, far = seen, 0
+    while True:
+        step = front.select("source", F.col("target").alias("via")).join(both.withColumnRenamed("source", "via"), "via").select("source", "target").distinct()
+        front = written(step.join(seen, ["source", "target"], "left_anti"), "front")
+        if front.isEmpty():
+            released(both)
+            return edges.sparkSession.createDataFrame([(far,)], "diameter long")
+        far += 1
+        seen = written(seen.unionByName(front), "seen")
+
+
+def top_ties(edges: DataFrame, n: int = 10) -> DataFrame:
+    """The n heaviest edges, ties by name."""
+    return edges.orderBy(F.desc("weight"), "source", "target").limit(n)
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Weighted PageRank by fixed rounds from the uniform start. Every node of an undirected edge list has a way out."""
     both = both_ways(edges)
     out = both.groupBy("source").agg(F.sum("weight").alias("total"))
-    share = both.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("p")).cache()
-    names = out.select(F.col("source").alias("name")).cache()
+    share = written(both.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("p")), "shares")
+    names = written(share.select(F.col("source").alias("name")).distinct(), "names")
     n = names.count()
     rank = names.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         got = share.join(rank.withColumnRenamed("name", "source"), "source").groupBy(F.col("target").alias("name")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         rank = names.join(got, "name", "left").select("name", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if k % 5 == 0:  # so that the plan stays short
+            rank = written(rank, "ranks")
     return rank
 
 

@@ -40,19 +40,20 @@ def file_url(base: str, d: Column, switch: str = "2024-07-08") -> Column:
 
 
 def forward(chain: DataFrame, rate: float = RATE, nearest: int = 3) -> DataFrame:
-    """(date, expiry, F): the future's close, else the median over the strikes with the least |C - P| of K + exp(rT)(C - P)."""
-    o = chain.filter("kind = 'option' and close > 0").groupBy("date", "expiry", "strike").agg(F.max(F.when(F.col("cp") == "call", F.col("close"))).alias("c"), F.max(F.when(F.col("cp") == "put", F.col("close"))).alias("p")).dropna()
+    """(symbol, date, expiry, F): the traded future's close, else the median over the strikes with the least |C - P| of K + exp(rT)(C - P) of traded options."""
+    by = ["symbol", "date", "expiry"]
+    o = chain.filter("kind = 'option' and close > 0 and volume > 0").groupBy(*by, "strike").agg(F.max(F.when(F.col("cp") == "call", F.col("close"))).alias("c"), F.max(F.when(F.col("cp") == "put", F.col("close"))).alias("p")).dropna()
     t = F.datediff("expiry", "date") / 365.0
-    near = o.select("date", "expiry", F.struct(F.abs(F.col("c") - F.col("p")).alias("gap"), "strike", (F.col("strike") + F.exp(F.lit(rate) * t) * (F.col("c") - F.col("p"))).alias("f")).alias("s"))
-    picked = near.groupBy("date", "expiry").agg(F.slice(F.array_sort(F.collect_list("s")), 1, nearest).alias("s"))
-    parity = picked.select("date", "expiry", F.explode("s.f").alias("f")).groupBy("date", "expiry").agg(F.median("f").alias("parity"))
-    future = chain.filter("kind = 'future' and close > 0").groupBy("date", "expiry").agg(F.max("close").alias("future"))
-    return parity.join(future, ["date", "expiry"], "full_outer").select("date", "expiry", F.coalesce("future", "parity").alias("F"))
+    near = o.select(*by, F.struct(F.abs(F.col("c") - F.col("p")).alias("gap"), "strike", (F.col("strike") + F.exp(F.lit(rate) * t) * (F.col("c") - F.col("p"))).alias("f")).alias("s"))
+    picked = near.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("s")), 1, nearest).alias("s"))
+    parity = picked.select(*by, F.explode("s.f").alias("f")).groupBy(*by).agg(F.median("f").alias("parity"))
+    future = chain.filter("kind = 'future' and close > 0 and volume > 0").groupBy(*by).agg(F.max("close").alias("future"))
+    return parity.join(future, by, "full_outer").select(*by, F.coalesce("future", "parity").alias("F"))
 
 
 def quotes(chain: DataFrame, forwards: DataFrame) -> DataFrame:
     """Out-of-the-money quotes with log-moneyness k, within the widest band, traded, not about to expire."""
-    j = chain.filter("kind = 'option' and volume > 0 and close > 0").join(forwards, ["date", "expiry"])
+    j = chain.filter("kind = 'option' and volume > 0 and close > 0").join(forwards, ["symbol", "date", "expiry"])
     j = j.withColumns({"k": F.ln(F.col("strike") / F.col("F")), "days": F.datediff("expiry", "date")})
     return j.filter((((F.col("cp") == "put") & (F.col("k") < 0)) | ((F.col("cp") == "call") & (F.col("k") >= 0))) & (F.abs("k") <= WIDEST) & (F.col("days") >= DAYS_LEAST))
 
@@ -65,11 +66,11 @@ def interpolated(k: np.ndarray, iv: np.ndarray, at: float, near: float = 0.02) -
     return float(iv[i]) if abs(k[i] - at) <= near else float("nan")
 
 
-SLICE = "date date, expiry date, days int, F double, atm double, iv95 double, iv105 double, skew double, n_quotes int"
+SLICE = "symbol string, date date, expiry date, days int, F double, atm double, iv95 double, iv105 double, skew double, n_quotes int"
 
 
 def surface(chain: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row for each date and expiry with at least two quotes that have an implied volatility. Groups hold one day's strikes of an expiry."""
+    """One row for each symbol, date and expiry with at least two quotes that have an implied volatility. Groups hold one day's strikes of an expiry."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf.days.to_numpy() / 365.0
@@ -80,15 +81,21 @@ def surface(chain: DataFrame, rate: float = RATE) -> DataFrame:
         order = np.argsort(pdf.k.to_numpy()[ok], kind="stable")
         k, v = pdf.k.to_numpy()[ok][order], iv[ok][order]
         a, lo, hi = (interpolated(k, v, x) for x in (0.0, np.log(0.95), np.log(1.05)))
-        return pd.DataFrame([[key[0], key[1], int(pdf.days.iloc[0]), float(pdf.F.iloc[0]), a, lo, hi, lo - hi, int(ok.sum())]], columns=[c.split()[0] for c in SLICE.split(", ")])
+        return pd.DataFrame([[*key, int(pdf.days.iloc[0]), float(pdf.F.iloc[0]), a, lo, hi, lo - hi, int(ok.sum())]], columns=[c.split()[0] for c in SLICE.split(", ")])
 
-    return quotes(chain, forward(chain, rate)).groupBy("date", "expiry").applyInPandas(run, SLICE)
+    return quotes(chain, forward(chain, rate)).groupBy("symbol", "date", "expiry").applyInPandas(run, SLICE)
 
 
 def constant_maturity(slices: DataFrame, days: int = 30) -> DataFrame:
-    """Volatility at `days` by total variance between the expiries around it, flat beyond them; near and next, slope and daily sigma."""
-    s = slices.filter(F.col("atm").isNotNull() & ~F.isnan("atm")).withColumn("p", F.struct("days", "atm"))
-    g = s.groupBy("date").agg(
+    """Volatility at `days` of each symbol and date by total variance between the expiries around it, flat beyond them; near and next, slope and daily sigma.
+
+    Takes symbol, date, days, atm, skew and F (as `surface` gives them); skew_near and F_near are the nearest expiry's.
+    Without a symbol all rows are one; without skew or F these are null.
+    """
+    missing = {"symbol": "string", "skew": "double", "F": "double"}
+    slices = slices.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in slices.columns})
+    s = slices.filter(F.col("atm").isNotNull() & ~F.isnan("atm")).withColumn("p", F.struct("days", "atm", "skew", "F"))
+    g = s.groupBy("symbol", "date").agg(
         F.max(F.when(F.col("days") <= days, F.col("p"))).alias("lo"), F.min(F.when(F.col("days") >= days, F.col("p"))).alias("hi"), F.min("p").alias("near"), F.count(F.lit(1)).alias("n_expiries"), F.slice(F.sort_array(F.collect_list("p")), 2, 1).alias("second")
     )
     w = lambda p: F.col(f"{p}.atm") * F.col(f"{p}.atm") * F.col(f"{p}.days")
@@ -96,7 +103,7 @@ def constant_maturity(slices: DataFrame, days: int = 30) -> DataFrame:
     between = F.sqrt((w("lo") + (w("hi") - w("lo")) * share) / days)
     iv = F.when(F.col("lo").isNull(), F.col("hi.atm")).when(F.col("hi").isNull() | (F.col("lo.days") == F.col("hi.days")), F.col("lo.atm")).otherwise(between)
     nxt = F.get("second", 0)["atm"]
-    return g.select("date", iv.alias("iv30"), F.col("near.atm").alias("atm_near"), nxt.alias("atm_next"), F.col("near.days").alias("near_days"), "n_expiries", (nxt - F.col("near.atm")).alias("term_slope"), (100 * iv / np.sqrt(252)).alias("sigma_day_implied"))
+    return g.select("symbol", "date", iv.alias("iv30"), F.col("near.atm").alias("atm_near"), nxt.alias("atm_next"), F.col("near.days").alias("near_days"), F.col("near.skew").alias("skew_near"), F.col("near.F").alias("F_near"), "n_expiries", (nxt - F.col("near.atm")).alias("term_slope"), (100 * iv / np.sqrt(252)).alias("sigma_day_implied"))
 
 
 def premium(rows: DataFrame, implied: str, realised: str, by: str) -> DataFrame:

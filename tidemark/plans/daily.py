@@ -204,7 +204,7 @@ def ffill_market(spark, sf):
 
 
 def _scored_days(spark, sf):
-    return v.articles(spark, sf).withColumn("lang", F.substring("src", 4, 1)).groupBy("lang", "d").agg(F.avg("s").alias("s"), F.sum("relevance").alias("w"))
+    return daily.scored_days(v.articles(spark, sf).withColumn("lang", F.substring("src", 4, 1)), "lang")
 
 
 def carry_decay(spark, sf):
@@ -217,6 +217,16 @@ def focus_x_carry(spark, sf):
     return tidy(focus.join(daily.carried(_scored_days(spark, sf), "lang", "s", "w"), ["lang", "d"], "left").select("lang", "d", (F.col("focus") * F.coalesce("carry", F.lit(0.0))).alias("focus_x_carry")))
 
 
+def daily_table(spark, sf):
+    return tidy(daily.daily_table(v.articles(spark, sf), world(spark, sf)[1]))
+
+
+def dup_count_nulls(spark, sf):
+    """Null keys are keys: every third article has no title."""
+    a = v.articles(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("title")).alias("title"), F.col("src").alias("company"))
+    return tidy(daily.dup_count(a, ["company", "title"]).select("doc_id", "dup_count"))
+
+
 def cum_gain(spark, sf):
     r = bars.realised(world(spark, sf)[0]).withColumn("diff", F.ln("rv") - F.lag(F.ln("rv")).over(Window.partitionBy("symbol").orderBy("d")))
     return tidy(bars.cumulative(r, "diff", "gain").select("symbol", "d", "gain"))
@@ -226,18 +236,26 @@ def lnrv_panel(spark, sf):
     return tidy(bars.panel(bars.realised(world(spark, sf)[0]), ["A", "N", "R"]).toDF("d", "a", "n", "r"))
 
 
-QUERIES = {f.__name__: f for f in (attention_daily, weighted_sentiment_daily, dedupe_syndication, company_day_block, dup_count, union_scan, price_crosscheck, missing_days, semi_flags, calendar_left_fill, dedupe_composite, upsert_latest, topk_moves, results_priority, asof_backward, reaction_day, shifted_target, announcement_flags, meet_before_results, call_live_fanout, event_cluster, event_path, close_shift, next_business_day, event_window_mean, bars_ohlc, adjusted_bars, realised_var, har_features, rv_forward21, ffill_market, carry_decay, focus_x_carry, cum_gain, lnrv_panel)}
+QUERIES = {f.__name__: f for f in (attention_daily, weighted_sentiment_daily, dedupe_syndication, company_day_block, dup_count, union_scan, price_crosscheck, missing_days, semi_flags, calendar_left_fill, dedupe_composite, upsert_latest, topk_moves, results_priority, asof_backward, reaction_day, shifted_target, announcement_flags, meet_before_results, call_live_fanout, event_cluster, event_path, close_shift, next_business_day, event_window_mean, bars_ohlc, adjusted_bars, realised_var, har_features, rv_forward21, ffill_market, carry_decay, focus_x_carry, daily_table, dup_count_nulls, cum_gain, lnrv_panel)}
 
 ASOF = "asof join cal c on x.d >= c.d"
-DAYS = """days as (select lang, d, avg(s) as s, sum(relevance) as w from (select *, substr(src, 4, 1) as lang from articles) group by lang, d),
-carried as (select lang, day as d, sum(f * s) / nullif(sum(case when s is not null then f end), 0) as carry
-  from (select lang, cast(d + k as date) as day, s, power(2.0, -k / 5.0) * w as f from days, (select unnest(range(0, 30)) :: integer as k)) group by lang, day)"""
+DAYS = """days as (select lang, d, sum(coalesce(s * relevance, 0)) / nullif(sum(relevance), 0) as s, sum(relevance) as w from (select *, substr(src, 4, 1) as lang from articles) where not is_focus group by lang, d),
+carried as (select lang, day as d, sum(coalesce(f * s, 0)) / nullif(sum(f), 0) as carry
+  from (select lang, cast(d + k as date) as day, s, power(2.0, -k / 5.0) * w as f, max(d) over (partition by lang) as last_d from days, (select unnest(range(0, 30)) :: integer as k)) where day <= last_d group by lang, day)"""
+PLACED = f"""placed as (select c.d, src, relevance, n_syndicated, is_focus, kind, s_focus from kept x {ASOF}),
+      agg as (select d, count(*) as a, count(*) filter (relevance = 1.0) as b, count(distinct src) as e, max(n_syndicated) as f, count(*) filter (is_focus) as g, max((relevance = 1.0 and kind = 'results') :: double) as h, avg(s_focus) as p from placed group by d)"""
 ORACLE = {
-    "attention_daily": sql("bars cal articles", "d:d n_articles:i n_primary:i n_sources:i syndication:i log_n:f no_news:f", f"""{SYND},
-      placed as (select c.d, src, relevance, n_syndicated from kept x {ASOF}),
-      agg as (select d, count(*) as a, count(*) filter (relevance = 1.0) as b, count(distinct src) as e, max(n_syndicated) as f from placed group by d) ;;
-      select cal.d, coalesce(a, 0) as n_articles, coalesce(b, 0) as n_primary, coalesce(e, 0) as n_sources, coalesce(f, 0) as syndication, ln(1 + coalesce(a, 0)) as log_n, case when a is null then 1.0 else 0.0 end as no_news from cal left join agg using (d)"""),
-    "weighted_sentiment_daily": sql("bars cal articles", "d:d sent:f mag:f sent_min:f", f"select c.d, sum(s * relevance) / sum(relevance) as sent, sum(abs(s) * relevance) / sum(relevance) as mag, min(s) as sent_min from (select * from articles where relevance > 0) x {ASOF} group by c.d"),
+    "daily_table": sql("bars cal articles", "d:d n_articles:i n_primary:i n_sources:i n_focus:i results_day:f syndication:i log_n:f no_news:f sent:f mag:f sent_min:f focus_para_sent:f carry:f focus_x_carry:f", f"""{SYND}, {PLACED},
+      own as (select c.d, sum(s * relevance) / sum(relevance) as sent, sum(abs(s) * relevance) / sum(relevance) as mag, min(s) as sent_min from (select * from kept where relevance > 0 and not is_focus) x {ASOF} group by c.d),
+      days as (select d, sum(coalesce(s * relevance, 0)) / nullif(sum(relevance), 0) as s, sum(relevance) as w from kept where not is_focus group by d),
+      carried as (select day as d, sum(coalesce(f * s, 0)) / nullif(sum(f), 0) as carry from (select cast(d + k as date) as day, s, power(2.0, -k / 5.0) * w as f from days, (select unnest(range(0, 30)) :: integer as k)) where day <= (select max(d) from days) group by day) ;;
+      select cal.d, coalesce(a, 0) as n_articles, coalesce(b, 0) as n_primary, coalesce(e, 0) as n_sources, coalesce(g, 0) as n_focus, coalesce(h, 0) as results_day, coalesce(f, 0) as syndication, ln(1 + coalesce(a, 0)) as log_n, case when a is null then 1.0 else 0.0 end as no_news,
+      coalesce(sent, 0) as sent, coalesce(mag, 0) as mag, coalesce(sent_min, 0) as sent_min, coalesce(p, 0) as focus_para_sent, coalesce(carry, 0) as carry, coalesce(g, 0) * coalesce(carry, 0) as focus_x_carry
+      from cal left join agg using (d) left join own using (d) left join carried using (d)"""),
+    "dup_count_nulls": sql("articles", "doc_id dup_count:i", "select doc_id, count(*) over (partition by src, case when doc_id % 3 <> 0 then title end) as dup_count from articles"),
+    "attention_daily": sql("bars cal articles", "d:d n_articles:i n_primary:i n_sources:i n_focus:i results_day:f syndication:i log_n:f no_news:f", f"""{SYND}, {PLACED} ;;
+      select cal.d, coalesce(a, 0) as n_articles, coalesce(b, 0) as n_primary, coalesce(e, 0) as n_sources, coalesce(g, 0) as n_focus, coalesce(h, 0) as results_day, coalesce(f, 0) as syndication, ln(1 + coalesce(a, 0)) as log_n, case when a is null then 1.0 else 0.0 end as no_news from cal left join agg using (d)"""),
+    "weighted_sentiment_daily": sql("bars cal articles", "d:d sent:f mag:f sent_min:f", f"select c.d, sum(s * relevance) / sum(relevance) as sent, sum(abs(s) * relevance) / sum(relevance) as mag, min(s) as sent_min from (select * from articles where relevance > 0 and not is_focus) x {ASOF} group by c.d"),
     "dedupe_syndication": sql("articles", "doc_id title_norm n_syndicated:i", f"{SYND} ;; select * from kept"),
     "company_day_block": sql("articles", "company day:d n_articles:i n_syndicated:i n_primary:i n_sources:i n_results_news:i n_market_wrap:i sent_target_w:f sent_adj_w:f sent_target_min:f sent_adj_min:f sent_primary:f move_net:i n_move_neg:i n_move_pos:i reco_net:i n_buy:i n_sell:i analyst_net:i sent_full_mean:f", f"""{NEWS} ;;
       select company, day, count(*) as n_articles, sum(dup_count) as n_syndicated, count(*) filter (role = 'primary') as n_primary, count(distinct source_id) as n_sources,

@@ -45,7 +45,7 @@ def components(spark, sf):
 
 
 def pagerank_fixed_iter(spark, sf):
-    return tidy(graph.pagerank(_edges(spark, sf), rounds=4))
+    return tidy(graph.pagerank(_edges(spark, sf)))
 
 
 def assortativity(spark, sf):
@@ -126,14 +126,19 @@ def _chain(spark, sf):
     t = days / 365.0
     put = F.greatest(k - f, F.lit(0.0)) + F.lit(f) * (0.05 + 0.002 * (F.col("p_partkey") % 13)) * F.sqrt(t) * F.exp(-F.pow(F.ln(k / f), 2) * 20)
     call = put + F.exp(F.lit(-0.065) * t) * (F.lit(f) - k)
-    base = p.select(date.alias("date"), F.lit("X").alias("symbol"), F.lit("option").alias("kind"), F.date_add(date, days).alias("expiry"), k.alias("strike"), put.alias("put"), call.alias("call"))
+    symbol = F.element_at(F.array(*map(F.lit, ("X", "Y", "Z"))), (F.floor(F.col("p_partkey") / 7) % 3 + 1).cast("int"))
+    base = p.select(date.alias("date"), symbol.alias("symbol"), F.lit("option").alias("kind"), F.date_add(date, days).alias("expiry"), k.alias("strike"), put.alias("put"), call.alias("call"))
     one = base.groupBy("date", "symbol", "kind", "expiry", "strike").agg(F.max("put").alias("put"), F.max("call").alias("call"))
-    return one.select("date", "symbol", "kind", "expiry", "strike", F.explode(F.create_map(F.lit("put"), F.col("put"), F.lit("call"), F.col("call"))).alias("cp", "close")).withColumns({"settle": F.col("close"), "underlying": F.lit(f), "oi": F.lit(1.0), "volume": F.lit(10.0)})
+    chain = one.select("date", "symbol", "kind", "expiry", "strike", F.explode(F.create_map(F.lit("put"), F.col("put"), F.lit("call"), F.col("call"))).alias("cp", "close")).withColumns({"settle": F.col("close"), "underlying": F.lit(f), "oi": F.lit(1.0), "volume": F.lit(10.0)})
+    # Futures of one symbol, of which every second expiry's is not traded.
+    futures = one.filter("symbol = 'Z'").select("date", "symbol", F.lit("future").alias("kind"), "expiry", F.lit(None).cast("double").alias("strike"), F.lit("").alias("cp"), F.lit(f + 7).alias("close")).distinct()
+    futures = futures.withColumns({"settle": F.col("close"), "underlying": F.lit(f), "oi": F.lit(1.0), "volume": F.when(F.dayofmonth("expiry") % 2 == 0, 5.0).otherwise(0.0)})
+    return chain.unionByName(futures)
 
 
-CHAIN = """c0 as (select cast(date '2024-01-01' + cast(p_partkey % 50 as integer) as date) as date, p_partkey % 4 * 20 + 10 as days, 1000.0 :: double * (0.8 :: double + 0.02 :: double * (p_partkey % 21)) as strike, p_partkey % 13 as m from part),
-c1 as (select date, cast(date + cast(days as integer) as date) as expiry, days / 365.0 :: double as t, strike, greatest(strike - 1000, 0) + 1000 * (0.05 :: double + 0.002 :: double * m) * sqrt(days / 365.0 :: double) * exp(-power(ln(strike / 1000.0 :: double), 2) * 20) as put from c0),
-c2 as (select date, expiry, strike, max(put) as put, max(put + exp(-0.065 :: double * t) * (1000 - strike)) as call from c1 group by date, expiry, strike)"""
+CHAIN = """c0 as (select cast(date '2024-01-01' + cast(p_partkey % 50 as integer) as date) as date, p_partkey % 4 * 20 + 10 as days, 1000.0 :: double * (0.8 :: double + 0.02 :: double * (p_partkey % 21)) as strike, p_partkey % 13 as m, ['X', 'Y', 'Z'][p_partkey // 7 % 3 + 1] as symbol from part),
+c1 as (select symbol, date, cast(date + cast(days as integer) as date) as expiry, days / 365.0 :: double as t, strike, greatest(strike - 1000, 0) + 1000 * (0.05 :: double + 0.002 :: double * m) * sqrt(days / 365.0 :: double) * exp(-power(ln(strike / 1000.0 :: double), 2) * 20) as put from c0),
+c2 as (select symbol, date, expiry, strike, max(put) as put, max(put + exp(-0.065 :: double * t) * (1000 - strike)) as call from c1 group by symbol, date, expiry, strike)"""
 
 
 def forward_parity(spark, sf):
@@ -146,7 +151,7 @@ def surface_slice(spark, sf):
 
 def _slices(spark, sf):
     o = v.read(spark, sf, "orders")
-    return o.select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm")).groupBy("date", "days").agg(F.max("atm").alias("atm"))
+    return o.select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm"), F.col("o_orderstatus").alias("symbol"), (F.col("o_orderkey") % 11 / 100.0).alias("skew"), (F.col("o_orderkey") % 17 + 100.0).alias("F")).groupBy("symbol", "date", "days").agg(F.max("atm").alias("atm"), F.max("skew").alias("skew"), F.max("F").alias("F"))
 
 
 def iv30_interp(spark, sf):
@@ -154,7 +159,7 @@ def iv30_interp(spark, sf):
 
 
 def vrp_summary(spark, sf):
-    iv = options.constant_maturity(_slices(spark, sf)).select(F.col("date").alias("d"), (F.col("iv30") * 100).alias("implied"))
+    iv = options.constant_maturity(_slices(spark, sf)).filter("symbol = 'O'").select(F.col("date").alias("d"), (F.col("iv30") * 100).alias("implied"))
     r = bars.realised(v.bars(spark, sf)).withColumn("vol", F.sqrt("rv"))
     return tidy(options.premium(r.join(iv, "d"), "implied", "vol", "symbol"))
 
@@ -210,19 +215,20 @@ ORACLE = {
     "triangles": sql("mentions", "name triangles:i clustering:f", f"{EDGES}, {BOTH}, {TRI} ;; select name, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(k * (k - 1), 0), 0) as clustering from deg left join per using (name)"),
     "transitivity": sql("mentions", "transitivity:f nodes:i edges:i", f"{EDGES}, {BOTH}, {TRI} ;; select coalesce(2.0 * sum(coalesce(t, 0)) / nullif(sum(k * (k - 1)), 0), 0) as transitivity, count(*) as nodes, sum(k) / 2 as edges from deg left join per using (name)"),
     "components": "with recursive " + sql("mentions", "name component", f"""{EDGES}, {BOTH}, reach as (select distinct source as name, source as here from two union select reach.name, two.target from reach join two on two.source = reach.here) ;; select name, min(here) as component from reach group by name""").removeprefix("with "),
-    "pagerank_fixed_iter": sql("mentions", "name rank:f", _rank_sql(4)),
+    "pagerank_fixed_iter": sql("mentions", "name rank:f", _rank_sql(20)),
     "assortativity": sql("mentions", "assortativity:f", f"{EDGES}, {BOTH}, deg as (select source as name, count(*) as k from two group by source) ;; select corr(x.k, y.k) as assortativity from two join deg x on x.name = source join deg y on y.name = target"),
     "rank_nodes": sql("mentions", "name degree:i strength:i rank:i", f"{EDGES}, {BOTH} ;; select *, rank() over (order by strength desc) as rank from (select source as name, count(*) as degree, sum(weight) as strength from two group by source)"),
     "monthly_focus": sql("mentions", "month partners:i strength:i share:f", """e as (select strftime(o_orderdate, '%Y-%m') as month, a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name join orders on o_orderkey = a.item group by 1, 2, 3) ;;
       select month, count(*) filter (source = 'Brand#11' or target = 'Brand#11') as partners, coalesce(sum(weight) filter (source = 'Brand#11' or target = 'Brand#11'), 0) as strength, coalesce(sum(weight) filter (source = 'Brand#11' or target = 'Brand#11'), 0) / sum(weight) as share from e group by month"""),
     "connectedness_table": sql("mentions", "node from_others:f own:f to_others:f net:f", f"{SHARES} ;; select node, from_others, own, to_others, to_others - from_others as net from (select target as node, coalesce(sum(share) filter (source <> target), 0) as from_others, coalesce(sum(share) filter (source = target), 0) as own from shares group by target) join (select source as node, coalesce(sum(share) filter (source <> target), 0) as to_others from shares group by source) using (node)"),
     "pairwise_net": sql("mentions", "source target flow:f", f"{SHARES}, d as (select a.source as s, a.target as t, a.share - b.share as f from shares a join shares b on a.source = b.target and a.target = b.source where a.source < a.target) ;; select case when f >= 0 then s else t end as source, case when f >= 0 then t else s end as target, abs(f) as flow from d"),
-    "forward_parity": sql("", "date:d expiry:d F:f", f"""{CHAIN}, n as (select *, strike + exp(0.065 :: double * (expiry - date) / 365.0 :: double) * (call - put) as f, row_number() over (partition by date, expiry order by abs(call - put), strike) as r from c2 where call > 0 and put > 0) ;; select date, expiry, median(f) as "F" from n where r <= 3 group by date, expiry"""),
-    "iv30_interp": sql("", "date:d iv30:f atm_near:f atm_next:f near_days:i n_expiries:i term_slope:f sigma_day_implied:f", """s as (select cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm from orders group by 1, 2),
-      g as (select date, max(row(days, atm)) filter (days <= 30) as lo, min(row(days, atm)) filter (days >= 30) as hi, min(row(days, atm)) as near, count(*) as n, list_sort(list(row(days, atm)))[2][2] as nxt from s group by date),
+    "forward_parity": sql("", "symbol date:d expiry:d F:f", f"""{CHAIN}, n as (select *, strike + exp(0.065 :: double * (expiry - date) / 365.0 :: double) * (call - put) as f, row_number() over (partition by symbol, date, expiry order by abs(call - put), strike) as r from c2 where call > 0 and put > 0),
+      u as (select distinct symbol, date, expiry from c2 where symbol = 'Z' and day(expiry) % 2 = 0) ;; select symbol, date, expiry, case when u.symbol is not null then 1007.0 :: double else f end as "F" from (select symbol, date, expiry, median(f) as f from n where r <= 3 group by symbol, date, expiry) full join u using (symbol, date, expiry)"""),
+    "iv30_interp": sql("", "symbol date:d iv30:f atm_near:f atm_next:f near_days:i skew_near:f F_near:f n_expiries:i term_slope:f sigma_day_implied:f", """s as (select o_orderstatus as symbol, cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm, max(o_orderkey % 11 / 100.0 :: double) as skew, max(o_orderkey % 17 + 100.0 :: double) as fwd from orders group by 1, 2, 3),
+      g as (select symbol, date, max(row(days, atm)) filter (days <= 30) as lo, min(row(days, atm)) filter (days >= 30) as hi, min(row(days, atm, skew, fwd)) as near, count(*) as n, list_sort(list(row(days, atm)))[2][2] as nxt from s group by symbol, date),
       i as (select *, case when lo is null then hi[2] when hi is null or lo[1] = hi[1] then lo[2] else sqrt((lo[2] * lo[2] * lo[1] + (hi[2] * hi[2] * hi[1] - lo[2] * lo[2] * lo[1]) * (30 - lo[1]) / (hi[1] - lo[1])) / 30) end as iv from g) ;;
-      select date, iv as iv30, near[2] as atm_near, nxt as atm_next, near[1] as near_days, n as n_expiries, nxt - near[2] as term_slope, 100 * iv / sqrt(252) as sigma_day_implied from i"""),
+      select symbol, date, iv as iv30, near[2] as atm_near, nxt as atm_next, near[1] as near_days, near[3] as skew_near, near[4] as "F_near", n as n_expiries, nxt - near[2] as term_slope, 100 * iv / sqrt(252) as sigma_day_implied from i"""),
     "garch_filter": "with recursive " + sql("bars", "symbol d:d h:f", f"""{RV}, x as (select symbol, d, ret / 100 as r, row_number() over (partition by symbol order by d) as t from rv),
       rec as (select symbol, 0 :: bigint as t, 1.0 :: double as h union all select rec.symbol, x.t, 0.05 :: double + 0.1 :: double * power(x.r, 2) + 0.85 :: double * rec.h from rec join x on x.symbol = rec.symbol and x.t = rec.t + 1) ;; select x.symbol, x.d, rec.h from rec join x using (symbol, t)""").removeprefix("with ").replace("rec as (select symbol, 0 :: bigint as t, 1.0 :: double as h union", "rec as (select distinct symbol, 0 :: bigint as t, 1.0 :: double as h from x union"),
 }
-ORACLE["vrp_summary"] = sql("bars", "symbol vrp:f positive:f ratio:f corr:f n:i", RV + ", " + ORACLE["iv30_interp"].removeprefix("with ").split("\nselect ")[0].rstrip() + """ ;; select symbol, avg(iv * 100 - sqrt(rv)) as vrp, avg((iv * 100 > sqrt(rv)) :: integer) as positive, median(iv * 100 / sqrt(rv)) as ratio, corr(iv * 100, sqrt(rv)) as corr, count(*) as n from rv join i on i.date = rv.d group by symbol""")
+ORACLE["vrp_summary"] = sql("bars", "symbol vrp:f positive:f ratio:f corr:f n:i", RV + ", " + ORACLE["iv30_interp"].removeprefix("with ").split("\nselect ")[0].rstrip() + """ ;; select symbol, avg(iv * 100 - sqrt(rv)) as vrp, avg((iv * 100 > sqrt(rv)) :: integer) as positive, median(iv * 100 / sqrt(rv)) as ratio, corr(iv * 100, sqrt(rv)) as corr, count(*) as n from rv join (select date, iv from i where symbol = 'O') i on i.date = rv.d group by symbol""")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,19 +9,15 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring
 from tidemark.operators import state
 from tidemark.sources import views as v
+from tidemark.sources.shared import shared_dir
 from tidemark.streaming import live
 
 from .tidy import sql, tidy
 
 
 def _folder(spark) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only where none is named, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return f"{named.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
-    path = tempfile.mkdtemp(prefix="tidemark-stream-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
+    """A new folder below the one that the cluster shares."""
+    return f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
 
 
 def _slices(spark, sf, df, parts: int = 3):

@@ -43,12 +43,16 @@ def _among(words: tuple):
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, d, title, text, src, s, relevance) from documents. The title is the head of the text; s is scored on all of it."""
+    """(doc_id, d, title, text, src, s, relevance, is_focus, kind, s_focus) from documents.
+
+    The title is the head of the text; s is scored on all of it. Every sixth article is a roundup with a score of its own paragraph.
+    """
     title = F.substring("text", 1, 80)
     relevance = F.element_at(F.array(*map(F.lit, (1.0, 0.5, 0.2, 0.1, 0.0))), (F.col("doc_id") % 5 + 1).cast("int"))
     return read(spark, sf_dir, "documents").select(
-        "doc_id", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 7 % 2400).cast("int")).alias("d"), title.alias("title"), "text", F.col("source").alias("src"), lexicon_score(F.col("text")).alias("s"), relevance.alias("relevance")
-    )
+        "doc_id", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 7 % 2400).cast("int")).alias("d"), title.alias("title"), "text", F.col("source").alias("src"), lexicon_score(F.col("text")).alias("s"), relevance.alias("relevance"),
+        (F.col("doc_id") % 6 == 0).alias("is_focus"), F.when(F.col("doc_id") % 7 == 0, "results").otherwise("other").alias("kind"), F.when(F.col("doc_id") % 6 == 0, (F.col("doc_id") % 13 - 6) / F.lit(6.0)).alias("s_focus"),
+    )
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,8 @@ SQL = {
       where isodow(d) < 6 group by symbol, d having max(px) > min(px))""",
     "cal": "cal as (select d, row_number() over (order by d) as seq from (select distinct d from bars where symbol = 'A'))",
     "articles": """articles as (select doc_id, cast(date '1995-01-02' + cast(doc_id * 7 % 2400 as integer) as date) as d, substr(text, 1, 80) as title, text, source as src,
-      case when p + n > 0 then cast(p - n as double) / (p + n) end as s, [1.0, 0.5, 0.2, 0.1, 0.0][doc_id % 5 + 1] :: double as relevance
+      case when p + n > 0 then cast(p - n as double) / (p + n) end as s, [1.0, 0.5, 0.2, 0.1, 0.0][doc_id % 5 + 1] :: double as relevance,
+      doc_id % 6 = 0 as is_focus, case when doc_id % 7 = 0 then 'results' else 'other' end as kind, case when doc_id % 6 = 0 then (doc_id % 13 - 6) / 6.0 :: double end as s_focus
       from (select *, len(list_filter(string_split(lower(text), ' '), lambda w: w in ('the', 'de', 'die', 'que'))) as p,
         len(list_filter(string_split(lower(text), ' '), lambda w: w in ('of', 'la', 'der', 'le'))) as n from documents))""",
     "filings": """filings as (select o_orderkey as id, c_mktsegment as symbol, cast(o_orderdate as date) as d, o_orderpriority as "group", o_orderstatus as sub, o_orderkey % 3 = 0 as after_close, o_totalprice as value
