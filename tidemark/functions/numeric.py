@@ -52,8 +52,12 @@ def garch_filter(r: np.ndarray, mu: float, omega: float, alpha: float, beta: flo
     e = r - mu
     h = np.empty(len(r) + 1)
     h[0] = float(np.mean(e**2)) if start is None else start
-    for t in range(len(r)):
-        h[t + 1] = omega + (alpha + gamma * (e[t] < 0)) * e[t] ** 2 + beta * h[t]
+    h[1:] = omega + (alpha + gamma * (e < 0)) * e**2
+    # h[t] = sum of beta**k x[t - k]: each pass adds twice as many lags as the one before, until their weight is nothing.
+    step, fade = 1, beta
+    while step < len(h) and abs(fade) > 1e-18:
+        h[step:] += fade * h[:-step]
+        step, fade = 2 * step, fade * fade
     return h
 
 

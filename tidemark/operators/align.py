@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(days: DataFrame) -> DataFrame:
+    """(d, seq): the distinct days, numbered from 1. A row for each trading day, whatever the number of facts."""
+    return days.select("d").distinct().withColumn("seq", F.row_number().over(Window.orderBy("d")).cast("long"))
+
+
 def day_map(cal: DataFrame, beyond: int = 400) -> DataFrame:
     """(day, prev_d, prev_seq, next_d, next_seq) for every day from the first trading day to `beyond` days after the last.
 

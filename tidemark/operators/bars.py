@@ -39,8 +39,10 @@ def full_mean(value: str, n: int, w: Window) -> Column:
 
 
 def har(rv: DataFrame) -> DataFrame:
-    """Logs of the daily, weekly and monthly mean variance, and the weekday."""
+    """Logs of the daily, weekly and monthly mean variance, and the weekday; ex_div where the rows have a dividend."""
     w = order()
+    if "dividend" in rv.columns:
+        rv = rv.withColumn("ex_div", F.coalesce(F.col("dividend") > 0, F.lit(False)).cast("long"))
     return rv.withColumns({"lrv_d": F.ln("rv"), "lrv_w": F.ln(full_mean("rv", 5, w)), "lrv_m": F.ln(full_mean("rv", 22, w)), "dow": F.weekday("d").cast("long")})
 
 

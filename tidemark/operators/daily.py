@@ -27,12 +27,17 @@ def syndicated(articles: DataFrame) -> DataFrame:
     return keyed.join(first, ["title_norm", "doc_id"])
 
 
+def _once(articles: DataFrame) -> DataFrame:
+    """The first of syndicated articles; rows that carry n_syndicated already are that."""
+    return articles if "n_syndicated" in articles.columns else syndicated(articles)
+
+
 def attention(articles: DataFrame, cal: DataFrame) -> DataFrame:
     """Counts by trading day on the full calendar, with log1p and a no-news flag.
 
     n_focus counts roundups (is_focus); results_day is 1 if an article on results has the target as its primary name.
     """
-    placed = asof_backward(syndicated(articles), cal)
+    placed = asof_backward(_once(articles), cal)
     primary = F.col("relevance") == 1.0
     by = placed.groupBy(F.col("row_d").alias("d")).agg(
         F.count(F.lit(1)).alias("n_articles"), F.count_if(primary).alias("n_primary"), F.countDistinct("src").alias("n_sources"), F.count_if("is_focus").alias("n_focus"),
@@ -126,9 +131,9 @@ def daily_table(articles: DataFrame, cal: DataFrame) -> DataFrame:
 
     Takes doc_id, d, title, src, s, s_focus, relevance, is_focus, kind. Syndicated copies count once. Missing sentiment is zero.
     """
-    kept = syndicated(articles).drop("title_norm", "n_syndicated")
+    kept = _once(articles)
     one = F.lit(1).alias("_one")
     carry = carried(scored_days(kept.select("*", one), "_one"), "_one", "s", "w").select("d", "carry")
     focus = asof_backward(kept, cal).groupBy(F.col("row_d").alias("d")).agg(F.avg("s_focus").alias("focus_para_sent"))
-    out = attention(articles, cal).join(weighted_sentiment(kept, cal), "d", "left").join(focus, "d", "left").join(carry, "d", "left")
+    out = attention(kept, cal).join(weighted_sentiment(kept, cal), "d", "left").join(focus, "d", "left").join(carry, "d", "left")
     return out.fillna(0.0, ["sent", "mag", "sent_min", "focus_para_sent", "carry"]).withColumn("focus_x_carry", F.col("n_focus") * F.col("carry"))

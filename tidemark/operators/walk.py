@@ -115,3 +115,55 @@ def rolling_connectedness(panel: DataFrame, nodes: list[str], window: int = 250,
         return pd.DataFrame({"d": [pdf.d.iloc[-1]], "total": [100 * (1 - np.trace(theta) / len(nodes))]})
 
     return rows.join(ends, "end", "left_semi").groupBy("end").applyInPandas(run, "d date, total double")
+
+
+def _moments(rows: DataFrame, by: str, target: str, features: list[str]) -> DataFrame:
+    """Counts, means and covariances of features and target: a row of a few numbers for each key, combined before the shuffle."""
+    known = rows.dropna(subset=[target, *features])
+    cols = [*features, target]
+    cov = F.array(*[F.covar_pop(a, b) for a in cols for b in cols])
+    return known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.avg, cols)).alias("mean"), cov.alias("cov"))
+
+
+def _solved(row, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Slopes on standardised features, means, deviations, intercept and residual variance."""
+    mean, cov = np.array(row["mean"]), np.array(row["cov"]).reshape(k + 1, k + 1)
+    sd = np.sqrt(np.diag(cov)[:k])
+    sd = np.where(sd > 0, sd, 1.0)
+    b = np.linalg.lstsq(cov[:k, :k] / np.outer(sd, sd), cov[:k, k] / sd, rcond=None)[0]
+    ssr = row["n"] * max(cov[k, k] - float(b @ (cov[:k, k] / sd)), 0.0)
+    return b, mean[:k], sd, float(mean[k]), ssr / max(row["n"] - k - 1, 1)
+
+
+def latest(rows: DataFrame, by: str, target: str, features: list[str], base: str) -> DataFrame:
+    """(by, d, u_hat, forecast) of each key's last row with features, from all rows whose target is known.
+
+    forecast = base * exp(u + s2 / 2), as in `ols`. Only moments and one row of each key move.
+    """
+    usable = rows.dropna(subset=[*features, base])
+    now = usable.groupBy(by).agg(F.max("d").alias("d"), F.max_by(F.array(*features), "d").alias("x"), F.max_by(base, "d").alias("base"))
+    joined = _moments(usable, by, target, features).join(now, by)
+    kind = dict(rows.dtypes)[by]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                b, mean, sd, level, s2 = _solved(r, len(features))
+                u = level + float(b @ ((np.array(r["x"]) - mean) / sd))
+                out.append((r[by], r["d"], u, r["base"] * np.exp(u + s2 / 2)))
+            yield pd.DataFrame(out, columns=[by, "d", "u_hat", "forecast"])
+
+    return joined.mapInPandas(run, f"{by} {kind}, d date, u_hat double, forecast double")
+
+
+def unit_effects(rows: DataFrame, by: str, target: str, features: list[str]) -> DataFrame:
+    """(by, feature, coefficient): the regression on all rows, per standard deviation (of the population) of each feature."""
+    kind = dict(rows.dtypes)[by]
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r[by], f, float(c)) for r in pdf.to_dict("records") for f, c in zip(features, _solved(r, len(features))[0], strict=True)]
+            yield pd.DataFrame(out, columns=[by, "feature", "coefficient"])
+
+    return _moments(rows, by, target, features).mapInPandas(run, f"{by} {kind}, feature string, coefficient double")

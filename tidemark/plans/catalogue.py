@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, inferences, networks, scores, streams, texts
+from . import daily, inferences, networks, scores, streams, study, texts
 
-PLANS = (daily, texts, scores, networks, streams, inferences)
+PLANS = (daily, texts, scores, networks, streams, inferences, study)
 
 
 def queries() -> dict:
