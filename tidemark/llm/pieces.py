@@ -29,6 +29,8 @@ MARK = "▁"
 ALL = byte_table(b"", lower=False)
 #: Compatible pairs that a worker remembers.
 PAIRS = 1_000_000
+#: Fixed values of the model files: the fields of the trainer's settings and of the type in them, and the types.
+TRAINER, MODEL_TYPE, UNIGRAM, BPE = 2, 3, 1, 2
 
 
 class Vocabulary:
@@ -147,10 +149,37 @@ def vocabulary_of(path: str) -> Vocabulary:
             byte_ids[int(p[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             pieces[p] = (i, model.get_score(i))
-    # A merge of whole characters has a score of its own; a unigram model sums log probabilities.
-    scores = sorted((s for _, s in pieces.values() if s > -1e8), reverse=True)
-    ranks = all(float(s).is_integer() for s in scores[:1000])
-    return Vocabulary(pieces, byte_ids if any(byte_ids) else None, model.unk_id(), ranks, size)
+    kind = _field(_field(model.serialized_model_proto(), TRAINER, b""), MODEL_TYPE, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"model type {kind} is neither unigram nor BPE")
+    return Vocabulary(pieces, byte_ids if any(byte_ids) else None, model.unk_id(), kind == BPE, size)
+
+
+def _field(message: bytes, wanted: int, default):
+    """A field of a serialized message: an integer, or the bytes of a nested message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 128:
+                return value, at
+
+    at, found = 0, default
+    while at < len(message):
+        key, at = varint(at)
+        if key & 7 == 0:
+            value, at = varint(at)
+        elif key & 7 == 2:
+            size, at = varint(at)
+            value, at = message[at : at + size], at + size
+        else:
+            size = 8 if key & 7 == 1 else 4
+            value, at = message[at : at + size], at + size
+        if key >> 3 == wanted:
+            found = value
+    return found
 
 
 class PieceTable(WordTable):
@@ -169,8 +198,8 @@ class PieceTable(WordTable):
         return np.array([i for x in got for i in x], np.uint32), np.fromiter(map(len, got), np.int32, len(got))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and their offsets. A text that is not empty gets a marker in front."""
-        column = column.cast(pa.string()).fill_null("")
+        """Ids of all texts and their offsets. A text that is not empty gets a marker in front; the marker character itself is read as a blank."""
+        column = pc.replace_substring(column.cast(pa.string()).fill_null(""), MARK, " ")
         marked = pc.if_else(pc.equal(pc.binary_length(column), 0), "", pc.binary_join_element_wise(" ", column, ""))
         words = Words(marked.combine_chunks() if isinstance(marked, pa.ChunkedArray) else marked, ALL, self.vocabulary.cut)
         ids, to = self.gathered(self.slots(words))
@@ -259,8 +288,8 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
     """Number and crc32 of the ids of every whole text, the sha256 of the decoded text, and whether it equals the text.
 
-    Takes `doc_id` and `text`; other columns are ignored. A null text counts as empty. A text that
-    holds the marker character itself does not come back exactly, as in the library. Repeated rows
+    Takes `doc_id` and `text`; other columns are ignored. A null text counts as empty. A marker
+    character in a text comes back as a blank, as in the library. Repeated rows
     are encoded each; an empty table gives no rows.
     """
     return _source(docs).mapInArrow(_checked(model), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
