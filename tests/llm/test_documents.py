@@ -226,6 +226,7 @@ def test_licences(spark):
         1: "Licensed under the Apache License, Version 2.0.", 2: "mit license MIT-License gnu general public licensex", 3: None, 4: "",
         5: "This is licensed under the GNU General Public License, version 3. cc by cc by", 6: "apache\nlicense", 7: "word " * 5000 + "MIT License",
         8: "licensed under the gnu general public license version", 9: "license apache", 10: "CC BY-NC 4.0 é apache",
+        11: f"x {licenses.TEMPLATES[11][0].upper()}. y", 12: f"{licenses.TEMPLATES[12][0]} cc by {licenses.TEMPLATES[11][0][:300]}",
     }
     frame = spark.createDataFrame([(i, t, "q") for i, t in rows.items()], "doc_id long, text string, labels string")
     got = {r["doc_id"]: r for r in licenses.scan(frame).collect()}
@@ -237,6 +238,20 @@ def test_licences(spark):
         assert (r["first_word"], r["last_word"]) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in hits}))
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    seen = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))) for t in rows.values()]
+    idf = lambda x: max(np.log((1 + len(rows)) / (1 + sum(x in s for s in seen))), 1e-6)
+    for i, t in rows.items():  # the method's labels and score by trying every template at every place
+        w, labels, score = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)), set(), 0.0
+        for template, phrase, label in (*((p, p, b) for p, b in licenses.BASE), *licenses.TEMPLATES):
+            parts, key = template.split(), phrase.split()
+            must = next(k for k in range(len(parts)) if parts[k : k + len(key)] == key)
+            for k in range(len(w)):
+                if w[k : k + len(key)] == key:
+                    fit = sum(idf(x) for j, x in enumerate(parts) if 0 <= k - must + j < len(w) and w[k - must + j] == x) / sum(map(idf, parts))
+                    if label in dict((b, p) for p, b in licenses.BASE) or fit >= 0.75:
+                        labels.add(label)
+                        score = max(score, fit)
+        assert set(filter(None, got[i]["labels"].split(","))) == labels and got[i]["score"] == pytest.approx(score), i
     assert "apache-2.0" in got[1]["labels"] and "gpl-3.0" in got[5]["labels"] and "gpl-3.0" not in got[8]["labels"]
     assert licenses.scan(frame.limit(0)).count() == 0
 

@@ -1,17 +1,18 @@
 """Licence scans with a positional rare-token index.
 
 Templates are word sequences with a mandatory phrase. Document counts of all template words over
-the whole corpus give their inverse document frequencies. The index lists, for the rarest words of
-each template, the template and the word's place in it. In a file, the places of its rare licence
-words minus their places in a template give the relative position at which the template would
-start; a position is scored by the idf share of the template's words that stand there, and counts
-if the mandatory phrase stands there too.
+the whole corpus give their inverse document frequencies. The index lists, for each word, the templates and the
+word's places in their phrases. A file can hold a template only if all words of the phrase are among its
+licence words; of these the file's rarest two are looked up. A word's places in the file minus its place in the
+template are the relative positions at which the template would start; the positions that all looked-up words
+agree on are verified: the whole phrase must stand there, and a template counts by the idf share of its words that do.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,27 @@ TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge", "mit-text"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms", "bsd-text"),
     ("subject to the terms of the mozilla public license v 2 0", "mozilla public license", "mpl-2.0"),
-)
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "permission is hereby granted free of charge", "mit-full",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+        "and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "with or without fee is hereby granted", "isc-full",
+    ),
+)
 
 
 class Index:
-    """Postings of the rarest words of each template: (word, template, place)."""
+    """Words of the templates, and for each template the places of its phrase's words, the rarest first."""
 
     def __init__(self, idf: dict[str, float], least: float = 0.75, rare: int = 2):
         self.idf, self.least = idf, least
@@ -51,16 +68,21 @@ class Index:
         for text, phrase, label in (*((p, p, b) for p, b in BASE), *TEMPLATES):
             ids, key = np.array([number[w] for w in text.split()]), np.array([number[w] for w in phrase.split()])
             must = next(i for i in range(len(ids)) if list(ids[i : i + len(key)]) == list(key))
-            inside = range(must, must + len(key))
-            # A fitting place holds the whole phrase, so its rarest word alone finds every one.
-            posts = sorted(inside, key=lambda i: (-weight[ids[i]], self.words[ids[i]], i))[: 1 if len(ids) == len(key) else rare]
+            # A place that fits holds the whole phrase, so all words of the phrase agree on it, its rarest ones too.
+            posts = sorted(range(must, must + len(key)), key=lambda i: (-weight[ids[i]], self.words[ids[i]], i))[:rare]
             self.templates.append((label, ids, weight[ids] / weight[ids].sum(), must, len(key), posts))
 
     def scan(self, licence: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each template, the fitting starts (word numbers) and their scores. licence: number of each word, or -1."""
         n = len(licence)
+        known = np.flatnonzero(licence >= 0)
+        has = np.zeros((int(text_of[-1]) + 1 if n else 0, len(self.words)), bool)  # the licence words of each file
+        has[text_of[known], licence[known]] = True
+        places = {int(w): known[licence[known] == w] for w in np.unique(licence[known])}
         for t, (_, ids, share, must, size, posts) in enumerate(self.templates):
-            start = np.unique(np.concatenate([np.flatnonzero(licence == ids[p]) - p for p in posts]))
+            able = has[:, ids[must : must + size]].all(1)
+            found = [places.get(int(ids[p]), known[:0]) for p in posts]
+            start = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), [x[able[text_of[x]]] - p for x, p in zip(found, posts, strict=True)])
             at = start + must
             ok = (at >= 0) & (at + size <= n)
             start, at = start[ok], at[ok]
