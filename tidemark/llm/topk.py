@@ -5,12 +5,17 @@ Cauchy-Schwarz bounds an inner product from above (and so the distance from belo
 `sum(L * mean_q * mean_x + L * sd_q * sd_x)`. Bounds are taken coarse to fine, each only for pairs
 that the one before left above the query's current k-th score; survivors get the exact integer score.
 
-Queries come in blocks of bounded size; each block is broadcast (its bytes are checked) and met by one
-pass over all rows. Each task keeps the k best of its rows for each query, then these are merged.
+Of the first rows that a query meets, those with the best bounds are scored first, so that the others meet a k-th score.
+How much is pruned depends on the vectors: where neighbouring components go together, nearly all; where they are
+independent of each other, the bounds lie above the scores and all pairs are scored.
+
+Queries come in blocks of bounded size; one block after another is broadcast, met by one
+pass over all rows, and dropped. Each task keeps the k best of its rows for each query, then these are merged.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, shared_dir, written
 
 SEGMENTS = (1, 4, 16)
 #: Queries in a block, and the most bytes a broadcast block may have.
@@ -63,17 +68,31 @@ class Best:
         self.stats = [statistics(queries, s) for s in SEGMENTS]
         self.score = np.full((len(ids), k), -np.inf)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
+        #: Pairs met, and pairs left after each resolution.
+        self.pairs = np.zeros(1 + len(SEGMENTS), np.int64)
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if len(ids) > self.k and np.isneginf(self.score[:, -1]).any():  # the rows with the best bounds first
+            bound = (self.stats[-1] @ statistics(x, SEGMENTS[-1]).T).max(0)
+            order = np.argsort(-bound, kind="stable")
+            first = order[: 2 * self.k]
+            self._met(ids[first], x[first])
+            ids, x = ids[order[2 * self.k :]], x[order[2 * self.k :]]
+        if len(ids):
+            self._met(ids, x)
+
+    def _met(self, ids: np.ndarray, x: np.ndarray) -> None:
         floor = self.score[:, -1]
         coarse, *finer = (statistics(x, s) for s in SEGMENTS)
         slack = 1e-9 * (1 + np.abs(self.q).sum(1) * np.abs(x).max(initial=0))
         left = self.stats[0] @ coarse.T + slack[:, None] >= floor[:, None]
         left &= self.ids[:, None] != ids[None, :]
         qi, xi = np.nonzero(left)
-        for of_q, of_x in zip(self.stats[1:], finer, strict=True):
+        self.pairs[:2] += left.size, len(qi)
+        for level, (of_q, of_x) in enumerate(zip(self.stats[1:], finer, strict=True), 2):
             keep = self._products(of_q, of_x, qi, xi) + slack[qi] >= floor[qi]
             qi, xi = qi[keep], xi[keep]
+            self.pairs[level] += len(qi)
         score = self._products(self.q, x, qi, xi)
         keep = score >= floor[qi]
         qi, xi, score = qi[keep], xi[keep], score[keep]
@@ -131,18 +150,21 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
     usable_rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_q")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     # Before the minimum, as an unusable vector could be the smallest. NaN counts as greater than infinity.
     finite = (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-    asked = usable_rows.filter("_q").filter(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    # Blocks of ids: a range sort deals the queries out, and each range becomes blocks of bounded size.
-    numbered = written(asked.withColumn("_n", F.monotonically_increasing_id()).select("vec_id", "embedding", (F.shiftright("_n", 33)).alias("_part"), (F.col("_n").bitwiseAND((1 << 33) - 1) / block).cast("long").alias("_block")), "queries")
-    found = None
-    for r in numbered.groupBy("_part", "_block").count().orderBy("_part", "_block").toLocalIterator():
-        own = numbered.filter((F.col("_part") == r["_part"]) & (F.col("_block") == r["_block"])).select("vec_id", "embedding").collect()
-        if sum(8 * len(x["embedding"]) + 8 for x in own) > BLOCK_BYTES:
-            raise ValueError("a block of queries is over BLOCK_BYTES; take a smaller block")
+    asked = written(usable_rows.filter("_q").filter(finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.size("embedding") + 8).alias("bytes")).first()
+    blocks = max(-(-size["n"] // block), -(-2 * (size["bytes"] or 0) // BLOCK_BYTES))
+    if not blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Dealt out in turn, blocks are of one size; each is a partition of the written table.
+    numbered = written(asked.repartition(blocks).withColumn("_block", F.spark_partition_id()), "queries")
+    path = f"{shared_dir(spark)}/tidemark/found-{uuid.uuid4().hex}"
+    for number in range(blocks):
+        own = numbered.filter(F.col("_block") == number).select("vec_id", "embedding").collect()  # `block` queries, BLOCK_BYTES at most
         held = spark.sparkContext.broadcast(([x["vec_id"] for x in own], [x["embedding"] for x in own]))
         one = usable_rows.select("vec_id", "embedding").mapInArrow(_search(held, k, scale), "query_id long, vec_id long, score long")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        one.write.mode("append").option("compression", "zstd").parquet(path)
+        held.destroy()
+    released(asked, numbered)
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
