@@ -269,9 +269,10 @@ def _rest(source: DataFrame, buckets: DataFrame, classes: DataFrame, found: Data
 
     Buckets with the same main component are taken together, so a class comes once for all its bands.
     """
-    placed = buckets.filter("size > 2").select("key", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = written(buckets.filter("size > 2").select("key", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
     by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = by.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "main")
+    main = written(main, "main")  # as with `shared`: so that a key with very many rows can be split over tasks
     rows = written(placed.join(main, "key").select("main", "class", "component").distinct(), "open")
     sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("of"), F.count_if(F.col("component") != F.col("main")).alias("outside"))
     sets = _sets_of(source, classes, rows.select("class").distinct(), width)
