@@ -54,3 +54,18 @@ def test_table_forgets_when_full(monkeypatch):
     for text in ("one two three four", "five six seven", "one two nine", "four five"):
         ids, off = own.encode(pa.array([text, None]))
         assert ids.tolist() == model.encode(text) and off.tolist() == [0, len(ids), len(ids)]
+
+
+def test_packing_table_keeps_what_is_at_hand(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import packing, word_table
+
+    monkeypatch.setattr(word_table, "REMEMBERED", 6)
+    path = tokenizer_path("word_bpe_49k.json")
+    model, own, rng = Tokenizer.from_file(path), packing.WordTokens(path, 2), random.Random(2)
+    fresh = lambda t: packing.WordTokens(path, 2).encode(pa.array([t]))[2]
+    for _ in range(40):
+        text = " ".join(rng.choice(["alpha", "beta7", "gamma's", "delta,", "it", "of", "x" * 9, "é", "naïve"]) for _ in range(rng.randrange(9)))
+        ids, off, vec = own.encode(pa.array([text]))
+        assert ids.tolist() == [*model.encode(text, add_special_tokens=False).ids, 2] and (vec == fresh(text)).all()

@@ -6,6 +6,7 @@ memory of a Python worker follows the slice size (or the longest single text), n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose text holds about `most` bytes, or one text if it is longer."""
+    """The same rows in slices whose text holds about `most` bytes, or one text if it is longer. At their end the worker gives back what it freed."""
     for batch in batches:
         _, off = buffers(batch.column(batch.schema.get_field_index(column)))
         at, n = 0, batch.num_rows
@@ -57,6 +58,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system: a Python worker lives on for the tasks of later steps."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 class Words:

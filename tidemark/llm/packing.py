@@ -87,6 +87,12 @@ class WordTokens(WordTable):
         sign = np.where(h >> np.uint64(63), -1, 1).astype(np.float32)
         self.vec[first : self.n] = self.projection[h % np.uint64(HASHED)] * sign[:, None]
 
+    def keep(self, words: pa.Array, slots: np.ndarray) -> None:
+        vec = self.vec[slots]
+        super().keep(words, slots)
+        self.grown("vec", self.n)
+        self.vec[self.n - len(slots) : self.n] = vec
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with the end id after each, their offsets, and the projected vectors."""
         plain = b"<|" in memoryview(buffers(column)[0]).tobytes()  # a special token may stand in the text

@@ -9,11 +9,11 @@ import pyarrow.compute as pc
 from .arrow_text import Words
 
 #: Words that a worker remembers with their ids, and the bytes of text that are looked up at once.
-REMEMBERED, LOOKUP_BYTES = 1_500_000, 8 << 20
+REMEMBERED, LOOKUP_BYTES = 600_000, 4 << 20
 
 
 class WordTable:
-    """Remembers the ids of words. When full it forgets all of them, so its memory is bounded.
+    """Remembers the ids of words. When full it forgets all but those of the slice at hand, so its memory is bounded.
 
     The words stay in Arrow: a slice's distinct words are looked up among the known ones by their bytes,
     and only new words become Python strings.
@@ -40,8 +40,10 @@ class WordTable:
 
     def learn(self, words: list[str]) -> None:
         """Gives the words the next slots, in their order."""
-        got, length = self.encode_words(words)
-        to = self.n + len(words)
+        self._append(*self.encode_words(words))
+
+    def _append(self, got: np.ndarray, length: np.ndarray) -> None:
+        to = self.n + len(length)
         for name, need in (("off", to), ("len", to), ("ids", self.used + len(got))):
             self.grown(name, need)
         self.ids[self.used : self.used + len(got)] = got
@@ -49,16 +51,24 @@ class WordTable:
         self.off[self.n : to] = self.used + np.cumsum(length, dtype=np.int64) - length
         self.n, self.used = to, self.used + len(got)
 
+    def keep(self, words: pa.Array, slots: np.ndarray) -> None:
+        """Forgets all words but these, which stand in these slots."""
+        length, (ids, _) = self.len[slots], self.gathered(slots)
+        self.forget()
+        self.known = words
+        self._append(ids, length)
+
     def slots(self, words: Words) -> np.ndarray:
         """The slot of each word; new words are learned."""
         if not len(words):
             return np.zeros(0, np.int64)
         coded = words.array().dictionary_encode()
         distinct = coded.dictionary
-        if len(self.known) + len(distinct) > REMEMBERED and len(self.known):
-            self.forget()
         first = self.n - len(self.known)  # slots before the words'
         at = pc.index_in(distinct, value_set=self.known)
+        if len(self.known) + at.null_count > REMEMBERED and len(self.known):
+            self.keep(distinct.filter(at.is_valid()), first + np.asarray(at.drop_null(), np.int64))
+            at = pc.index_in(distinct, value_set=self.known)
         if at.null_count:
             new = distinct.filter(at.is_null())
             self.learn(new.to_pylist())
