@@ -11,7 +11,7 @@ from tidemark.operators import bars, calls, graph, inference, options, tracker,
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 
-from .networks import _edges, _small
+from .networks import BOTH, EDGES, _edges, _small
 from .scores import FC, QL, _called, _forecasts
 from .texts import _headlines
 from .tidy import sql, tidy
@@ -144,6 +144,9 @@ TRACK = FC + """, tr0 as (select symbol, lead(d) over w as nd, d as d0, lead(rv)
 tr as (select symbol, coalesce(nd, cast(d0 + case isodow(d0) when 5 then 3 when 6 then 2 else 1 end as date)) as d, realised, f1, f2, nd is null as pending from tr0),
 tracked as (select *, case when d >= date '1999-01-01' then 'test' else 'validation' end as period from tr)"""
 ORACLE = {
+    "weighted_clustering": sql("mentions", "name clustering:f", f"""{EDGES}, {BOTH}, u as (select source, target, weight / (select max(weight) :: double from edges) as w from edges),
+      t as (select a.source as a, a.target as b, b.target as c, cbrt(a.w * b.w * c.w) as x from u a join u b on a.target = b.source join u c on c.source = a.source and c.target = b.target), per as (select name, sum(x) as x from (select unnest([a, b, c]) as name, x from t) group by name),
+      deg as (select source as name, count(*) as k from two group by source) ;; select name, coalesce(2 * x / nullif(k * (k - 1), 0), 0) as clustering from deg left join per using (name)"""),
     "live_tracker": sql("bars", "symbol d:d realised:f f1:f f2:f pending period", f"{TRACK} ;; select * from tracked"),
     "live_summary": sql("bars", "symbol period model n:i qlike:f change:f", f"""{TRACK}, l as (select symbol, period, 'f1' as model, realised as rv, f1 as f, f1 as b from tracked where not pending union all select symbol, period, 'f2', realised, f2, f1 from tracked where not pending) ;;
       select symbol, period, model, count(*) as n, avg{QL('f')} as qlike, 100 * (avg{QL('f')} / avg{QL('b')} - 1) as change from l where rv > 0 and f > 0 group by symbol, period, model having count(*) >= 10"""),

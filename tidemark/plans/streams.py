@@ -70,6 +70,9 @@ ORACLE = {
     "stream_upsert": sql("", "user_id event_type event_id value:f", "select * from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events) where r = 1"),
     "stream_dedupe_watermark": sql("", "user_id event_type", "select distinct user_id, event_type from events"),
     "stream_daily_publish": None,
+    "lexicon_scores": sql("articles", "doc_id z_lex_positive:f z_lex_negative:f p_lex_positive:f p_lex_negative:f p_lex_neutral:f sent_lex:f", f"""w as (select doc_id, [trim(x, '.,;:!?') for x in regexp_split_to_array(lower(text), '\\s+')] as w from articles),
+      n as (select doc_id, len([x for x in w if x in {v.POSITIVE}]) :: double as p, len([x for x in w if x in {v.NEGATIVE}]) :: double as n from w), e as (select *, exp((p - m) / 2) as a, exp((n - m) / 2) as b, exp((0.5 - m) / 2) as c from (select *, greatest(p, n, 0.5 :: double) as m from n)) ;;
+      select doc_id, p as z_lex_positive, n as z_lex_negative, a / (a + b + c) as p_lex_positive, b / (a + b + c) as p_lex_negative, c / (a + b + c) as p_lex_neutral, (a - b) / (a + b + c) as sent_lex from e"""),
     "same_event_filter": "with recursive " + sql("filings", "symbol d:d path", """f as (select symbol, d, cast(min(id) as varchar) as path, row_number() over (partition by symbol order by d) as t from filings group by symbol, d),
       r as (select symbol, t, d, path, d as last, true as own from f where t = 1 union all select f.symbol, f.t, f.d, f.path, case when f.d - r.last > 20 then f.d else r.last end, f.d - r.last > 20 from r join f on f.symbol = r.symbol and f.t = r.t + 1) ;; select symbol, d, path from r where own""").removeprefix("with "),
 }
