@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, licenses, minhash, packing, quality, substring
 from tidemark.llm.queries import tokenizer_path
@@ -95,6 +96,17 @@ def test_near_duplicates_chain_in_one_bucket(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near(texts, 2, 80)
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_of_the_table_lose_no_link(spark, width):
+    """Recall on a whole table: the components of all exact links."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10**6))
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    want = brute_near(texts, width, 80)
+    assert sum(not kept for *_, kept in want.values()) > 20
+    got = minhash.near_duplicates(table, width, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "a b c d"), (None, "q r"), (1, "z y x"), (5, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()

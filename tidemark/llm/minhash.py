@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text:
     more = _rest(source, buckets, classes, found, width, percent)
     found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
     rooted = classes.drop("n", "regs").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text)
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text), "roots")
     of_class = written(rooted.drop("at").join(least, "component").select("key1", "key2", "component_id", *["at"] * by_text), "components")
     body = ["body"] * by_text
     worded = sketches.filter("n > 0").join(of_class, ["key1", "key2"])
