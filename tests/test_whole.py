@@ -138,12 +138,13 @@ def test_event_path_and_focus_take_all_articles(spark, dated):
 
 def test_implied_volatility_takes_all_orders(spark):
     atm = defaultdict(dict)
-    for r in v.read(spark, SF, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d")).collect():
+    for r in v.read(spark, SF, "orders").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("d")).collect():
         k, days = r["o_orderkey"], r["o_orderkey"] % 90 + 3
-        atm[str(r["d"])][days] = max(0.1 + k % 37 / 100, atm[str(r["d"])].get(days, 0.0))
-    got = {r["date"]: (r["n_expiries"], r["near_days"], r["atm_near"]) for r in run(spark, "iv30_interp")}
+        own = atm[{"O": "A", "F": "N", "P": "R"}[r["o_orderstatus"]], str(r["d"])]
+        own[days] = max(0.1 + k % 37 / 100, own.get(days, 0.0))
+    got = {(r["symbol"], r["date"]): (r["n_expiries"], r["near_days"], r["atm_near"]) for r in run(spark, "iv30_interp")}
     assert got == {d: (len(s), min(s), pytest.approx(s[min(s)], abs=1e-6)) for d, s in atm.items()}
-    priced = Counter(r["symbol"] for r in bars.realised(v.bars(spark, SF)).select("symbol", F.col("d").cast("string").alias("d")).collect() if r["d"] in atm)
+    priced = Counter(r["symbol"] for r in bars.realised(v.bars(spark, SF)).select("symbol", F.col("d").cast("string").alias("d")).collect() if (r["symbol"], r["d"]) in atm)
     assert {r["symbol"]: r["n"] for r in run(spark, "vrp_summary")} == dict(priced)
 
 

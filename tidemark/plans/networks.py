@@ -151,7 +151,7 @@ def surface_slice(spark, sf):
 
 def _slices(spark, sf):
     o = v.read(spark, sf, "orders")
-    return o.select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm"), F.col("o_orderstatus").alias("symbol"), (F.col("o_orderkey") % 11 / 100.0).alias("skew"), (F.col("o_orderkey") % 17 + 100.0).alias("F")).groupBy("symbol", "date", "days").agg(F.max("atm").alias("atm"), F.max("skew").alias("skew"), F.max("F").alias("F"))
+    return o.select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 90 + 3).cast("int").alias("days"), (0.1 + (F.col("o_orderkey") % 37) / 100.0).alias("atm"), F.translate("o_orderstatus", "OFP", "ANR").alias("symbol"), (F.col("o_orderkey") % 11 / 100.0).alias("skew"), (F.col("o_orderkey") % 17 + 100.0).alias("F")).groupBy("symbol", "date", "days").agg(F.max("atm").alias("atm"), F.max("skew").alias("skew"), F.max("F").alias("F"))
 
 
 def iv30_interp(spark, sf):
@@ -159,9 +159,9 @@ def iv30_interp(spark, sf):
 
 
 def vrp_summary(spark, sf):
-    iv = options.constant_maturity(_slices(spark, sf)).filter("symbol = 'O'").select(F.col("date").alias("d"), (F.col("iv30") * 100).alias("implied"))
+    iv = options.constant_maturity(_slices(spark, sf)).select("symbol", F.col("date").alias("d"), (F.col("iv30") * 100).alias("implied"))
     r = bars.realised(v.bars(spark, sf)).withColumn("vol", F.sqrt("rv"))
-    return tidy(options.premium(r.join(iv, "d"), "implied", "vol", "symbol"))
+    return tidy(options.premium(r.join(iv, ["symbol", "d"]), "implied", "vol", "symbol"))
 
 
 def _priced(name: str, columns: str, f):
@@ -224,11 +224,11 @@ ORACLE = {
     "pairwise_net": sql("mentions", "source target flow:f", f"{SHARES}, d as (select a.source as s, a.target as t, a.share - b.share as f from shares a join shares b on a.source = b.target and a.target = b.source where a.source < a.target) ;; select case when f >= 0 then s else t end as source, case when f >= 0 then t else s end as target, abs(f) as flow from d"),
     "forward_parity": sql("", "symbol date:d expiry:d F:f", f"""{CHAIN}, n as (select *, strike + exp(0.065 :: double * (expiry - date) / 365.0 :: double) * (call - put) as f, row_number() over (partition by symbol, date, expiry order by abs(call - put), strike) as r from c2 where call > 0 and put > 0),
       u as (select distinct symbol, date, expiry from c2 where symbol = 'Z' and day(expiry) % 2 = 0) ;; select symbol, date, expiry, case when u.symbol is not null then 1007.0 :: double else f end as "F" from (select symbol, date, expiry, median(f) as f from n where r <= 3 group by symbol, date, expiry) full join u using (symbol, date, expiry)"""),
-    "iv30_interp": sql("", "symbol date:d iv30:f atm_near:f atm_next:f near_days:i skew_near:f F_near:f n_expiries:i term_slope:f sigma_day_implied:f", """s as (select o_orderstatus as symbol, cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm, max(o_orderkey % 11 / 100.0 :: double) as skew, max(o_orderkey % 17 + 100.0 :: double) as fwd from orders group by 1, 2, 3),
+    "iv30_interp": sql("", "symbol date:d iv30:f atm_near:f atm_next:f near_days:i skew_near:f F_near:f n_expiries:i term_slope:f sigma_day_implied:f", """s as (select translate(o_orderstatus, 'OFP', 'ANR') as symbol, cast(o_orderdate as date) as date, o_orderkey % 90 + 3 as days, max(0.1 :: double + (o_orderkey % 37) / 100.0 :: double) as atm, max(o_orderkey % 11 / 100.0 :: double) as skew, max(o_orderkey % 17 + 100.0 :: double) as fwd from orders group by 1, 2, 3),
       g as (select symbol, date, max(row(days, atm)) filter (days <= 30) as lo, min(row(days, atm)) filter (days >= 30) as hi, min(row(days, atm, skew, fwd)) as near, count(*) as n, list_sort(list(row(days, atm)))[2][2] as nxt from s group by symbol, date),
       i as (select *, case when lo is null then hi[2] when hi is null or lo[1] = hi[1] then lo[2] else sqrt((lo[2] * lo[2] * lo[1] + (hi[2] * hi[2] * hi[1] - lo[2] * lo[2] * lo[1]) * (30 - lo[1]) / (hi[1] - lo[1])) / 30) end as iv from g) ;;
       select symbol, date, iv as iv30, near[2] as atm_near, nxt as atm_next, near[1] as near_days, near[3] as skew_near, near[4] as "F_near", n as n_expiries, nxt - near[2] as term_slope, 100 * iv / sqrt(252) as sigma_day_implied from i"""),
     "garch_filter": "with recursive " + sql("bars", "symbol d:d h:f", f"""{RV}, x as (select symbol, d, ret / 100 as r, row_number() over (partition by symbol order by d) as t from rv),
       rec as (select symbol, 0 :: bigint as t, 1.0 :: double as h union all select rec.symbol, x.t, 0.05 :: double + 0.1 :: double * power(x.r, 2) + 0.85 :: double * rec.h from rec join x on x.symbol = rec.symbol and x.t = rec.t + 1) ;; select x.symbol, x.d, rec.h from rec join x using (symbol, t)""").removeprefix("with ").replace("rec as (select symbol, 0 :: bigint as t, 1.0 :: double as h union", "rec as (select distinct symbol, 0 :: bigint as t, 1.0 :: double as h from x union"),
 }
-ORACLE["vrp_summary"] = sql("bars", "symbol vrp:f positive:f ratio:f corr:f n:i", RV + ", " + ORACLE["iv30_interp"].removeprefix("with ").split("\nselect ")[0].rstrip() + """ ;; select symbol, avg(iv * 100 - sqrt(rv)) as vrp, avg((iv * 100 > sqrt(rv)) :: integer) as positive, median(iv * 100 / sqrt(rv)) as ratio, corr(iv * 100, sqrt(rv)) as corr, count(*) as n from rv join (select date, iv from i where symbol = 'O') i on i.date = rv.d group by symbol""")
+ORACLE["vrp_summary"] = sql("bars", "symbol vrp:f positive:f ratio:f corr:f n:i", RV + ", " + ORACLE["iv30_interp"].removeprefix("with ").split("\nselect ")[0].rstrip() + """ ;; select symbol, avg(iv * 100 - sqrt(rv)) as vrp, avg((iv * 100 > sqrt(rv)) :: integer) as positive, median(iv * 100 / sqrt(rv)) as ratio, corr(iv * 100, sqrt(rv)) as corr, count(*) as n from rv join (select symbol, date as d, iv from i) i using (symbol, d) group by symbol""")
