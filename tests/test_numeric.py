@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.functions import numeric as nm
 from tidemark.functions import scoring
-from tidemark.operators.walk import logit
+
 
 
 def test_prices_and_parity():
@@ -87,14 +87,8 @@ def test_small_graphs():
     assert [e[n] for n in "abcz"] == pytest.approx([0.5, 0.5**0.5, 0.5, 0.0]) and nm.eigenvector(["a"], {}) == {"a": 0.0}
 
 
-def test_logit_and_temperature():
+def test_temperature():
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((300, 2))
-    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] * 2)))).astype(float)
-    b = logit(x, y)
-    a = np.column_stack([np.ones(300), x])
-    p = 1 / (1 + np.exp(-a @ b))
-    assert np.append(0, b[1:]) + 0.5 * a.T @ (p - y) == pytest.approx(np.zeros(3), abs=1e-6)
     assert scoring.probabilities(np.array([[4.0, 0, 0]]), 2)[0, 0] < scoring.probabilities(np.array([[4.0, 0, 0]]))[0, 0]
     z = rng.standard_normal((2000, 3)) * 2
     y = np.array([rng.choice(3, p=q) for q in scoring.probabilities(z, 2.0)])

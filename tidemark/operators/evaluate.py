@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
+
 
 def softmax(zs: list[Column], temperature: float = 1.0) -> list[Column]:
     """Probabilities, with the greatest logit subtracted."""
@@ -107,6 +111,52 @@ def welch(rows: DataFrame, value: str, flag: str, by: str) -> DataFrame:
     return g.select(by, "n1", "n0", (F.col("m1") - F.col("m0")).alias("diff"), se.alias("se"), F.try_divide(F.col("m1") - F.col("m0"), se).alias("t"), F.exp(F.col("m1") - F.col("m0")).alias("ratio"))
 
 
+def ladder(rows: DataFrame, by: str, rv: str, models: list[str], base: str, test_start: str, lags: int = 5, least: int = 20) -> DataFrame:
+    """(by, period, model, n, qlike, change, dm, p) of forecasts before (validation) and from (test) a day on.
+
+    Days count on which every model has a positive forecast and the variance is positive; periods with fewer than `least` of them are left out. `change` is in per cent of the base
+    model's loss; dm and p (two-sided normal) compare with it and are null for itself.
+    """
+    good = [F.col(c) > 0 for c in (rv, *models)]
+    both = rows.dropna(subset=[by, "d", rv, *models]).filter(_all(good))
+    period = F.when(F.col("d") < F.lit(test_start).cast("date"), "validation").otherwise("test")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), qlike(F.col(rv), F.col(m)).alias("loss")) for m in models]))
+    long_ = both.select(F.col(by).alias("_by"), period.alias("period"), "d", qlike(F.col(rv), F.col(base)).alias("_base"), each.alias("_e")).select("_by", "period", "d", "_base", "_e.*")
+    long_ = long_.withColumns({"diff": F.col("loss") - F.col("_base"), "_key": F.struct("_by", "period", "model")})
+    means = long_.groupBy("_key").agg(F.avg("loss").alias("qlike"), F.avg("_base").alias("_b"))
+    out = diebold_mariano(long_, "diff", "_key", lags).join(means, "_key").filter(F.col("n") >= least)
+    dm = F.when(F.col("_key.model") != base, F.col("dm"))
+    return out.select(F.col("_key._by").alias(by), "_key.period", "_key.model", "n", "qlike", (100 * (F.col("qlike") / F.col("_b") - 1)).alias("change"), dm.alias("dm"), normal.two_sided(dm).alias("p"))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def fit_temperature(rows: DataFrame, zs: list[str], y: str, low: float = 0.05, high: float = 50.0, exact: float = 1e-6, points: int = 16) -> float:
+    """The temperature in [low, high] with the least mean negative log likelihood of class numbers `y` (from 0, in the order of `zs`).
+
+    The likelihood has one minimum in the logarithm of the temperature. Each round takes it at `points + 1` temperatures in one aggregation and
+    goes on between the neighbours of the best one, until they are `exact` apart; no logit leaves the executors. Rows with a
+    null logit or class take no part. Raises a ValueError without any.
+    """
+    clean = rows.select(y, *zs).dropna()
+    top, own = F.greatest(*zs) if len(zs) > 1 else F.col(zs[0]), F.element_at(F.array(*zs), (F.col(y) + 1).cast("int"))
+    a, b = math.log(low), math.log(high)
+    while b - a > exact:
+        grid = [a + (b - a) * i / points for i in range(points + 1)]
+        loss = lambda t: F.avg(F.ln(sum((F.exp((F.col(z) - top) / t) for z in zs[1:]), F.exp((F.col(zs[0]) - top) / t))) - (own - top) / t)
+        got = clean.agg(*[loss(math.exp(g)).alias(f"l{i}") for i, g in enumerate(grid)]).first()
+        if got[0] is None:
+            raise ValueError("no row with logits and a class")
+        best = min(range(points + 1), key=lambda i: got[i])
+        a, b = grid[max(best - 1, 0)], grid[min(best + 1, points)]
+    return math.exp((a + b) / 2)
+
+
 def masked(rows: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """One row for every named mask that holds: overlapping subsets in one pass."""
     names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in masks.items()]), lambda m: m.isNotNull())
@@ -114,12 +164,12 @@ def masked(rows: DataFrame, masks: dict[str, Column]) -> DataFrame:
 
 
 def permuted(rows: DataFrame, columns: list[str], within: str, key: str, seed: int) -> DataFrame:
-    """Placebo: the columns dealt anew within groups, by the order of a seeded md5 of the key."""
+    """Placebo: the columns dealt anew within groups, by the order of a seeded md5 of the key. Rows without a group form one."""
     a = Window.partitionBy(within).orderBy(key)
     b = Window.partitionBy(within).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
     own = rows.withColumn("_r", F.row_number().over(a)).drop(*columns)
-    other = rows.select(within, *columns, F.row_number().over(b).alias("_r"))
-    return own.join(other, [within, "_r"]).drop("_r")
+    other = rows.select(F.col(within).alias("_g"), *columns, F.row_number().over(b).alias("_o"))
+    return own.join(other, F.col(within).eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_o"))).drop("_r", "_g", "_o")
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: str, stratum: str, n: int, seed: str = "s") -> DataFrame:

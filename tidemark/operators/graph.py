@@ -170,3 +170,53 @@ def weighted_clustering(edges: DataFrame) -> DataFrame:
     per = t.select(F.explode(F.array("a", "b", "c")).alias("name"), "v").groupBy("name").agg(F.sum("v").alias("v"))
     d = degrees(edges)
     return d.join(per, "name", "left").select("name", F.coalesce(F.try_divide(2 * F.col("v"), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("clustering"))
+
+
+#: Stands between a group and a name; names and groups do not hold it.
+APART = "\x1f"
+
+
+def grouped_comentions(mentions: DataFrame, group: str, least: int = 1) -> DataFrame:
+    """(group, source, target, weight): co-mentions of (group, item, name) within each group."""
+    per = mentions.groupBy(F.col(group).cast("string").alias("group"), "item").agg(F.sort_array(F.collect_set("name")).alias("names")).filter(F.size("names") >= 2)
+    at = per.select("group", "names", F.posexplode("names").alias("i", "source"))
+    pairs = at.select("group", "source", F.explode(F.expr("slice(names, i + 2, size(names))")).alias("target"))
+    return pairs.groupBy("group", "source", "target").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
+
+
+def _apart(edges: DataFrame) -> DataFrame:
+    """The groups' networks as one, in which no edge leads from one to another."""
+    return edges.select(F.concat("group", F.lit(APART), "source").alias("source"), F.concat("group", F.lit(APART), "target").alias("target"), "weight")
+
+
+def _split(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({"group": F.substring_index("name", APART, 1), "name": F.substring_index("name", APART, -1)})
+
+
+def grouped_nodes(edges: DataFrame) -> DataFrame:
+    """(group, name, degree, strength, centrality, triangles, clustering) of (group, source, target, weight). Centrality: the degree by the other nodes of the group's network."""
+    one = _apart(edges)
+    d = _split(degrees(one).join(triangles(one), "name"))
+    n = d.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    return d.join(n, F.col("group") == F.col("_g")).select("group", "name", "degree", "strength", F.coalesce(F.try_divide("degree", F.col("_n") - 1), F.lit(0.0)).alias("centrality"), "triangles", "clustering")
+
+
+def grouped_metrics(edges: DataFrame) -> DataFrame:
+    """(group, metric, value): the figures of every group's network, all groups in the same passes.
+
+    nodes, edges, density, mean_degree, mean_strength, max_centrality, clustering (mean), transitivity, assortativity (null if all degrees are equal), components and giant. Nodes without an edge are not known here.
+    """
+    nodes = written(grouped_nodes(edges), "nodes")
+    n, k = F.count(F.lit(1)), F.col("degree")
+    figures = nodes.groupBy("group").agg(
+        n.cast("double").alias("nodes"), (F.sum(k) / 2).alias("edges"), F.coalesce(F.try_divide(F.sum(k), n * (n - 1)), F.lit(0.0)).alias("density"), F.avg(k).alias("mean_degree"), F.avg("strength").alias("mean_strength"),
+        F.max("centrality").alias("max_centrality"), F.avg("clustering").alias("clustering"), F.coalesce(F.try_divide(2.0 * F.sum("triangles"), F.sum(k * (k - 1))), F.lit(0.0)).alias("transitivity"),
+    )
+    end = lambda c, x: nodes.select(F.col("group").alias(f"g{x}"), F.col("name").alias(c), k.cast("double").alias(x))
+    both = edges.select("group", "source", "target").unionByName(edges.select("group", F.col("target").alias("source"), F.col("source").alias("target")))
+    ends = both.join(end("source", "x"), ["source"]).filter("group = gx").join(end("target", "y"), ["target"]).filter("group = gy")
+    mixing = ends.groupBy("group").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("assortativity"))
+    sizes = _split(components(_apart(edges))).groupBy("group", "component").agg(n.alias("size"))
+    parts = sizes.groupBy("group").agg(n.cast("double").alias("components"), F.max("size").cast("double").alias("giant"))
+    wide = figures.join(mixing, "group").join(parts, "group")
+    return wide.unpivot("group", [c for c in wide.columns if c != "group"], "metric", "value")

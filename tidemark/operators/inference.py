@@ -1,4 +1,4 @@
-"""Robust regressions, bootstraps and the confidence set, for series and panels of daily rows.
+"""Bootstraps and the confidence set, for series of daily rows.
 
 A series of daily losses is small (a row for each day), so one key's rows meet in one task; keys run in parallel.
 """
@@ -12,32 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as nm
 
-
-def regression(rows: DataFrame, by: str, y: str, features: list[str], lags: int | None = None) -> DataFrame:
-    """(by, feature, coefficient, error, p): per standard deviation of each feature; HC3 errors, or Newey-West with `lags`."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("d")
-        x = pdf[features].to_numpy(float)
-        mean, sd = nm.standardised(x, ddof=1)
-        b, se = nm.robust(pdf[y].to_numpy(float), (x - mean) / sd, lags)
-        return pd.DataFrame({by: key[0], "feature": features, "coefficient": b[1:], "error": se[1:], "p": [nm.two_sided(z) for z in b[1:] / se[1:]]})
-
-    return rows.select(by, "d", y, *features).groupBy(by).applyInPandas(run, f"{by} string, feature string, coefficient double, error double, p double")
-
-
-def fixed_effects(rows: DataFrame, group: str, y: str, features: list[str]) -> DataFrame:
-    """One regression with group effects for each feature, HC3 errors: the feature and the target are centred by group, the feature per standard deviation."""
-    long_ = rows.select(group, "d", F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])).alias("z")).select(group, "d", "y", "z.*").dropna()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dummies = pd.get_dummies(pdf[group], drop_first=True).to_numpy(float)
-        x = pdf.x.to_numpy(float)
-        sd = x.std(ddof=1) or 1.0
-        b, se = nm.robust(pdf.y.to_numpy(float), np.column_stack([(x - x.mean()) / sd, dummies]))
-        return pd.DataFrame({"feature": [key[0]], "coefficient": [b[1]], "error": [se[1]], "p": [nm.two_sided(b[1] / se[1])], "n": [len(pdf)]})
-
-    return long_.groupBy("feature").applyInPandas(run, "feature string, coefficient double, error double, p double, n long")
+from .robust import fixed_effects, regression  # noqa: F401
 
 
 def contrasts(rows: DataFrame, by: str, pairs: list[tuple[str, str]], draws: int = 2000, block: int = 10, seed: int = 0) -> DataFrame:
@@ -68,7 +43,7 @@ def cluster_bootstrap(rows: DataFrame, by: str, a: str, b: str, draws: int = 200
     return days.groupBy(by).applyInPandas(run, f"{by} string, change double, lo double, hi double")
 
 
-def confidence_sets(rows: DataFrame, by: str, models: list[str], level: float = 0.1, draws: int = 500) -> DataFrame:
+def confidence_sets(rows: DataFrame, by: str, models: list[str], level: float = 0.1, draws: int = 2000) -> DataFrame:
     """(by, model): the models that survive the range test."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
 from tidemark.functions import numeric as nm
 
 # Instrument and side codes of the two published file formats.
@@ -39,6 +40,24 @@ def file_url(base: str, d: Column, switch: str = "2024-07-08") -> Column:
     return F.when(d >= switch, new).otherwise(old)
 
 
+def priced(rows: DataFrame, f: str, k: str, t: str, sigma: str, rate: float = RATE) -> DataFrame:
+    """`rows` with call and put, the prices of options on a forward (t in years), and the call's delta, gamma (both in the forward), vega (for a unit of volatility) and theta (for a year).
+
+    All are null where an input is null or not positive. The terms are columns of their own, one step after another, so that
+    generated code computes each once.
+    """
+    good = (F.col(f) > 0) & (F.col(k) > 0) & (F.col(t) > 0) & (F.col(sigma) > 0)
+    width = F.col(sigma) * F.sqrt(F.col(t))
+    a = rows.withColumns({"_d1": F.when(good, F.ln(F.col(f) / F.col(k)) / width + width / 2), "_disc": F.exp(-rate * F.col(t))})
+    b = a.withColumns({"_d2": F.col("_d1") - width, "_n1": normal.cdf(F.col("_d1")), "_m1": normal.cdf(-F.col("_d1")), "_density": F.col("_disc") * normal.pdf(F.col("_d1"))})
+    c = b.withColumns({"_n2": normal.cdf(F.col("_d2")), "_m2": normal.cdf(-F.col("_d2"))})
+    d = c.withColumns({"call": F.col("_disc") * (F.col(f) * F.col("_n1") - F.col(k) * F.col("_n2")), "put": F.col("_disc") * (F.col(k) * F.col("_m2") - F.col(f) * F.col("_m1"))})
+    return d.withColumns({
+        "delta": F.col("_disc") * F.col("_n1"), "gamma": F.col("_density") / (F.col(f) * width), "vega": F.col("_density") * F.col(f) * F.sqrt(F.col(t)),
+        "theta": rate * F.col("call") - F.col("_density") * F.col(f) * F.col(sigma) / (2 * F.sqrt(F.col(t))),
+    }).drop("_d1", "_disc", "_d2", "_n1", "_m1", "_n2", "_m2", "_density")
+
+
 def forward(chain: DataFrame, rate: float = RATE, nearest: int = 3) -> DataFrame:
     """(symbol, date, expiry, F): the traded future's close, else the median over the strikes with the least |C - P| of K + exp(rT)(C - P) of traded options."""
     by = ["symbol", "date", "expiry"]

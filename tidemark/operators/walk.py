@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as nm
 
+from .expanding import by_year, ols  # noqa: F401
+
 
 def blocks(rows: DataFrame, by: str, first: int, size: int) -> DataFrame:
     """Every row for every block that may learn from it or is forecast in it: (by, block start, t, ...).
@@ -21,29 +23,6 @@ def blocks(rows: DataFrame, by: str, first: int, size: int) -> DataFrame:
     return t.join(starts, by).filter(F.col("t") < F.col("start") + size)
 
 
-def ols(rows: DataFrame, by: str, target: str, features: list[str], base: str, first: int = 120, size: int = 21) -> DataFrame:
-    """forecast = base * exp(x'b + s2 / 2) of each row from `first` on, from the rows before its block with a known target.
-
-    Features are standardised on the learning rows (population deviation); s2 = SSR / (n - p - 1).
-    """
-    dated = rows.select(by, "d", target, base, *features).dropna(subset=[*features, base])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        past = pdf[(pdf.t < key[1]) & pdf[target].notna()]
-        now = pdf[pdf.t >= key[1]]
-        x, y = past[features].to_numpy(float), past[target].to_numpy(float)
-        mean, sd = nm.standardised(x)
-        b = nm.ols(y, (x - mean) / sd)
-        e = y - np.column_stack([np.ones(len(y)), (x - mean) / sd]) @ b
-        s2 = float(e @ e) / max(len(y) - len(features) - 1, 1)
-        u = np.column_stack([np.ones(len(now)), (now[features].to_numpy(float) - mean) / sd]) @ b
-        return pd.DataFrame({by: key[0], "d": now.d, "u_hat": u, "forecast": now[base].to_numpy(float) * np.exp(u + s2 / 2)})
-
-    kind = dict(rows.dtypes)[by]
-    return blocks(dated, by, first, size).groupBy(by, "start").applyInPandas(run, f"{by} {kind}, d date, u_hat double, forecast double")
-
-
 def logit(x: np.ndarray, y: np.ndarray, c: float = 0.5, rounds: int = 50) -> np.ndarray:
     """Weights (intercept first, not penalised) of the least ½|w|² + C Σ log loss, by Newton steps."""
     a, b = np.column_stack([np.ones(len(y)), x]), np.zeros(x.shape[1] + 1)
@@ -59,25 +38,6 @@ def logit(x: np.ndarray, y: np.ndarray, c: float = 0.5, rounds: int = 50) -> np.
     return b
 
 
-def by_year(rows: DataFrame, target: str, features: list[str], kind: str = "ols", least: int = 50) -> DataFrame:
-    """Predictions for each year from all earlier years with at least `least` rows (columns id, d). kind: ols (minimum norm) or logit."""
-    y = rows.select("id", "d", target, *features).dropna().withColumn("year", F.year("d"))
-    years = y.select(F.col("year").alias("of")).distinct()
-    paired = y.join(years, F.col("year") <= F.col("of"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        past, now = pdf[pdf.year < key[0]].sort_values("id"), pdf[pdf.year == key[0]]
-        if len(past) < least:
-            return pd.DataFrame({"id": [], "p": []})
-        mean, sd = nm.standardised(past[features].to_numpy(float))
-        x, z = ((f[features].to_numpy(float) - mean) / sd for f in (past, now))
-        b = nm.ols(past[target].to_numpy(float), x) if kind == "ols" else logit(x, past[target].to_numpy(float))
-        p = np.column_stack([np.ones(len(z)), z]) @ b
-        return pd.DataFrame({"id": now.id, "p": p if kind == "ols" else 1 / (1 + np.exp(-p))})
-
-    return paired.groupBy("of").applyInPandas(run, "id long, p double")
-
-
 def garch(returns: DataFrame, by: str, first: int = 500, size: int = 21, asymmetric: bool = False, steps: int = 200) -> DataFrame:
     """(by, d, h): one-step variances, with parameters fitted on the rows before each block."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import daily, inferences, networks, scores, streams, study, texts
+from . import daily, inferences, models, networks, scores, streams, study, texts
 
-PLANS = (daily, texts, scores, networks, streams, inferences, study)
+PLANS = (daily, texts, scores, networks, streams, inferences, study, models)
 
 
 def queries() -> dict:

@@ -157,7 +157,7 @@ def event_cluster(spark, sf):
 
 def event_path(spark, sf):
     b, cal = world(spark, sf)
-    r = bars.realised(b).filter(F.col("symbol") == "A").join(cal, "d").withColumn("x", F.ln("rv"))
+    r = bars.realised(b).join(cal, "d").withColumn("x", F.ln("rv"))
     events = v.articles(spark, sf).select("d").distinct().join(cal, "d")
     return tidy(align.event_path(events, r, "x"))
 
@@ -283,7 +283,7 @@ ORACLE = {
     "call_live_fanout": sql("bars cal filings", "symbol d:d id days_since:i", """calls as (select f.symbol, f.d as pd, f.id, c.seq from filings f asof join cal c on f.d >= c.d) ;;
       select symbol, d, id, seq - s0 as days_since from (select c.symbol, c.id, c.seq as s0, cal.seq, cal.d, row_number() over (partition by c.symbol, cal.seq order by c.pd desc, c.id desc) as r from calls c join cal on cal.seq between c.seq and c.seq + 9) where r = 1"""),
     "event_cluster": sql("filings", "symbol d:d", "select symbol, d from (select *, lag(d) over (partition by symbol order by d) as b from (select distinct symbol, d from filings where sub = 'P')) where b is null or d - b > 5"),
-    "event_path": sql("bars cal articles", "offset_:i mean:f n:i", f"""{RV}, r as (select seq, ln(rv) as x from rv join cal using (d) where symbol = 'A'), ev as (select seq from cal where d in (select d from articles)) ;;
+    "event_path": sql("bars cal articles", "offset_:i mean:f n:i", f"""{RV}, r as (select seq, ln(rv) as x from rv join cal using (d)), ev as (select seq from cal where d in (select d from articles)) ;;
       select r.seq - ev.seq as offset_, avg(x) as mean, count(x) as n from ev join r on r.seq between ev.seq - 5 and ev.seq + 20 group by 1""").replace("cast(offset_ as bigint) as offset_", 'cast(offset_ as bigint) as "offset"'),
     "close_shift": sql("", "day:d n:i total:f", "select cast(l + case when extract(hour from l) * 60 + extract(minute from l) >= 930 then interval 1 day else interval 0 day end as date) as day, count(*) as n, sum(value) as total from (select ts + interval 330 minute as l, value from events) group by 1"),
     "next_business_day": sql("bars cal", "d:d nbd:d", "select d, cast(d + case isodow(d) when 5 then 3 when 6 then 2 else 1 end as date) as nbd from cal"),

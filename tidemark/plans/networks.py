@@ -164,23 +164,26 @@ def vrp_summary(spark, sf):
     return tidy(options.premium(r.join(iv, ["symbol", "d"]), "implied", "vol", "symbol"))
 
 
-def _priced(name: str, columns: str, f):
-    def query(spark, sf):
-        p = v.read(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("f"), (F.col("p_size") / 365.0).alias("t"), (F.col("p_retailprice") * (0.8 + 0.02 * (F.col("p_partkey") % 21))).alias("k"), (0.1 + 0.01 * (F.col("p_partkey") % 40)).alias("sigma"))
+def _options(spark, sf):
+    p = v.read(spark, sf, "part")
+    return p.select("p_partkey", F.col("p_retailprice").alias("f"), (F.col("p_size") / 365.0).alias("t"), (F.col("p_retailprice") * (0.8 + 0.02 * (F.col("p_partkey") % 21))).alias("k"), (0.1 + 0.01 * (F.col("p_partkey") % 40)).alias("sigma"))
 
-        def run(batches):
-            for b in batches:
-                yield pd.DataFrame({"p_partkey": b.p_partkey} | f(b))
 
-        return tidy(p.mapInPandas(run, f"p_partkey long, {columns}"))
+def black76(spark, sf):
+    return tidy(options.priced(_options(spark, sf), "f", "k", "t", "sigma").select("p_partkey", "call", "put"))
 
-    query.__name__ = name
-    return query
 
+def greeks(spark, sf):
+    return tidy(options.priced(_options(spark, sf), "f", "k", "t", "sigma").select("p_partkey", "delta", "gamma", "vega", "theta"))
 
-black76 = _priced("black76", "call double, put double", lambda b: {"call": nm.black76(b.f, b.k, b.t, 0.065, b.sigma), "put": nm.black76(b.f, b.k, b.t, 0.065, b.sigma, False)})
-greeks = _priced("greeks", "delta double, gamma double, vega double, theta double", lambda b: nm.greeks(b.f, b.k, b.t, 0.065, b.sigma))
-implied_vol = _priced("implied_vol", "iv double", lambda b: {"iv": nm.implied_vol(nm.black76(b.f, b.k, b.t, 0.065, b.sigma), b.f, b.k, b.t, 0.065)})
+
+def implied_vol(spark, sf):
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"p_partkey": b.p_partkey, "iv": nm.implied_vol(b.price, b.f, b.k, b.t, 0.065)})
+
+    priced = options.priced(_options(spark, sf), "f", "k", "t", "sigma").withColumn("price", F.col("call"))
+    return tidy(priced.mapInPandas(run, "p_partkey long, iv double"))
 
 
 def garch_filter(spark, sf):
@@ -194,11 +197,25 @@ def ols_multi_walk(spark, sf):
 
 
 def logit_walk(spark, sf):
-    f = _forecasts(spark, sf).filter("symbol = 'A'").select(F.datediff("d", F.lit("1990-01-01").cast("date")).cast("long").alias("id"), "d", (F.abs("ret") > 100).cast("double").alias("y"), F.ln("f1").alias("a"), F.ln("f2").alias("b"))
-    return tidy(walk.by_year(f, "y", ["a", "b"], "logit"))
+    id_ = F.datediff("d", F.lit("1990-01-01").cast("date")).cast("long") * 128 + F.ascii("symbol")
+    f = _forecasts(spark, sf).select(id_.alias("id"), "d", (F.abs("ret") > 100).cast("double").alias("y"), F.ln("f1").alias("a"), F.ln("f2").alias("b"))
+    return tidy(walk.by_year(f, "y", ["a", "b"], "logit").select("id", "p"))
+
+
+def _dated(spark, sf):
+    dates = v.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.year("o_orderdate").alias("year"))
+    return graph.grouped_comentions(v.mentions(spark, sf).join(dates, "item"), "year")
+
+
+def yearly_nodes(spark, sf):
+    return tidy(graph.grouped_nodes(_dated(spark, sf)))
+
+
+def yearly_network(spark, sf):
+    return tidy(graph.grouped_metrics(_dated(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (comention_edges, degree_strength, triangles, transitivity, components, pagerank_fixed_iter, assortativity, rank_nodes, monthly_focus, betweenness, modularity, connectedness_table, pairwise_net, gfevd, rolling_spillover, forward_parity, surface_slice, iv30_interp, vrp_summary, black76, greeks, implied_vol, garch_filter, ols_multi_walk, logit_walk)}
+QUERIES = {f.__name__: f for f in (comention_edges, degree_strength, triangles, transitivity, components, pagerank_fixed_iter, assortativity, rank_nodes, monthly_focus, betweenness, modularity, connectedness_table, pairwise_net, gfevd, rolling_spillover, forward_parity, surface_slice, iv30_interp, vrp_summary, black76, greeks, implied_vol, garch_filter, ols_multi_walk, logit_walk, yearly_nodes, yearly_network)}
 
 
 def _rank_sql(rounds: int) -> str:
@@ -209,7 +226,21 @@ def _rank_sql(rounds: int) -> str:
 
 
 TRI = "tri as (select a.source as a, a.target as b, b.target as c from edges a join edges b on a.target = b.source join edges c on c.source = a.source and c.target = b.target), per as (select name, count(*) as t from (select unnest([a, b, c]) as name from tri) group by name), deg as (select source as name, count(*) as k from two group by source)"
+#: Phi as the series of exp(-x²) x^(2n+1) / Gamma(n + 3/2), which has no negative terms; in the far tails 0 or 1.
+PHI = lambda z: f"(case when abs({z}) > 7.5 then ({z} > 0) :: integer :: double when {z} = 0 then 0.5 :: double else 0.5 :: double + 0.5 :: double * sign({z}) * list_sum(list_transform(range(150), lambda n: exp((2 * n + 1) * ln(abs({z}) / sqrt(2.0 :: double)) - lgamma(n + 1.5 :: double) - {z} * {z} / 2))) end)"
+PRICED = """o as (select p_partkey, p_retailprice as f, p_size / 365.0 :: double as t, p_retailprice * (0.8 :: double + 0.02 :: double * (p_partkey % 21)) as k, 0.1 :: double + 0.01 :: double * (p_partkey % 40) as sigma from part),
+o1 as (select *, (ln(f / k) + sigma * sigma * t / 2) / (sigma * sqrt(t)) as d1, exp(-0.065 :: double * t) as disc from o), o2 as (select *, d1 - sigma * sqrt(t) as d2 from o1),
+o3 as (select *, """ + f"{PHI('d1')} as n1, {PHI('d2')} as n2, " + """exp(-d1 * d1 / 2) / sqrt(2 * pi()) as density from o2), o4 as (select *, disc * (f * n1 - k * n2) as call from o3)"""
+YEARLY = "e as (select cast(year(o_orderdate) as varchar) as grp, a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name join orders on o_orderkey = a.item group by 1, 2, 3), e2 as (select * from e union all select grp, target, source, weight from e), deg as (select grp, source as name, count(*) as degree, sum(weight) as strength from e2 group by 1, 2), size as (select grp, count(*) as n from deg group by grp), closed as (select a.grp, a.source as a, a.target as b, b.target as c from e a join e b on a.grp = b.grp and a.target = b.source join e c on c.grp = a.grp and c.source = a.source and c.target = b.target), per as (select grp, name, count(*) as t from (select grp, unnest([a, b, c]) as name from closed) group by 1, 2), nodes as (select deg.grp, name, degree, strength, degree / (n - 1) :: double as centrality, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0) as clustering from deg join size using (grp) left join per using (grp, name))"
 ORACLE = {
+    "implied_vol": sql("", "p_partkey iv:f", PRICED + " ;; select p_partkey, case when call > disc * greatest(f - k, 0) and call < disc * f then sigma end as iv from o4"),
+    "black76": sql("", "p_partkey call:f put:f", PRICED + " ;; select p_partkey, call, call - disc * (f - k) as put from o4"),
+    "greeks": sql("", "p_partkey delta:f gamma:f vega:f theta:f", PRICED + " ;; select p_partkey, disc * n1 as delta, disc * density / (f * sigma * sqrt(t)) as gamma, disc * f * density * sqrt(t) as vega, 0.065 :: double * call - disc * f * density * sigma / (2 * sqrt(t)) as theta from o4"),
+    "yearly_nodes": sql("mentions", '"group" name degree:i strength:i centrality:f triangles:i clustering:f', YEARLY + ' ;; select grp as "group", name, degree, strength, centrality, triangles, clustering from nodes'),
+    "yearly_network": "with recursive " + sql("mentions", '"group" metric value:f', YEARLY + """, reach as (select distinct grp, source as name, source as here from e2 union select reach.grp, reach.name, e2.target from reach join e2 on e2.grp = reach.grp and e2.source = reach.here), comp as (select grp, component, count(*) as size from (select grp, name, min(here) as component from reach group by 1, 2) group by 1, 2),
+      f as (select grp, count(*) :: double as nodes, sum(degree) / 2 :: double as edges, coalesce(sum(degree) / nullif(count(*) * (count(*) - 1), 0) :: double, 0) as density, avg(degree) :: double as mean_degree, avg(strength) :: double as mean_strength, max(centrality) :: double as max_centrality, avg(clustering) :: double as clustering, coalesce(2.0 * sum(triangles) / nullif(sum(degree * (degree - 1)), 0), 0) :: double as transitivity from nodes group by grp),
+      m as (select e2.grp, corr(x.degree, y.degree) as assortativity from e2 join deg x on x.grp = e2.grp and x.name = e2.source join deg y on y.grp = e2.grp and y.name = e2.target group by 1), c as (select grp, count(*) :: double as components, max(size) :: double as giant from comp group by grp) ;;
+      select grp as "group", unnest(['nodes', 'edges', 'density', 'mean_degree', 'mean_strength', 'max_centrality', 'clustering', 'transitivity', 'assortativity', 'components', 'giant']) as metric, unnest([nodes, edges, density, mean_degree, mean_strength, max_centrality, clustering, transitivity, case when isnan(assortativity) then null else assortativity end, components, giant]) as value from f join m using (grp) join c using (grp)""").removeprefix("with "),
     "comention_edges": sql("mentions", "source target weight:i", f"{EDGES} ;; select * from edges"),
     "degree_strength": sql("mentions", "name degree:i strength:i", f"{EDGES}, {BOTH} ;; select source as name, count(*) as degree, sum(weight) as strength from two group by source"),
     "triangles": sql("mentions", "name triangles:i clustering:f", f"{EDGES}, {BOTH}, {TRI} ;; select name, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(k * (k - 1), 0), 0) as clustering from deg left join per using (name)"),
