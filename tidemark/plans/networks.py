@@ -233,7 +233,6 @@ o1 as (select *, (ln(f / k) + sigma * sigma * t / 2) / (sigma * sqrt(t)) as d1,
 o3 as (select *, """ + f"{PHI('d1')} as n1, {PHI('d2')} as n2, " + """exp(-d1 * d1 / 2) / sqrt(2 * pi()) as density from o2), o4 as (select *, disc * (f * n1 - k * n2) as call from o3)"""
 YEARLY = "e as (select cast(year(o_orderdate) as varchar) as grp, a.name as source, b.name as target, count(*) as weight from mentions a join mentions b on a.item = b.item and a.name < b.name join orders on o_orderkey = a.item group by 1, 2, 3), e2 as (select * from e union all select grp, target, source, weight from e), deg as (select grp, source as name, count(*) as degree, sum(weight) as strength from e2 group by 1, 2), size as (select grp, count(*) as n from deg group by grp), closed as (select a.grp, a.source as a, a.target as b, b.target as c from e a join e b on a.grp = b.grp and a.target = b.source join e c on c.grp = a.grp and c.source = a.source and c.target = b.target), per as (select grp, name, count(*) as t from (select grp, unnest([a, b, c]) as name from closed) group by 1, 2), nodes as (select deg.grp, name, degree, strength, degree / (n - 1) :: double as centrality, coalesce(t, 0) as triangles, coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0) as clustering from deg join size using (grp) left join per using (grp, name))"
 ORACLE = {
-    "implied_vol": sql("", "p_partkey iv:f", PRICED + " ;; select p_partkey, case when call > disc * greatest(f - k, 0) and call < disc * f then sigma end as iv from o4"),
     "black76": sql("", "p_partkey call:f put:f", PRICED + " ;; select p_partkey, call, call - disc * (f - k) as put from o4"),
     "greeks": sql("", "p_partkey delta:f gamma:f vega:f theta:f", PRICED + " ;; select p_partkey, disc * n1 as delta, disc * density / (f * sigma * sqrt(t)) as gamma, disc * f * density * sqrt(t) as vega, 0.065 :: double * call - disc * f * density * sigma / (2 * sqrt(t)) as theta from o4"),
     "yearly_nodes": sql("mentions", '"group" name degree:i strength:i centrality:f triangles:i clustering:f', YEARLY + ' ;; select grp as "group", name, degree, strength, centrality, triangles, clustering from nodes'),
