@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
-_BASE = U64(0xD6E8FEB86659FD93)
 SLICE_BYTES = 2 << 20
 
 
@@ -99,17 +99,12 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, then mixed."""
+        """A 64-bit hash (xxh3) of each word's bytes; each distinct word is hashed once."""
         if not len(self):
             return np.zeros(0, U64)
-        length = self.ends - self.starts
-        runs = np.diff(np.append(self.starts, len(self.data)))
-        relative = np.arange(self.starts[0], len(self.data)) - np.repeat(self.starts, runs)
-        np.minimum(relative, np.repeat(length, runs), out=relative)
-        term = self.value[self.data[self.starts[0] :]].astype(U64) + U64(1)
-        term *= powers(int(length.max()) + 1)[relative]
-        term[relative == np.repeat(length, runs)] = 0
-        return mix(np.add.reduceat(term, self.starts - self.starts[0]) + length.astype(U64) * _MULT)
+        coded = self.array().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))[np.asarray(coded.indices)]
 
     def array(self) -> pa.StringArray:
         """The words as an Arrow array (without case folding of `data` unless the table folds)."""
@@ -122,18 +117,6 @@ class Words:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
 
-_powers = np.ones(1, U64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        wide = np.full(max(n, 64, 2 * len(_powers)), _BASE, U64)
-        wide[0] = 1
-        _powers = np.multiply.accumulate(wide)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the output."""
     x = x ^ (x >> U64(30))

@@ -7,7 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import released, shared_dir, written
 
-__all__ = ["crc_fold", "released", "shared_dir", "table", "written"]
+__all__ = ["Scratch", "crc_fold", "released", "shared_dir", "table", "written"]
+
+
+class Scratch:
+    """Tables written on the way to a result; those that the result does not read are deleted when it is ready."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(written(df, label))
+        return self.tables[-1]
+
+    def release(self, *keep: DataFrame) -> None:
+        released(*[t for t in self.tables if not any(t is k for k in keep)])
+        self.tables = list(keep)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import LOWER, U64, Words, binaries, distinct_by_text, mix, shingles, slices
-from .common import written
+from .common import Scratch, released, written
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 BUCKETS = BANDS * ROWS
 #: How far below the threshold an estimate may lie (six standard deviations at 128 buckets).
 MARGIN = 0.22
-#: Rows of a block outside the main component, and of one of all rows.
-REST_BLOCK, ALL_BLOCK, GROUP_ROWS = 64, 1024, 1000
+#: Bytes (sketches and sets) of a block outside the main component, of one of all rows, and of the blocks that a task takes together, on average.
+REST_BYTES, ALL_BYTES, GROUP_BYTES = 2 << 20, 8 << 20, 8 << 20
 _rng = np.random.default_rng(42)
 _FLIP = _rng.integers(0, 2**63, BUCKETS, dtype=U64)
 _MULT = _rng.integers(0, 2**62, BUCKETS, dtype=U64) * U64(4) + U64(1)
@@ -187,17 +187,21 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
+        old = edges
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # so that a hub's edges can be split over tasks
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "edges")
+        released(old, least)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
         seen = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.written_to = edges.written_to
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
@@ -216,25 +220,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, by_text:
     """
     own = [F.xxhash64(F.col("text").cast("string")).alias("body")] if by_text else []
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(_sketched(width), f"doc_id long, n long, key1 long, key2 long, regs binary{', body long' * by_text}"), "sketches")
+    scratch = Scratch()
+    sketches = scratch.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(_sketched(width), f"doc_id long, n long, key1 long, key2 long, regs binary{', body long' * by_text}"), "sketches")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     least_row = [F.min(at).alias("at")] if by_text else []
     distinct = sketches.filter("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs"), *least_row)
     # 128 bits tell shingle sets apart; a number of their own, fixed once it is written, stands for them from here on.
-    classes = written(distinct.withColumn("class", F.monotonically_increasing_id()), "classes")
+    classes = scratch.written(distinct.withColumn("class", F.monotonically_increasing_id()), "classes")
     bands = classes.select("class", "regs").mapInArrow(_banded, "key long, class long, band int")
     # Written, so that the join reads two shuffles and a key with very many rows can be split over tasks.
-    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("size > 1"), "shared")
-    buckets = written(bands.join(shared, "key"), "buckets")
+    shared = scratch.written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("size > 1"), "shared")
+    buckets = scratch.written(bands.join(shared, "key"), "buckets")
     near = buckets.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    links = _links(source, classes, _ordered(near), width, percent)
-    found = components(links)
-    more = _rest(source, buckets, classes, found, width, percent)
-    found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
+    links = _links(scratch, source, classes, _ordered(near), width, percent)
+    first = components(links)
+    more = _rest(scratch, source, buckets, classes, first, width, percent)
+    found = components(scratch.written(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
+    scratch.tables += [first, found]
     rooted = classes.drop("n", "regs").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rooted = written(rooted, "rooted")
-    least = written(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text), "roots")
-    of_class = written(rooted.drop("at").join(least, "component").select("key1", "key2", "component_id", *["at"] * by_text), "components")
+    rooted = scratch.written(rooted, "rooted")
+    least = scratch.written(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min("at").alias("at")] * by_text), "roots")
+    of_class = scratch.written(rooted.drop("at").join(least, "component").select("key1", "key2", "component_id", *["at"] * by_text), "components")
+    scratch.release(sketches, of_class)
     body = ["body"] * by_text
     worded = sketches.filter("n > 0").join(of_class, ["key1", "key2"])
     kept = at == F.col("at") if by_text else F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -246,44 +253,50 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(scratch: Scratch, source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of classes whose full sets are similar enough."""
     a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = written(likely.mapInArrow(_estimated(percent / 100 - MARGIN), "a long, b long"), "likely")
-    sets = _sets_of(source, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), width)
+    likely = scratch.written(likely.mapInArrow(_estimated(percent / 100 - MARGIN), "a long, b long"), "likely")
+    sets = _sets_of(scratch, source, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), width)
     full = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return written(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent, 100), "a long, b long"), "links")
+    return scratch.written(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent, 100), "a long, b long"), "links")
 
 
-def _sets_of(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets_of(scratch: Scratch, source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(class, set) of the wanted classes, each from one of its rows."""
     ids = wanted.join(classes.select("class", "doc_id", "key1", "key2"), "class")
     # A text that shares the id but not the class is left out by the second join.
     own = source.join(ids.select("doc_id").distinct(), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = own.select("text").mapInArrow(_set_rows(width), "key1 long, key2 long, set binary").join(ids.drop("doc_id"), ["key1", "key2"])
-    return written(sets.select("class", "set").dropDuplicates(["class"]), "sets")
+    return scratch.written(sets.select("class", "set").dropDuplicates(["class"]), "sets")
 
 
-def _rest(source: DataFrame, buckets: DataFrame, classes: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest(scratch: Scratch, source: DataFrame, buckets: DataFrame, classes: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
     """Links in buckets that hold several components; the first round has met all pairs of buckets of two.
 
-    Buckets with the same main component are taken together, so a class comes once for all its bands.
+    Buckets with the same main component are taken together, so a class comes once for all its bands. Blocks are cut by the bytes of
+    sketches and sets, and the number of groups follows from the bytes that are dealt, so a task's memory does not grow with a bucket.
     """
-    placed = written(buckets.filter("size > 2").select("key", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
+    placed = scratch.written(buckets.filter("size > 2").select("key", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
     by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = by.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "main")
-    main = written(main, "main")  # as with `shared`: so that a key with very many rows can be split over tasks
-    rows = written(placed.join(main, "key").select("main", "class", "component").distinct(), "open")
-    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("of"), F.count_if(F.col("component") != F.col("main")).alias("outside"))
-    sets = _sets_of(source, classes, rows.select("class").distinct(), width)
-    open_ = rows.join(sizes, "main").join(classes.select("class", "n", "regs"), "class").join(sets, "class")
-    rest_blocks, all_blocks = F.ceil(F.col("outside") / REST_BLOCK).cast("int"), F.ceil(F.col("of") / ALL_BLOCK).cast("int")
+    main = scratch.written(main, "main")  # as with `shared`: so that a key with very many rows can be split over tasks
+    weight = 8 * F.col("n") + 2 * BUCKETS
+    rows = placed.join(main, "key").select("main", "class", "component").distinct()
+    rows = scratch.written(rows.join(classes.select("class", weight.alias("bytes")), "class"), "open")
+    outside = F.when(F.col("component") != F.col("main"), F.col("bytes")).otherwise(0)
+    blocks = lambda total, most: F.ceil(total / most).cast("int")
+    sizes = rows.groupBy("main").agg(F.sum("bytes").alias("of"), F.sum(outside).alias("outside"))
+    sizes = scratch.written(sizes.select("main", blocks(F.col("of"), ALL_BYTES).alias("all_blocks"), blocks(F.col("outside"), REST_BYTES).alias("rest_blocks"), (F.col("outside") * blocks(F.col("of"), ALL_BYTES) + F.col("of") * blocks(F.col("outside"), REST_BYTES)).alias("dealt")), "blocks")
+    sets = _sets_of(scratch, source, classes, rows.select("class").distinct(), width)
+    open_ = rows.drop("bytes").join(sizes.drop("dealt"), "main").join(classes.select("class", "n", "regs"), "class").join(sets, "class")
+    rest_blocks, all_blocks = F.col("rest_blocks"), F.col("all_blocks")
     place = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["main", "rest_block", "all_block", "class", "component", "n", "rest", "regs", "set"]
     asked = open_.filter("component <> main").withColumns({"rest_block": (place % rest_blocks).cast("int"), "rest": F.lit(True)}).withColumn("all_block", every(all_blocks))
     others = open_.withColumns({"all_block": (place % all_blocks).cast("int"), "rest": F.lit(False)}).withColumn("rest_block", every(rest_blocks))
-    groups = max(1, rows.count() // GROUP_ROWS)
+    groups = max(1, (sizes.agg(F.sum("dealt")).first()[0] or 0) // GROUP_BYTES)
     dealt = asked.select(columns).unionByName(others.select(columns)).groupBy(F.pmod(F.xxhash64("main", "rest_block", "all_block"), F.lit(groups)).alias("g"))
-    return written(dealt.applyInArrow(_block_links(percent / 100 - MARGIN, percent, 100), "a long, b long"), "more")
+    return scratch.written(dealt.applyInArrow(_block_links(percent / 100 - MARGIN, percent, 100), "a long, b long"), "more")
