@@ -7,7 +7,8 @@ corpus. The corpus is its own reference, so only what can be the first place of
 * Of every window, the 8-word run with the least hash is its anchor; a segment is the stretch of windows that share one
   anchor place. Equal windows have equal anchors, so an anchor that stands once among different documents has no
   repeated window. Of an anchor that stands more often, the segments of the first document join the reference.
-* The reference is dealt into shards of bounded size by document. A task builds a shard's suffix automaton; each state
+* The reference is dealt into shards of bounded size by stretches of a document: all of an anchor goes to the stretch where it first stands,
+  so a document of any length is spread over many shards. A task builds a shard's suffix automaton; each state
   knows the first place of its strings. Shards are broadcast one bounded group after another, and the segments
   whose anchor leads to the group stream against it. Where the matching statistic reaches `span`, the
   window is a repeat if the state's first place is an earlier one. Words are compared as words.
@@ -275,8 +276,8 @@ def _stretched(span: int, shards: int):
             runs = part.column(3)
             flat = runs.flatten()
             text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets)))
-            place, origin = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            shard = (mix(origin.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            place, origin, stretch = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            shard = (mix(mix(origin.view(np.uint64)) + stretch.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
             # A segment of the anchor's first document is reference, and is streamed as well: it may repeat within the document.
             own = np.flatnonzero(origin == np.asarray(part.column(0))[text])
             head = np.arange(len(text) + len(own)) >= len(text)
@@ -369,7 +370,7 @@ def _streamed(held: DataFrame, shards: int, span: int, seed: int) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/matched-{uuid.uuid4().hex}"
     for begin in range(0, shards, together):
         inside = F.col("shard").between(begin, begin + together - 1)
-        blobs = {r["shard"]: pickle.loads(r["blob"]) for r in automata.filter(inside).select("shard", "blob").collect()}  # GROUP_BYTES at most
+        blobs = {r["shard"]: pickle.loads(r["blob"]) for r in automata.filter(inside).select("shard", "blob").collect()}  # of GROUP_BYTES at most, or one shard, whose stretches have SHARD_WORDS each
         if blobs:
             group = spark.sparkContext.broadcast(Group(blobs, span))
             rows = pieces.filter(inside & ~F.col("ref")).drop("ref").mapInArrow(_matched(group, span, seed), "doc long, body long, lo long, hi long, anchor long")
@@ -380,14 +381,15 @@ def _streamed(held: DataFrame, shards: int, span: int, seed: int) -> DataFrame:
 
 
 def _live(segments: DataFrame) -> DataFrame:
-    """Anchors that stand in two documents of different words, or twice in one, and the first document of each."""
-    met = segments.groupBy("anchor").agg(F.min("doc").alias("origin"), F.min("class").alias("least"), F.max("class").alias("most"), F.max("again").alias("again"))
-    return written(met.filter("again or least <> most").select("anchor", "origin"), "live")
+    """Anchors that stand in two documents of different words, or twice in one, the first document of each, and the stretch of it where the anchor first stands."""
+    first = F.struct("doc", F.floor(F.shiftright("place", 32) / SHARD_WORDS).cast("long").alias("stretch"))
+    met = segments.groupBy("anchor").agg(F.min(first).alias("first"), F.min("class").alias("least"), F.max("class").alias("most"), F.max("again").alias("again"))
+    return written(met.filter("again or least <> most").select("anchor", F.col("first.doc").alias("origin"), "first.stretch"), "live")
 
 
 def _runs(segments: DataFrame, live: DataFrame, own: DataFrame) -> DataFrame:
     """The segments with a live anchor of each document that is no copy."""
-    runs = segments.join(live.hint("merge"), "anchor").groupBy("doc", "body").agg(F.collect_list(F.struct("place", "origin")).alias("runs"))
+    runs = segments.join(live.hint("merge"), "anchor").groupBy("doc", "body").agg(F.collect_list(F.struct("place", "origin", "stretch")).alias("runs"))
     return written(runs.join(own.filter("not copy").select("doc", "body").dropDuplicates().hint("merge"), ["doc", "body"]), "runs")
 
 
