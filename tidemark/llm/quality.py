@@ -2,9 +2,8 @@
 
 A document is a bag of passages of 512 bytes. Each passage is encoded from hashed byte trigrams
 and shape features; a gated attention (tanh times sigmoid) learned from document labels weighs the
-passages, and the weighted representation is scored. Trained in numpy on a bounded sample: about
-`per_class` labelled documents of each label, with at most `BAG` passages each, spaced over the
-whole text. Scores use every passage of every text.
+passages, and the weighted representation is scored. Trained in numpy on a bounded number of rows: about
+`per_class` labelled documents of each label. Training and scores use every passage of every text.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from .common import crc_fold
 from .language_id import Adam, sampled
 
 PASSAGE, BINS, SHAPES = 512, 1024, 12
-PER_CLASS, BAG, WIDE, GATE = 1000, 24, 24, 16
+PER_CLASS, WIDE, GATE = 1000, 24, 16
 F32 = np.float32
 
 
@@ -111,7 +110,9 @@ def fit(bags: list[bytes], labels: list[int], weights: list[float], epochs: int
     model, rng = Bags(seed), np.random.default_rng(seed)
     y, w = np.array(labels, F32), np.array(weights, F32)
     off = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
-    x, to = features(np.frombuffer(b"".join(bags), np.uint8), off)
+    data = np.frombuffer(b"".join(bags), np.uint8)
+    parts = [features(data[off[k] : off[min(k + batch, len(bags))]], off[k : min(k + batch, len(bags)) + 1] - off[k])[0].astype(np.float16) for k in range(0, len(bags), batch)]
+    x, to = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.maximum(-(-np.diff(off) // PASSAGE), 1))])
     adam, steps, s = Adam(model.weights(), 0.005), epochs * -(-len(bags) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
@@ -119,32 +120,20 @@ def fit(bags: list[bytes], labels: list[int], weights: list[float], epochs: int
             pick = order[k : k + batch]
             rows = np.concatenate([np.arange(to[i], to[i + 1]) for i in pick])
             own = np.concatenate([[0], np.cumsum((to[1:] - to[:-1])[pick])])
-            adam.step(model.gradient(x[rows], own, y[pick], w[pick]), 0.005 * (1 - s / steps) + 0.0002)
+            adam.step(model.gradient(x[rows].astype(F32), own, y[pick], w[pick]), 0.005 * (1 - s / steps) + 0.0002)
             s += 1
     return model
 
 
-def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bag of each text, or `BAG` passages evenly spaced over it."""
-    for part in batches:
-        out = []
-        for text in part.column(1).to_pylist():
-            raw = (text or "").encode()
-            n = max(1, -(-len(raw) // PASSAGE))
-            at = range(n) if n <= BAG else np.linspace(0, n - 1, BAG).astype(int).tolist()
-            out.append(b"".join(raw[PASSAGE * i : PASSAGE * (i + 1)] for i in at))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2)], names=["doc_id", "bag", "quality"])
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Bags | None:
-    """A classifier from a bounded sample of labelled rows (crc32 of doc_id modulo 5 not 0), or None without labels."""
+    """A classifier from a bounded number of labelled rows (crc32 of doc_id modulo 5 not 0), or None without labels. Their whole texts are learned from."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id")) != 0))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return None
     chosen = known.filter(sampled(known, "quality", per_class, 2)).orderBy(F.xxhash64("doc_id"), "quality").limit(4 * per_class)
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    got = picked.mapInArrow(_spaced, "doc_id long, bag binary, quality int").orderBy(F.xxhash64("doc_id"), "quality", "bag").limit(4 * per_class).collect()
+    got = picked.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bag"), "quality").orderBy(F.xxhash64("doc_id"), "quality", F.xxhash64("bag")).limit(4 * per_class).collect()
     if not got:
         return None
     have = {v: sum(r["quality"] == v for r in got) for v in counts}
