@@ -3,8 +3,8 @@
 A whole text is cut into windows of bytes. In each window one network reads forwards and one
 backwards; at every byte their states give a probability for each language. The mean over all bytes
 of the text is the document's probability. The network is trained in numpy by backpropagation
-through time on a bounded sample: about `per_language` documents of each language, chosen by a hash
-of doc_id, with four windows from places over the whole text.
+through time on a bounded number of rows: about `per_language` documents of each language, chosen by a hash
+of doc_id. Every window of their whole texts is learned from.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def windows(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def fit(texts: list[bytes], labels: list[str], steps: int = 260, batch: int = 256, seed: int = 1, hidden: int = HIDDEN) -> ByteGru:
-    """Train on (window, language) pairs; each language gets an equal share of every batch."""
+    """Train on all windows of the texts; each language gets an equal share of every batch. There are `steps` batches, or as many as take the language with the most windows through all of them."""
     languages = sorted(set(labels))
     model, rng = ByteGru(languages, hidden, seed), np.random.default_rng(seed)
     number = {v: i for i, v in enumerate(languages)}
@@ -172,8 +172,11 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 260, batch: int = 25
     y = y[of]
     members = [np.flatnonzero(y == i) for i in range(len(languages))]
     adam = Adam(model.weights(), 0.01)
+    share = max(1, batch // len(languages))
+    steps = max(steps, -(-max(map(len, members)) // share))
+    turns = [np.concatenate([rng.permutation(m) for _ in range(-(-steps * share // len(m)))]) for m in members]  # each language's windows, again and again
     for s in range(steps):
-        pick = np.concatenate([rng.choice(m, max(1, batch // len(languages))) for m in members])
+        pick = np.concatenate([t[s * share : (s + 1) * share] for t in turns])
         _, grads = model.gradient(x[:, pick], y[pick], inside[:, pick])
         adam.step(grads, 0.01 * (1 - s / steps) + 0.0005)
     return model
@@ -196,13 +199,11 @@ def sampled(rows: DataFrame, key: str, per_value: int, most: int) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 260) -> ByteGru | None:
-    """A network learned from a bounded sample, or None if no row may be learned from."""
+    """A network learned from the whole texts of a bounded number of rows, or None if no row may be learned from. An empty text teaches nothing."""
     rows = learnable(docs.select("doc_id", "lang", "text"))
     chosen = rows.filter(sampled(rows, "lang", per_language, LANGUAGES))
-    size = F.length("text")
-    pieces = [F.expr("text").substr((F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.greatest(size - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(4)]
-    got = chosen.select("doc_id", "lang", F.array(*pieces).alias("w")).orderBy(F.xxhash64("doc_id"), "w").limit(2 * per_language * LANGUAGES).collect()
-    pairs = [(w.encode()[:WINDOW], r["lang"]) for r in got for w in r["w"] if w]
+    got = chosen.filter(F.col("text") != "").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "lang").limit(2 * per_language * LANGUAGES).collect()
+    pairs = [(r["text"].encode(), r["lang"]) for r in got]
     return fit([p[0] for p in pairs], [p[1] for p in pairs], steps) if pairs else None
 
 
