@@ -81,9 +81,9 @@ def test_near_duplicates(spark, docs, width):
 
 def test_near_duplicates_chain_in_one_bucket(spark, monkeypatch):
     """Many classes around a base, linked in chains that the bucket's ends do not see, over several blocks."""
-    monkeypatch.setattr(minhash, "REST_BLOCK", 4)
-    monkeypatch.setattr(minhash, "ALL_BLOCK", 8)
-    monkeypatch.setattr(minhash, "GROUP_ROWS", 20)
+    monkeypatch.setattr(minhash, "REST_BYTES", 3000)
+    monkeypatch.setattr(minhash, "ALL_BYTES", 6000)
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 9000)
     rng = random.Random(3)
     base, texts = [f"b{i}" for i in range(60)], {}
     w = list(base)
