@@ -138,7 +138,7 @@ def test_scorer_and_second_run_adds_nothing(spark, tmp_path):
     for _ in range(2):
         rows.filter("title is not null").coalesce(1).write.mode("append").parquet(src)
         live.append_new(live.file_stream(spark, src, rows.schema), out, cp, ["title"], ["d", "id"]).awaitTermination()
-        got = live.Versioned(spark, out).read()
+        got = live.Merged(spark, out).read()
         assert {(r["title"], r["id"]) for r in got.collect()} == {("up", 1), ("down", 2)}
 
 

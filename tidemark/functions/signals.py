@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .references import unescape
+
+#: What counts as blank in text: all of Unicode's white space, and the four separators before the blank.
+BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Patterns that must equal the established rules for right results, in their order.
 PREFIX = r"(?i)^(?:business news|markets news|stock market news|breaking)\s*[|:–-]\s*"
 SUFFIX = r"(?i)\s+[-|–]\s+(?:the economic times|economic times|mint|livemint|moneycontrol|ndtv profit|business standard|financial express|cnbc ?tv18|business today|the hindu businessline|times of india|news18)\s*$"
@@ -89,9 +93,7 @@ def plain_html(html: Column) -> Column:
     """Tags out, character references resolved, blanks collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
-    for a, b in (("&nbsp;", " "), (" ", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(unescape(text), BLANK, " "))
 
 
 def lead_text(body: Column, n: int = 600) -> Column:

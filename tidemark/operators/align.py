@@ -67,6 +67,22 @@ def interval_flags(intervals: DataFrame, cal: DataFrame, by: str) -> DataFrame:
     return intervals.select(by, F.explode(F.sequence("start", "end")).alias("d")).distinct().join(cal.select("d"), "d", "left_semi").select(by, "d")
 
 
+def filing_flags(results: DataFrame, intimations: DataFrame, transcripts: DataFrame, cal: DataFrame, by: str, days: int = 15) -> DataFrame:
+    """(by, d, results_filing, call_upcoming, transcript_published) 1.0 or 0.0, of the trading days with any of the three.
+
+    A filing counts on the last trading day up to its own; a call is upcoming from its intimation to the next results, at most `days` days.
+    """
+    on_days = lambda rows: asof_backward(rows.select(by, "d").distinct(), cal).select(by, F.col("row_d").alias("d")).distinct()
+    placed = {"results_filing": on_days(results), "transcript_published": on_days(transcripts)}
+    placed["call_upcoming"] = interval_flags(active_intervals(on_days(intimations), placed["results_filing"], by, days), cal, by)
+    names = ("results_filing", "call_upcoming", "transcript_published")
+    marks = None
+    for n in names:
+        one = placed[n].select(by, "d", *[F.lit(float(m == n)).alias(m) for m in names])
+        marks = one if marks is None else marks.unionByName(one)
+    return marks.groupBy(by, "d").agg(*[F.max(n).alias(n) for n in names])
+
+
 def followed_within(rows: DataFrame, later: DataFrame, by: str, days: int = 15) -> DataFrame:
     """Rows that have a `later` row with the same key from their day to `days` days on."""
     near = later.select(by, F.explode(F.sequence(F.date_sub("d", days), "d")).alias("d")).distinct()

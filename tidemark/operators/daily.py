@@ -99,11 +99,11 @@ def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, "r.*")
 
 
-def top_of_day(rows: DataFrame, priorities: dict[str, int], by: list[str]) -> DataFrame:
-    """The row of highest priority of each key, with the group's size, first id and largest value."""
+def top_of_day(rows: DataFrame, priorities: dict[str, int], by: list[str], time: str = "id") -> DataFrame:
+    """The row of highest priority of each key, the first by `time` (then id) among equals, with the group's size and largest value. A null time comes last."""
     m = F.create_map(*[x for k, v in priorities.items() for x in (F.lit(k), F.lit(v))])
     p = rows.filter(F.col(by[0]).isNotNull()).withColumn("priority", F.coalesce(m[F.col("group")], F.lit(len(priorities))))
-    return p.groupBy(*by).agg(F.min_by("id", F.struct("priority", "id")).alias("id"), F.min("priority").cast("long").alias("priority"), F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("largest"))
+    return p.groupBy(*by).agg(F.min_by("id", F.struct("priority", F.col(time).isNull(), time, "id")).alias("id"), F.min("priority").cast("long").alias("priority"), F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("largest"))
 
 
 def carried(daily: DataFrame, by: str, value: str, weight: str, window: int = 30, half_life: float = 5.0) -> DataFrame:

@@ -61,20 +61,20 @@ def garch_fixed(returns: DataFrame, by: str, mu: float, omega: float, alpha: flo
 
 
 def rolling_connectedness(panel: DataFrame, nodes: list[str], window: int = 250, step: int = 5, horizon: int = 10) -> DataFrame:
-    """(d, total): spillover index of every window of rows, one task each."""
+    """(d, total, node, net): spillover index of every window of rows, one task each, and what each node gives less what it takes, in per cent."""
     t = panel.withColumn("t", F.row_number().over(Window.orderBy("d")) - 1)
     last = t.agg(F.max("t")).first()[0]
     if last is None or last + 1 < window:
-        return panel.sparkSession.createDataFrame([], "d date, total double")
+        return panel.sparkSession.createDataFrame([], "d date, total double, node string, net double")
     ends = panel.sparkSession.range(window - 1, last + 1, step).select(F.col("id").alias("end"))
     rows = t.withColumn("end", F.explode(F.expr(f"filter(sequence(0, {window - 1}), k -> (t + k - {window - 1}) % {step} = 0 and t + k <= {last} and t + k >= {window - 1})"))).withColumn("end", F.col("t") + F.col("end"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         theta = nm.gfevd(pdf[nodes].to_numpy(float), horizon)
-        return pd.DataFrame({"d": [pdf.d.iloc[-1]], "total": [100 * (1 - np.trace(theta) / len(nodes))]})
+        return pd.DataFrame({"d": pdf.d.iloc[-1], "total": 100 * (1 - np.trace(theta) / len(nodes)), "node": nodes, "net": 100 * (theta.sum(0) - theta.sum(1))})
 
-    return rows.join(ends, "end", "left_semi").groupBy("end").applyInPandas(run, "d date, total double")
+    return rows.join(ends, "end", "left_semi").groupBy("end").applyInPandas(run, "d date, total double, node string, net double")
 
 
 def _moments(rows: DataFrame, by: str, target: str, features: list[str]) -> DataFrame:

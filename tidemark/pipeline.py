@@ -11,6 +11,7 @@ from tidemark.functions import entity, scoring
 from tidemark.functions import signals as g
 from tidemark.operators import align, bars, calls, daily, evaluate, study, walk
 from tidemark.sources import readers
+from tidemark.sources.shared import released, written
 
 HAR = ["lrv_d", "lrv_w", "lrv_m"]
 ATTENTION = ["log_n", "n_primary", "n_sources", "n_focus", "results_day", "syndication", "no_news"]
@@ -41,6 +42,18 @@ class Pipeline:
 
     def __init__(self, prices: DataFrame, corpus: DataFrame, target: str, build: Callable[[], scoring.Scorer], filings: DataFrame | None = None, temperature: float = 1.0):
         self.prices, self.corpus, self.target, self.build, self.filings, self.temperature = prices, corpus, target, build, filings, temperature
+        self._tables: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps read, written on its first use."""
+        if name not in self._tables:
+            self._tables[name] = written(build(), name)
+        return self._tables[name]
+
+    def close(self) -> None:
+        """Deletes the written tables; what was built from them can no longer be read."""
+        released(*self._tables.values())
+        self._tables = {}
 
     def variance(self) -> DataFrame:
         return bars.har(bars.realised(bars.usable(self.prices.filter(F.col("symbol") == self.target))))
@@ -49,7 +62,10 @@ class Pipeline:
         return align.numbered(self.variance().select("d"))
 
     def score_news(self) -> DataFrame:
-        """Articles with `s` (of the title) and `s_focus` (of the roundup's paragraph, if it has over 40 characters)."""
+        """Articles with `s` (of the title) and `s_focus` (of the roundup's paragraph, if it has over 40 characters). The model sees each text once."""
+        return self._once("scored", self._scored)
+
+    def _scored(self) -> DataFrame:
         rows = articles(self.corpus, self.target).withColumn("focus_long", F.when(F.length("focus_text") > 40, F.col("focus_text")))
         titles = scoring.scored(rows, "title", self.build, "t", self.target, self.temperature)
         both = scoring.scored(titles, "focus_long", self.build, "f", self.target, self.temperature)
@@ -73,6 +89,9 @@ class Pipeline:
 
     def features(self) -> DataFrame:
         """One row for each trading day: variance lags, everything known of the news, the live-call flag, u = ln(rv_target / base), base: yesterday's variance."""
+        return self._once("features", self._features)
+
+    def _features(self) -> DataFrame:
         out = self.variance().join(self.daily(), "d", "left")
         flags = self.flags()
         if flags is not None:

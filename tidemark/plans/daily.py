@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.operators import align, bars, daily
+from tidemark.sources import readers
 from tidemark.sources import views as v
 
 from .tidy import sql, tidy
@@ -62,10 +63,8 @@ def dup_count(spark, sf):
 
 
 def union_scan(spark, sf):
-    parts = [v.read(spark, sf, t).select(F.lit(t).alias("src"), F.col(i).cast("string").alias("id"), F.expr(f"try_cast(substring({x}, 1, 10) as date)").alias("d")) for t, i, x in (("documents", "doc_id", "text"), ("pages", "page_id", "url"), ("benchmark", "item_id", "text"), ("conversations", "conv_id", "text"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    forms = {"documents": ("doc_id", "text"), "pages": ("page_id", "url"), "benchmark": ("item_id", "text"), "conversations": ("conv_id", "text")}
+    out = readers.united({t: v.read(spark, sf, t).select(F.col(i).cast("string").alias("id"), F.col(x).alias("date")) for t, (i, x) in forms.items()})
     return tidy(out.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("dated"), F.countDistinct("id").alias("ids")))
 
 

@@ -31,8 +31,8 @@ def _slices(spark, sf, df, parts: int = 3):
 def stream_upsert(spark, sf):
     e = v.read(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     root, s = _slices(spark, sf, e.select("event_id", "user_id", "event_type", "ts", "value"))
-    live.upsert(s, f"{root}/out", f"{root}/checkpoint", ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
-    return tidy(live.Versioned(spark, f"{root}/out").read().select("user_id", "event_type", "event_id", "value"))
+    live.upsert(s, f"{root}/out", f"{root}/checkpoint", ["user_id", "event_type"], ["ts", "event_id"], fold=2).awaitTermination()
+    return tidy(live.Merged(spark, f"{root}/out", ["user_id", "event_type"], ["ts", "event_id"]).read().select("user_id", "event_type", "event_id", "value"))
 
 
 def stream_dedupe_watermark(spark, sf):
@@ -47,7 +47,7 @@ def stream_daily_publish(spark, sf):
     a = v.articles(spark, sf).select("doc_id", "d", "title", "text", "src", "relevance").withColumn("s", F.lit(None).cast("double"))
     root, s = _slices(spark, sf, a)
     live.append_new(s, f"{root}/out", f"{root}/checkpoint", ["title"], ["d", "doc_id"], lambda d: d.withColumn("s", v.lexicon_score(F.col("text")))).awaitTermination()
-    t = live.Versioned(spark, f"{root}/out").read()
+    t = live.Merged(spark, f"{root}/out").read()
     return tidy(t.groupBy("d").agg(F.countDistinct("title").alias("n"), F.avg("s").alias("s")))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import references
 from tidemark.functions import signals as g
+from tidemark.operators import calls
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 
@@ -56,45 +58,32 @@ def id_hash(spark, sf):
     return tidy(v.articles(spark, sf).select("doc_id", F.substring(F.md5(i), 1, 10).alias("short"), F.concat(F.lit("gd_"), F.substring(F.sha1(i), 1, 16)).alias("long")))
 
 
-def _sentences(spark, sf):
-    c = v.read(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "analyst").when(F.col("role") == "assistant", "management").otherwise("moderator").alias("role"), F.concat(F.col("text"), F.when(F.col("turn") % 3 == 1, " We expect growth of 5%. It may slow down.").otherwise(" Next question please.")).alias("text"))
-    return c.select("conv_id", "turn", "role", F.posexplode(F.split(c["text"], r"[.!?]\s+")).alias("k", "sentence"))
+def _turns(spark, sf):
+    """Conversations as turns of calls; every third one looks ahead, the others end with the moderator's phrase."""
+    said = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 1, " We expect growth of 5%. It may slow down.").otherwise(" Next question please."))
+    role = F.when(F.col("role") == "user", "analyst").when(F.col("role") == "assistant", "management").otherwise("moderator")
+    t = v.read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("turn"), F.col("role").alias("speaker"), role.alias("role"), said.alias("said"))
+    return calls.sections(t)
 
 
-SENT = r"""turns as (select conv_id, turn, case role when 'user' then 'analyst' when 'assistant' then 'management' else 'moderator' end as role, text || case when turn % 3 = 1 then ' We expect growth of 5%. It may slow down.' else ' Next question please.' end as text from conversations),
-sents as (select conv_id, turn, role, unnest(range(0, len(p))) as k, unnest(p) as sentence from (select *, regexp_split_to_array(text, '[.!?]\s+') as p from turns)),
-flags as (select *, regexp_matches(sentence, '(?i)HEDGE') as hedge, regexp_matches(sentence, '(?i)FORWARD') as forward, regexp_matches(sentence, '(?i)NUMBER') as number from sents where role <> 'moderator' and len(string_split_regex(trim(sentence), '\s+')) >= 6 and not regexp_matches(sentence, '(?i)PLEASANTRY'))""".replace("HEDGE", g.HEDGE).replace("FORWARD", g.FORWARD).replace("NUMBER", g.NUMBER).replace("PLEASANTRY", g.PLEASANTRY)
-
-
-def _flags(spark, sf):
-    s = F.col("sentence")
-    kept = _sentences(spark, sf).filter((F.col("role") != "moderator") & (F.size(F.split(F.trim(s), r"\s+")) >= 6) & ~g.says(s, g.PLEASANTRY))
-    return kept.withColumns({"hedge": g.says(s, g.HEDGE), "forward": g.says(s, g.FORWARD), "number": g.says(s, g.NUMBER)})
+SENT = r"""turns0 as (select cast(conv_id as varchar) as path, turn, case role when 'user' then 'analyst' when 'assistant' then 'management' else 'moderator' end as role, text || case when turn % 3 = 1 then ' We expect growth of 5%. It may slow down.' else ' Next question please.' end as said from conversations),
+opens as (select path, min(turn) as qa from turns0 where role = 'moderator' and regexp_matches(said, '(?i)QA_START') group by path),
+turns as (select *, case when turn >= qa then 'qa' else 'prepared' end as section from turns0 left join opens using (path)),
+sents as (select path, turn, role, section, unnest(range(0, len(p))) as k, trim(regexp_replace(unnest(p), '\s+', ' ', 'g')) as sentence from (select *, string_split(regexp_replace(said, '([.!?])\s+([A-Z0-9“"''])', '\1' || chr(31) || '\2', 'g'), chr(31)) as p from turns)),
+flags as (select *, case when role = 'analyst' then 'analyst question' when section = 'prepared' then 'management prepared' else 'management answer' end as context, regexp_matches(sentence, '(?i)HEDGE') as hedge, regexp_matches(sentence, '(?i)FORWARD') as forward, regexp_matches(sentence, '(?i)NUMBER') as number from sents
+  where role <> 'moderator' and len(string_split_regex(sentence, '\s+')) >= 6 and not regexp_matches(sentence, '(?i)PLEASANTRY'))""".replace("HEDGE", g.HEDGE).replace("FORWARD", g.FORWARD).replace("NUMBER", g.NUMBER).replace("PLEASANTRY", g.PLEASANTRY).replace("QA_START", g.QA_START)
 
 
 def sentences_flags(spark, sf):
-    return tidy(_flags(spark, sf).select("conv_id", "turn", "k", "role", "hedge", "forward", "number"))
+    return tidy(calls.sentences(_turns(spark, sf)).select("path", "turn", "k", "role", "section", "context", "hedge", "forward", "number"))
 
 
 def role_section(spark, sf):
-    t = _sentences(spark, sf)
-    first = t.filter((F.col("role") == "moderator") & g.says(F.col("sentence"), g.QA_START)).groupBy("conv_id").agg(F.min("turn").alias("qa"))
-    turns = t.select("conv_id", "turn", "role").distinct().join(first, "conv_id", "left")
-    return tidy(turns.select("conv_id", "turn", "role", F.when(F.col("turn") >= F.col("qa"), "qa").otherwise("prepared").alias("section")))
+    return tidy(_turns(spark, sf).select("path", "turn", "role", "section"))
 
 
 def call_features(spark, sf):
-    f = _flags(spark, sf).withColumn("s", (F.length("sentence") % 21 - 10) / 10.0).withColumn("context", F.when(F.col("role") == "analyst", "analyst question").when(F.col("turn") < 3, "management prepared").otherwise("management answer"))
-    at = lambda c, x: F.avg(F.when(F.col("context") == c, x))
-    s, qa = F.col("s"), F.col("turn") >= 3
-    mgmt = F.col("role") == "management"
-    out = f.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_sentences"), F.avg(qa.cast("double")).alias("qa_share"), F.count_if(F.col("context") == "analyst question").alias("n_analyst"), F.avg("s").alias("tone_all"),
-        at("management prepared", s).alias("tone_prepared"), at("management answer", s).alias("tone_answers"), at("analyst question", s).alias("tone_analysts"),
-        F.avg(F.when(qa, (s < -0.5).cast("double"))).alias("neg_share_qa"), at("management answer", F.col("hedge").cast("double")).alias("hedge_rate_answers"), F.avg(F.when(mgmt, F.col("forward").cast("double"))).alias("forward_share"),
-        F.avg(F.when(mgmt & F.col("forward"), s)).alias("forward_tone"), F.when(F.count_if(qa) > 1, F.stddev_samp(F.when(qa, s))).alias("dispersion_qa"), F.avg(F.when(qa, F.abs(s))).alias("magnitude_qa"),
-    )
-    return tidy(out.withColumn("gap", F.col("tone_answers") - F.col("tone_prepared")))
+    return tidy(calls.features(calls.sentences(_turns(spark, sf)).withColumn("s", (F.length("sentence") % 21 - 10) / 10.0)))
 
 
 def mlm_split(spark, sf):
@@ -140,25 +129,29 @@ NORMED = f"normed as (select doc_id, src, title, trim(regexp_replace(regexp_repl
 BUY = rf"({_m(g.RECO_BUY.replace('|' + chr(92) + 'bbuy' + chr(92) + 'b(?! or sell)', ''))} or len(regexp_extract_all(t, '(?i)\bbuy\b')) > len(regexp_extract_all(t, '(?i)\bbuy or sell')))"
 SELL = rf"({_m(g.RECO_SELL.replace('|' + chr(92) + 'bsell' + chr(92) + 'b(?!,? or)', ''))} or len(regexp_extract_all(t, '(?i)\bsell\b')) > len(regexp_extract_all(t, '(?i)\bsell,? or')))"
 _sign = lambda p, n: f"cast({p} as integer) - cast({n} as integer)"
-ENTITIES = (("&nbsp;", " "), (" ", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
 HTML = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-for _a, _b in ENTITIES:
-    HTML = f"replace({HTML}, '{_a}', '{_b}')"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+#: Names of references and their characters, one row; the text behind an `&` is a number, a name, a name without semicolon, or neither.
+REFERENCES = "refs as (select map_from_entries([" + ", ".join(f"row({_quoted(k)}, {_quoted(c)})" for k, c in references.NAMES.items()) + "]) as names)"
+UNESCAPED = f"""split as (select page_id, string_split({HTML}, '&') as p from pages),
+plain as (select page_id, p[1] || array_to_string(list_transform(p[2:], lambda x: case when regexp_matches(x, '^#[0-9]+;') then chr(cast(regexp_extract(x, '^#([0-9]+);', 1) as integer)) || regexp_replace(x, '^#[0-9]+;', '')
+  when names[regexp_extract(x, '^[A-Za-z0-9]+;')] is not null then names[regexp_extract(x, '^[A-Za-z0-9]+;')] || regexp_replace(x, '^[A-Za-z0-9]+;', '')
+  when regexp_matches(x, '^(?:{'|'.join(references.BARE)})') then names[regexp_extract(x, '^(?:{'|'.join(references.BARE)})')] || regexp_replace(x, '^(?:{'|'.join(references.BARE)})', '') else '&' || x end), '') as t from split, refs)"""
 ORACLE = {
     "normalise_titles": sql("articles", "doc_id title", f"{HEAD}, {NORMED} ;; select doc_id, t as title from normed"),
-    "strip_html": sql("", "page_id text", f"select page_id, trim(regexp_replace({HTML}, '[ \\t\\n\\r\\f]+', ' ', 'g')) as text from pages"),
+    "strip_html": sql("", "page_id text", f"{REFERENCES}, {UNESCAPED} ;; select page_id, trim(regexp_replace(t, '[\\s\u00a0]+', ' ', 'g')) as text from plain"),
     "article_type": sql("articles", "doc_id kind", f"{HEAD}, {NORMED} ;; select doc_id, {_type_sql()} as kind from normed"),
     "signals": sql("articles", "doc_id move:i reco:i analyst:i", f"{HEAD}, {NORMED} ;; select doc_id, {_sign(_m(g.MOVE_POS), _m(g.MOVE_NEG))} as move, case when {_m(g.RECO_AMBIG)} then 0 else {_sign(BUY, SELL)} end as reco, {_sign(_m(g.ANALYST_POS), _m(g.ANALYST_NEG))} as analyst from normed"),
     "transcript_filter": sql("articles", "doc_id", f"{HEAD} ;; select doc_id from (select doc_id, title as t from head) where doc_id % 9 = 0 or ({_m(g.TRANSCRIPT)} and {_m(g.CALL)} and not {_m(g.NOT_CALL)})"),
     "roundups": sql("articles", "src n:i", f"{HEAD} ;; select src, count(*) filter ({_m(g.FOCUS_TITLE)}) as n from (select src, title as t from head) group by src"),
     "id_hash": sql("", 'doc_id short "long"', "select doc_id, substr(md5(cast(doc_id as varchar)), 1, 10) as short, 'gd_' || substr(sha1(cast(doc_id as varchar)), 1, 16) as \"long\" from documents"),
-    "sentences_flags": sql("", "conv_id turn k:i role hedge forward number", f"{SENT} ;; select * from flags"),
-    "role_section": sql("", "conv_id turn role section", f"{SENT}, qa as (select conv_id, min(turn) as q from sents where role = 'moderator' and regexp_matches(sentence, '(?i){g.QA_START}') group by conv_id) ;; select conv_id, turn, role, case when turn >= q then 'qa' else 'prepared' end as section from (select distinct conv_id, turn, role from sents) left join qa using (conv_id)"),
-    "call_features": sql("", "conv_id n_sentences:i qa_share:f n_analyst:i tone_all:f tone_prepared:f tone_answers:f tone_analysts:f neg_share_qa:f hedge_rate_answers:f forward_share:f forward_tone:f dispersion_qa:f magnitude_qa:f gap:f", f"""{SENT},
-      f as (select *, (length(sentence) % 21 - 10) / 10.0 :: double as s, turn >= 3 as qa, case when role = 'analyst' then 'q' when turn < 3 then 'p' else 'a' end as x from flags) ;;
-      select conv_id, count(*) as n_sentences, avg(qa :: integer) as qa_share, count(*) filter (x = 'q') as n_analyst, avg(s) as tone_all, avg(s) filter (x = 'p') as tone_prepared, avg(s) filter (x = 'a') as tone_answers, avg(s) filter (x = 'q') as tone_analysts,
+    "sentences_flags": sql("", "path turn k:i role section context hedge forward number", f"{SENT} ;; select * from flags"),
+    "role_section": sql("", "path turn role section", f"{SENT} ;; select * from turns"),
+    "call_features": sql("", "path n_sentences:i qa_share:f n_analyst:i tone_all:f tone_prepared:f tone_answers:f tone_analysts:f neg_share_qa:f hedge_rate_answers:f forward_share:f forward_tone:f dispersion_qa:f magnitude_qa:f gap:f", f"""{SENT},
+      f as (select *, (length(sentence) % 21 - 10) / 10.0 :: double as s, section = 'qa' as qa, case when role = 'analyst' then 'q' when section = 'prepared' then 'p' else 'a' end as x from flags) ;;
+      select path, count(*) as n_sentences, avg(qa :: integer) as qa_share, count(*) filter (x = 'q') as n_analyst, avg(s) as tone_all, avg(s) filter (x = 'p') as tone_prepared, avg(s) filter (x = 'a') as tone_answers, avg(s) filter (x = 'q') as tone_analysts,
       avg((s < -0.5) :: integer) filter (qa) as neg_share_qa, avg(hedge :: integer) filter (x = 'a') as hedge_rate_answers, avg(forward :: integer) filter (role = 'management') as forward_share, avg(s) filter (role = 'management' and forward) as forward_tone,
-      stddev_samp(s) filter (qa) as dispersion_qa, avg(abs(s)) filter (qa) as magnitude_qa, avg(s) filter (x = 'a') - avg(s) filter (x = 'p') as gap from f group by conv_id"""),
+      stddev_samp(s) filter (qa) as dispersion_qa, avg(abs(s)) filter (qa) as magnitude_qa, avg(s) filter (x = 'a') - avg(s) filter (x = 'p') as gap from f group by path"""),
     "mlm_split": sql("articles", "part n:i first_d:d last_d:d tokens:f", "select case when d < date '1999-01-01' then 'train' when d < date '2000-06-01' then 'dev' else 'test' end as part, count(*) as n, min(d) as first_d, max(d) as last_d, sum(len(string_split(text, ' ')) * 1.3 :: double) as tokens from articles where length(text) > 40 group by 1"),
     "weighted_sample": sql("articles", "doc_id src", """keyed as (select *, -ln((cast('0x' || substr(md5('s' || doc_id), 1, 8) as bigint) + 0.5 :: double) / 4294967296.0 :: double) / relevance as k from articles where relevance > 0) ;; select doc_id, src from (select *, row_number() over (partition by src order by k, doc_id) as r from keyed) where r <= 5"""),
     "value_share": sql("", "lang n:i share:f", "select lang, count(*) as n, count(*) / sum(count(*)) over () as share from documents group by lang"),

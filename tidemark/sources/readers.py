@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import dataclasses
 import io
 import json
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
 from pathlib import Path, PurePosixPath
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +23,24 @@ FILINGS = "symbol string, isin string, date date, announced_at timestamp, after_
 STORE = "p string, pages int, t string"
 
 
-def corpus(spark: SparkSession, paths: dict[str, str], lead: int = 4000) -> DataFrame:
-    """Article CSV files by source name: all columns text, the day by try_cast, the body's first `lead` characters."""
+def united(parts: dict[str, DataFrame], day: str = "date") -> DataFrame:
+    """Tables of one form as one, with their name (src) and the day (d) that the first ten characters of a text column say, if they do."""
     out = None
-    for name, path in paths.items():
-        one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(ARTICLE).csv(path)
-        one = one.select(F.lit(name).alias("src"), F.expr("try_cast(substring(date, 1, 10) as date)").alias("d"), "title", F.substring("news", 1, lead).alias("news"), "url")
+    for name, rows in parts.items():
+        one = rows.select(F.lit(name).alias("src"), F.expr(f"try_cast(substring({day}, 1, 10) as date)").alias("d"), *[c for c in rows.columns if c != day])
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], "src string, d date, title string, news string, url string")
     return out
 
 
+def corpus(spark: SparkSession, paths: dict[str, str], lead: int = 4000, columns: list[str] | None = None) -> DataFrame:
+    """Article CSV files by source name: all columns text, the day by try_cast, the body's first `lead` characters. With `columns` only these (of src, d, title, news, url) are parsed."""
+    read = lambda path: spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(ARTICLE).csv(path)
+    out = united({n: read(p).withColumn("news", F.substring("news", 1, lead)) for n, p in paths.items()})
+    if out is None:
+        out = spark.createDataFrame([], "src string, d date, title string, news string, url string")
+    return out.select(columns) if columns else out
+
+
 def about(rows: DataFrame, pattern: str, since: str = "2020-01-01", until: str | None = None, not_url: str | None = None) -> DataFrame:
     """Rows from a day on whose title, or the first 400 characters of the body, match."""
     hit = F.col("title").rlike(f"(?i){pattern}") | F.substring(F.coalesce("news", F.lit("")), 1, 400).rlike(f"(?i){pattern}")
@@ -53,10 +61,11 @@ def preferred(first: DataFrame, second: DataFrame, key: str = "symbol") -> DataF
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def parquet_some(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """Several Parquet inputs with whichever of the columns they have; others are null."""
+def parquet_some(spark: SparkSession, paths: list[str], columns: list[str] | dict[str, str]) -> DataFrame:
+    """Several Parquet inputs with whichever of the columns they have; others are null, of the type that a dict of columns names, else text."""
     t = spark.read.option("mergeSchema", True).parquet(*paths)
-    return t.select(*[F.col(c) if c in t.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    kinds = columns if isinstance(columns, dict) else dict.fromkeys(columns, "string")
+    return t.select(*[F.col(c) if c in t.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 def database_bars(spark: SparkSession, url: str, symbols: list[str], since: str, properties: dict[str, str] | None = None) -> DataFrame:
@@ -74,6 +83,18 @@ def or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) ->
         return spark.createDataFrame([], schema)
 
 
+def first_of_sources(*reads: Callable[[], DataFrame]) -> DataFrame:
+    """What the first source that can be read gives; the last one's failure is raised."""
+    for read in reads[:-1]:
+        try:
+            found = read()
+            found.isEmpty()
+            return found
+        except Exception:  # noqa: BLE001  any failure of an outside source
+            continue
+    return reads[-1]()
+
+
 def text_store(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines text store keyed by path; of several entries the longest counts."""
     return spark.read.schema(STORE).json(path).groupBy("p").agg(F.max_by(F.struct("pages", "t"), F.length("t")).alias("x")).select("p", "x.*")
@@ -169,11 +190,100 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebui
 
 def labelled_lines(lines: DataFrame, names: dict[str, str]) -> DataFrame:
     """`text@label` lines as (text, label) with known labels only."""
-    at = F.regexp_extract_all("value", F.lit(r"(?s)^(.*)@([^@]*)$"), F.lit(2))[0]
+    at = F.get(F.regexp_extract_all("value", F.lit(r"(?s)^(.*)@([^@]*)$"), F.lit(2)), 0)
     label = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[F.trim(at)]
     return lines.select(F.trim(F.regexp_extract("value", r"(?s)^(.*)@[^@]*$", 1)).alias("text"), label.alias("label")).filter("label is not null")
 
 
+#: Labels that count.
+LABELS = ("positive", "negative", "neutral")
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def decoded(content: bytes, encodings: tuple[str, ...] = ("utf-8-sig", "latin-1")) -> str:
+    """The text of a file in the first encoding that fits."""
+    for name in encodings[:-1]:
+        try:
+            return content.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return content.decode(encodings[-1])
+
+
+def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str]]:
+    """The cells of a workbook's sheet (the first one without a name), row by row, as text; a cell that is not there is empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        xml = lambda name: ElementTree.fromstring(z.read(name))
+        shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in xml("xl/sharedStrings.xml").iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        targets = {r.get("Id"): r.get("Target", "") for r in xml("xl/_rels/workbook.xml.rels")}
+        sheets = [(s.get("name"), targets[s.get(_LINK)]) for s in xml("xl/workbook.xml").iter(f"{_SHEET}sheet")]
+        target = next((t for n, t in sheets if sheet is None or n == sheet), None)
+        if target is None:
+            raise ValueError(f"no sheet {sheet}")
+        rows: list[list[str]] = []
+        for row in xml(target.removeprefix("/") if target.startswith("/") else f"xl/{target}").iter(f"{_SHEET}row"):
+            cells: list[str] = []
+            for c in row.iter(f"{_SHEET}c"):
+                letters = "".join(filter(str.isalpha, c.get("r", "")))
+                at = 0
+                for x in letters:
+                    at = at * 26 + ord(x) - 64
+                cells += [""] * ((at or len(cells) + 1) - 1 - len(cells))
+                value = c.find(f"{_SHEET}v")
+                text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
+                cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
+            rows.append(cells)
+    return rows
+
+
+def label_files(spark: SparkSession, path: str, columns: list[str], sheet: str | None = None) -> DataFrame:
+    """Rows of label files, all columns text, blank cells null: workbooks by their `sheet`, other files as CSV in UTF-8 with or without a mark, else in Latin-1. Columns that a file lacks are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b.path, b.content, strict=True):
+                raw = bytes(content)
+                rows = sheet_rows(raw, sheet) if name.lower().endswith(".xlsx") else list(csv.reader(io.StringIO(decoded(raw), newline="")))
+                head = rows[0] if rows else []
+                at = {c: head.index(c) for c in columns if c in head}
+                yield pd.DataFrame([[r[at[c]].strip() or None if c in at and at[c] < len(r) else None for c in columns] for r in rows[1:] if any(r)], columns=columns, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def label(c: Column, valid: tuple[str, ...] = LABELS) -> Column:
+    """A label in lower case without blanks around it; null unless it is a valid one."""
+    clean = F.lower(F.trim(c))
+    return F.when(clean.isin(*valid), clean)
+
+
+def own_or_draft(rows: DataFrame, own: str, draft: str) -> DataFrame:
+    """Adds `label`, the own label where it is valid, else the draft, and `provisional` where the draft stands in."""
+    return rows.withColumns({"label": F.coalesce(label(F.col(own)), label(F.col(draft))), "provisional": label(F.col(own)).isNull()})
+
+
+def text_lines(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """Lines (value) of text files in UTF-8, else Latin-1; with `member`, of the first archive member whose name ends so."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b.content:
+                raw = bytes(content)
+                if member:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        raw = z.read(next(n for n in z.namelist() if n.endswith(member)))
+                yield pd.DataFrame({"value": decoded(raw).splitlines()}, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
+
+
+def from_report(spark: SparkSession, json_text: str, schema: str) -> DataFrame:
+    """The rows of a report that `json_report` made."""
+    return spark.createDataFrame([(json_text,)], "j string").select(F.explode(F.from_json("j", f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
 def json_report(df: DataFrame, by: list[str]) -> DataFrame:
     """All rows as one JSON text, in order: for small published tables."""
     ordered = df.select(F.struct(*by, *[c for c in df.columns if c not in by]).alias("r"))
