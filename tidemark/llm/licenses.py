@@ -3,8 +3,9 @@
 Templates are word sequences with a mandatory phrase. Document counts of all template words over
 the whole corpus give their inverse document frequencies. The index lists, for each word, the templates and the
 word's places in their phrases. A file can hold a template only if all words of the phrase are among its
-licence words; of these the file's rarest two are looked up. A word's places in the file minus its place in the
-template are the relative positions at which the template would start; the positions that all looked-up words
+licence words. A file's words are looked up from the one with the highest idf on, until each template that it can hold has
+two of its words among them; so which postings are read depends on the file. A word's places in the file minus its place in the
+template are the relative positions at which the template would start; the positions that all looked-up words of the template
 agree on are verified: the whole phrase must stand there, and a template counts by the idf share of its words that do.
 """
 
@@ -57,7 +58,7 @@ TEMPLATES = (
 
 
 class Index:
-    """Words of the templates, and for each template the places of its phrase's words, the rarest first."""
+    """Words of the templates with their ranks by idf, and for each template its words and the places of its phrase."""
 
     def __init__(self, idf: dict[str, float], least: float = 0.75, rare: int = 2):
         self.idf, self.least = idf, least
@@ -68,9 +69,18 @@ class Index:
         for text, phrase, label in (*((p, p, b) for p, b in BASE), *TEMPLATES):
             ids, key = np.array([number[w] for w in text.split()]), np.array([number[w] for w in phrase.split()])
             must = next(i for i in range(len(ids)) if list(ids[i : i + len(key)]) == list(key))
-            # A place that fits holds the whole phrase, so all words of the phrase agree on it, its rarest ones too.
-            posts = sorted(range(must, must + len(key)), key=lambda i: (-weight[ids[i]], self.words[ids[i]], i))[:rare]
-            self.templates.append((label, ids, weight[ids] / weight[ids].sum(), must, len(key), posts))
+            self.templates.append((label, ids, weight[ids] / weight[ids].sum(), must, len(key)))
+        self.rare, self.rank = rare, np.empty(len(self.words), np.int64)
+        self.rank[sorted(range(len(self.words)), key=lambda i: (-weight[i], self.words[i]))] = np.arange(len(self.words))
+
+    def looked_up(self, has: np.ndarray) -> np.ndarray:
+        """(file, word): the words that are looked up, given the licence words that each file has: those of the highest idf, as far down as the templates that it can hold ask for."""
+        depth = np.full(len(has), -1)
+        for _, ids, _, must, size in self.templates:
+            ranks = np.sort(self.rank[np.unique(ids[must : must + size])])
+            able = has[:, ids[must : must + size]].all(1)
+            depth[able] = np.maximum(depth[able], ranks[min(self.rare, len(ranks)) - 1])
+        return has & (self.rank[None, :] <= depth[:, None])
 
     def scan(self, licence: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each template, the fitting starts (word numbers) and their scores. licence: number of each word, or -1."""
@@ -79,10 +89,18 @@ class Index:
         has = np.zeros((int(text_of[-1]) + 1 if n else 0, len(self.words)), bool)  # the licence words of each file
         has[text_of[known], licence[known]] = True
         places = {int(w): known[licence[known] == w] for w in np.unique(licence[known])}
-        for t, (_, ids, share, must, size, posts) in enumerate(self.templates):
-            able = has[:, ids[must : must + size]].all(1)
-            found = [places.get(int(ids[p]), known[:0]) for p in posts]
-            start = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), [x[able[text_of[x]]] - p for x, p in zip(found, posts, strict=True)])
+        looked = self.looked_up(has)
+        for t, (_, ids, share, must, size) in enumerate(self.templates):
+            phrase = ids[must : must + size]
+            able = has[:, phrase].all(1)
+            asked = looked[:, phrase] & able[:, None]  # the places of the phrase whose words are looked up, file by file
+            starts = [known[:0]]
+            for pattern in np.unique(asked[able], axis=0):
+                files = able & (asked == pattern).all(1)
+                found = [places[int(phrase[p])] - must - p for p in np.flatnonzero(pattern)]
+                found = [x[files[text_of[x + must + p]]] for x, p in zip(found, np.flatnonzero(pattern), strict=True)]
+                starts.append(reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), found))
+            start = np.sort(np.concatenate(starts))
             at = start + must
             ok = (at >= 0) & (at + size <= n)
             start, at = start[ok], at[ok]
