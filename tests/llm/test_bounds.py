@@ -173,3 +173,17 @@ def test_training_reads_whole_texts(spark, monkeypatch):
     whole = {r["text"].encode() for r in docs.filter("text is not null").collect()}
     assert set(seen["bags"]) <= whole and max(map(len, seen["bags"])) > 100_000
     assert set(seen["texts"]) <= whole and min(map(len, seen["texts"])) > 100_000
+
+
+def test_each_file_looks_up_its_own_rarest_words():
+    from tidemark.llm.licenses import Index
+
+    index = Index({w: float(len(w)) for t in ("mozilla public license", "mit license", "cc by") for w in t.split()})
+    number = {w: i for i, w in enumerate(index.words)}
+    has = np.zeros((4, len(index.words)), bool)
+    for row, text in enumerate(("the mit license", "the mit license mozilla public", "cc by mit", "license")):
+        has[row, [number[w] for w in text.split()]] = True
+    looked = [{index.words[k] for k in np.flatnonzero(r)} for r in index.looked_up(has)]
+    assert looked[0] == {"license", "mit"}  # by idf: license, mit, the
+    assert looked[1] == {"mozilla", "public", "license", "mit"}
+    assert {"cc", "by"} <= looked[2] and not looked[3]
