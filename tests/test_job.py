@@ -33,4 +33,10 @@ def test_second_day(spark, tmp_path):
     assert again["tracker"].filter("pending").count() == 1 and again["tracker"].filter("pending").first()["d"] == dt.date(2024, 3, 11)
     scores = {r["relevance"]: r["s"] for r in again["news"].collect()}
     assert scores[1.0] > 0 and scores[0.0] is None
-    assert {r["model"] for r in again["summary"].collect()} == {"last", "week"} and again["headlines"].count() > 0
+    assert {r["model"] for r in again["summary"].collect()} == {"last", "har", "news"} and again["headlines"].count() > 0
+    latest = {r["model"]: r for r in again["latest"].collect()}
+    assert set(latest) == {"har", "news"} and all(r["forecast"] > 0 and r["forecast_for"] == dt.date(2024, 3, 11) for r in latest.values())
+    public = {n: spark.read.json(f"{tmp_path}/public/{n}").count() for n in ("tracker", "summary", "latest", "coefficients", "headlines")}
+    assert public == {n: again[n].count() for n in public} and public["coefficients"] == 6
+    assert spark.read.parquet(f"{tmp_path}/prices/delta-3").count() < 15  # a day's run writes the days that it asked for
+    assert spark.read.parquet(f"{tmp_path}/news/delta-3").count() == 0

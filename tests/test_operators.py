@@ -69,7 +69,7 @@ def test_transcripts(spark):
     assert [(r[0], r[1], r[2]) for r in rows[:5]] == [("Moderator", "moderator", "prepared"), ("Raj Rao", "management", "prepared"), ("Moderator", "moderator", "qa"), ("Amit Shah", "analyst", "qa"), ("Raj Rao", "management", "qa")]
     s = calls.sentences(calls.parsed(spark.createDataFrame([("p", CALL), ("q", None)], "path string, text string"))).orderBy("turn", "k").collect()
     assert {r["context"] for r in s} == {"management prepared", "management answer", "analyst question"} and s[0]["forward"] and s[1]["hedge"] and not any(r["path"] == "q" for r in s)
-    assert calls.call_time("October 12, 2023, 19:00 hrs IST") == ("October 12, 2023", "19:00")
+    assert calls.call_time("October 12, 2023, 19:00 hrs IST") == dt.datetime(2023, 10, 12, 19, 0)
 
 
 def test_options(spark):

@@ -126,9 +126,11 @@ def test_same_event_filter_takes_all_filings(spark, dated):
 def test_event_path_and_focus_take_all_articles(spark, dated):
     _, seq, _ = dated
     rows = v.articles(spark, SF).select("doc_id", "d", "src").collect()
-    priced = {seq[r["d"]] for r in bars.realised(v.bars(spark, SF)).filter("symbol = 'A'").collect() if r["d"] in seq}
+    priced = Counter(seq[r["d"]] for r in bars.realised(v.bars(spark, SF)).collect() if r["d"] in seq)
     events = {seq[r["d"]] for r in rows if r["d"] in seq}
-    want = Counter(o for e in events for o in range(-5, 21) if e + o in priced)
+    want = Counter()
+    for e in events:
+        want.update({o: priced[e + o] for o in range(-5, 21) if e + o in priced})
     assert {r["offset"]: r["n"] for r in run(spark, "event_path")} == dict(want)
     focus = Counter((r["src"][3:4], str(r["d"])) for r in rows)
     carry = {(r["lang"], r["d"]): r["carry"] or 0.0 for r in run(spark, "carry_decay")}
