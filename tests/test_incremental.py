@@ -233,3 +233,29 @@ def test_runs_of_names():
     assert entity.list_run(text, text.index("TCS")) == 4 and entity.is_name_list("HDFC Bank, TCS, YES Bank")
     assert entity.list_run("TCS shares fall, says the bank", 0) == 1 and not entity.is_name_list("profits rise, says the bank, TCS")
     assert entity.list_run("why TCS and Infosys shares rose", 4) == 2
+
+
+def test_each_row_is_scored_for_its_own_target(spark):
+    class ByTarget:
+        def logits(self, texts, targets):
+            import numpy as np
+
+            return np.array([[float(len(t)), 1.0, 0.5] for t in targets])
+
+    from tidemark.functions import scoring
+
+    rows = spark.createDataFrame([(1, "a", "xyz"), (2, "a", ""), (3, "a", None), (4, None, "xyz"), (5, "a", "xyz")], "id long, text string, about string")
+    got = {r["id"]: (r["z_m_positive"], r["label_m"]) for r in scoring.scored(rows, "text", ByTarget, "m", target_column="about").collect()}
+    assert got == {1: (3.0, "positive"), 2: (0.0, "negative"), 3: (0.0, "negative"), 4: (None, None), 5: (3.0, "positive")}
+    assert {r["z_m_positive"] for r in scoring.scored(rows.filter("text is not null"), "text", ByTarget, "m", target="1234").collect()} == {4.0}
+
+
+def test_pairs_in_a_given_order_and_markdown(spark):
+    from tidemark.operators import graph
+
+    m = spark.createDataFrame([(i, n) for i, names in enumerate(("ab", "abc", "cz", "z")) for n in names], "item long, name string")
+    got = {(r["source"], r["target"]): r["weight"] for r in graph.comentions(m, order=["c", "b", "a"]).collect()}
+    assert got == {("b", "a"): 2, ("c", "a"): 1, ("c", "b"): 1, ("c", "z"): 1}
+    assert {tuple(sorted(k)) for k in got} == {(r["source"], r["target"]) for r in graph.comentions(m).collect()}
+    t = spark.createDataFrame([("b", 1.23456, None), ("a|c", 2.0, 3)], "k string, v double, n int")
+    assert readers.markdown_report(t, ["k"]).first()[0] == "| k | v | n |\n|---|---|---|\n| a\\|c | 2.0 | 3 |\n| b | 1.2346 |  |"

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import evaluate
+
 LABELS = ("positive", "negative", "neutral")
 
 
@@ -35,20 +37,26 @@ def probabilities(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def scored(rows: DataFrame, text: str, build: Callable[[], Scorer], tag: str, target: str = "", temperature: float = 1.0, batch: int = 64) -> DataFrame:
-    """Adds z_<tag>_<label>, p_<tag>_<label> and sent_<tag>; null for a null text. Each distinct text is scored once; the model is built once for each task."""
+def scored(rows: DataFrame, text: str, build: Callable[[], Scorer], tag: str, target: str = "", temperature: float = 1.0, batch: int = 64, target_column: str | None = None) -> DataFrame:
+    """Adds z_<tag>_<label>, p_<tag>_<label>, sent_<tag> and label_<tag>; null for a null text. Each distinct text is scored once for each target; the model is built once for each task.
+
+    The target is the same for all rows, or each row's own in `target_column` (a null one is empty).
+    """
     names = [f"{k}_{tag}_{n}" for k in "zp" for n in LABELS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
         for b in batches:
-            z = np.concatenate([model.logits(b._text[i : i + batch].tolist(), [target] * len(b._text[i : i + batch])) for i in range(0, len(b), batch)]) if len(b) else np.zeros((0, 3))
+            z = np.concatenate([model.logits(b._text[i : i + batch].tolist(), b._target[i : i + batch].tolist()) for i in range(0, len(b), batch)]) if len(b) else np.zeros((0, 3))
             p = probabilities(z, temperature)
-            yield pd.DataFrame(dict(zip(["_text", *names], [b._text, *z.T, *p.T], strict=True)))
-
-    distinct = rows.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    got = distinct.mapInPandas(run, "_text string, " + ", ".join(f"{n} double" for n in names))
-    return rows.join(got, F.col(text) == F.col("_text"), "left").drop("_text").withColumn(f"sent_{tag}", F.col(f"p_{tag}_positive") - F.col(f"p_{tag}_negative"))
+            yield pd.DataFrame(dict(zip(["_text", "_target", *names], [b._text, b._target, *z.T, *p.T], strict=True)))
+
+    own = F.coalesce(F.col(target_column), F.lit("")) if target_column else F.lit(target)
+    distinct = rows.select(F.col(text).alias("_text"), own.alias("_target")).filter(F.col("_text").isNotNull()).distinct()
+    got = distinct.mapInPandas(run, "_text string, _target string, " + ", ".join(f"{n} double" for n in names))
+    out = rows.join(got, (F.col(text) == F.col("_text")) & (own == F.col("_target")), "left").drop("_text", "_target")
+    best = evaluate.argmax([F.col(f"p_{tag}_{n}") for n in LABELS], list(LABELS))
+    return out.withColumns({f"sent_{tag}": F.col(f"p_{tag}_positive") - F.col(f"p_{tag}_negative"), f"label_{tag}": F.when(F.col(f"p_{tag}_positive").isNotNull(), best)})
 
 
 def fit_temperature(z: np.ndarray, y: np.ndarray, low: float = 0.05, high: float = 50.0, rounds: int = 80) -> float:

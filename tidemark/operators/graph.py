@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import released, written
 
 
-def comentions(mentions: DataFrame, least: int = 1, most_names: int | None = None) -> DataFrame:
-    """(source, target, weight): items that name both. An item's names form pairs; `most_names` leaves out longer items."""
+def comentions(mentions: DataFrame, least: int = 1, most_names: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """(source, target, weight): items that name both. An item's names form pairs, the source first in `order`, else by name; names outside `order` come last. `most_names` leaves out longer items."""
     per = mentions.groupBy("item").agg(F.sort_array(F.collect_set("name")).alias("names")).filter(F.size("names") >= 2)
+    if order:
+        place = F.create_map(*[F.lit(x) for pair in zip(order, range(len(order)), strict=True) for x in pair])
+        placed = F.transform("names", lambda n: F.struct(F.coalesce(place[n], F.lit(len(order))).alias("at"), n.alias("name")))
+        per = per.withColumn("names", F.transform(F.array_sort(placed), lambda x: x["name"]))
     if most_names:
         per = per.filter(F.size("names") <= most_names)
     at = per.select("names", F.posexplode("names").alias("i", "source"))
@@ -26,15 +30,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
+def upwards(edges: DataFrame) -> DataFrame:
+    """The edges (source, target, weight) from the node with fewer neighbours to the one with more, ties by name."""
+    rank = degrees(edges).select("name", F.struct("degree", "name").alias("r"))
+    ends = edges.select("source", "target", "weight").join(rank.toDF("source", "s"), "source").join(rank.toDF("target", "t"), "target")
+    return ends.select(F.least("s", "t")["name"].alias("source"), F.greatest("s", "t")["name"].alias("target"), "weight")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles of every node and its local clustering.
 
     Edges point from the node with fewer neighbours to the one with more, so a hub leads nowhere and no node has more than
     the square root of twice the number of edges ahead of it.
     """
-    rank = degrees(edges).select("name", F.struct("degree", "name").alias("r"))
-    ends = edges.select("source", "target").join(rank.toDF("source", "s"), "source").join(rank.toDF("target", "t"), "target")
-    e = ends.select(F.least("s", "t")["name"].alias("source"), F.greatest("s", "t")["name"].alias("target"))
+    e = upwards(edges).drop("weight")
     ab, bc, ac = (e.toDF(*p) for p in ("ab", "bc", "ac"))
     t = ab.join(bc, "b").join(ac, ["a", "c"])
     per = t.select(F.explode(F.array("a", "b", "c")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("triangles"))
@@ -109,6 +118,11 @@ def top_ties(edges: DataFrame, n: int = 10) -> DataFrame:
     return edges.orderBy(F.desc("weight"), "source", "target").limit(n)
 
 
+def top_flows(pairs: DataFrame, n: int = 10) -> DataFrame:
+    """The n largest net flows (source, target, flow), ties by name."""
+    return pairs.orderBy(F.desc("flow"), "source", "target").limit(n)
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Weighted PageRank by fixed rounds from the uniform start. Every node of an undirected edge list has a way out."""
     both = both_ways(edges)
@@ -163,9 +177,10 @@ def pairwise_net(shares: DataFrame) -> DataFrame:
 
 
 def weighted_clustering(edges: DataFrame) -> DataFrame:
-    """Mean over a node's pairs of neighbours of the geometric mean of the triangle's weights, relative to the greatest weight."""
+    """Mean over a node's pairs of neighbours of the geometric mean of the triangle's weights, relative to the greatest weight. Edges point from low to high degree, as in `triangles`."""
     top = edges.agg(F.max("weight").cast("double")).first()[0] or 1.0
-    w = lambda a, b, n: edges.select(F.col("source").alias(a), F.col("target").alias(b), (F.col("weight") / top).alias(n))
+    e = upwards(edges).withColumn("weight", F.col("weight") / top)
+    w = lambda a, b, n: e.toDF(a, b, n)
     t = w("a", "b", "x").join(w("b", "c", "y"), "b").join(w("a", "c", "z"), ["a", "c"]).withColumn("v", F.cbrt(F.col("x") * F.col("y") * F.col("z")))
     per = t.select(F.explode(F.array("a", "b", "c")).alias("name"), "v").groupBy("name").agg(F.sum("v").alias("v"))
     d = degrees(edges)

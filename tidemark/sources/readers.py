@@ -284,6 +284,15 @@ def from_report(spark: SparkSession, json_text: str, schema: str) -> DataFrame:
     return spark.createDataFrame([(json_text,)], "j string").select(F.explode(F.from_json("j", f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
+def markdown_report(df: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
+    """All rows as one Markdown table (markdown), in order, numbers rounded, nulls empty: for small published tables."""
+    cells = [F.coalesce((F.round(c, digits) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)).cast("string"), F.lit("")) for c in df.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(c, F.lit("|"), F.lit("\\|")) for c in cells]), F.lit(" |"))
+    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+    lines = df.select(F.struct(*by, line.alias("_line")).alias("r")).agg(F.array_sort(F.collect_list("r"))["_line"].alias("lines"))
+    return lines.select(F.array_join(F.concat(F.array(F.lit(head)), "lines"), "\n").alias("markdown"))
+
+
 def json_report(df: DataFrame, by: list[str]) -> DataFrame:
     """All rows as one JSON text, in order: for small published tables."""
     ordered = df.select(F.struct(*by, *[c for c in df.columns if c not in by]).alias("r"))
