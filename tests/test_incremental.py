@@ -259,3 +259,28 @@ def test_pairs_in_a_given_order_and_markdown(spark):
     assert {tuple(sorted(k)) for k in got} == {(r["source"], r["target"]) for r in graph.comentions(m).collect()}
     t = spark.createDataFrame([("b", 1.23456, None), ("a|c", 2.0, 3)], "k string, v double, n int")
     assert readers.markdown_report(t, ["k"]).first()[0] == "| k | v | n |\n|---|---|---|\n| a\\|c | 2.0 | 3 |\n| b | 1.2346 |  |"
+
+
+def test_calls_are_scored_once_and_put_before_the_days_after_them(spark):
+    from tidemark.functions import scoring
+
+    days = [d for k in range(300) if (d := date(2022, 1, 3) + timedelta(k)).weekday() < 5]
+    bars = spark.createDataFrame([("TCS", d, 100.0, 103.0 + i % 5, 97.0 - i % 3, 100.0 + i % 4, 1.0) for i, d in enumerate(days)], "symbol string, d date, o double, h double, l double, c double, v double")
+    corpus = spark.createDataFrame([(1, "s", days[5], "TCS wins", "body")], "doc_id long, src string, d date, title string, news string")
+    filed = [("TCS", date(2022, 4, 12), 1, "p1"), ("TCS", date(2022, 4, 20), 2, "p2"), ("TCS", date(2022, 7, 15), 3, "p3"), ("TCS", date(2022, 9, 1), 4, "p4"), ("INFY", date(2022, 4, 12), 5, "p5"), ("TCS", date(2022, 10, 20), 6, "gone")]
+    filings = spark.createDataFrame([(s, d, i, "Earnings Call Transcript", "", p) for s, d, i, p in filed], "symbol string, d date, id long, sub string, headline string, path string")
+    texts = spark.createDataFrame([("p1", ALTERNATING), ("p2", ALTERNATING), ("p3", ALTERNATING), ("p4", "too short"), ("p5", ALTERNATING)], "path string, text string")
+    p = pipeline.Pipeline(bars, corpus, "TCS", scoring.first_model(lambda: 1 / 0, lambda: LexiconScorer(["wins"], ["uncertain"])), filings)
+    got = p.score_calls(texts, "lexicon", least=3).collect()
+    assert {r["path"] for r in got} == {"p1", "p3"}  # p2 is p1's call again, p4 no call, the others are not there or not the target's
+    assert all(r["call_time"] == datetime(2026, 4, 23) and r["n_sentences"] == 4 and r["tone_answers"] < 0 for r in got)
+    done = spark.createDataFrame([("p1", date(2022, 4, 12), "TCS", "lexicon")], "path string, d date, symbol string, model string")
+    assert {r["path"] for r in p.score_calls(texts, "lexicon", done, least=3).collect()} == {"p3"}
+    assert {r["path"] for r in p.score_calls(texts, "other", done, least=3).collect()} == {"p1", "p3"}
+    panel = {r["path"]: r for r in p.call_window_panel(p.score_calls(texts, "lexicon", least=3), (1, 5)).collect()}
+    u = {r["d"]: r["u"] for r in p.features().collect()}
+    ahead = sorted(d for d in u if d >= date(2022, 4, 12))[:5]
+    assert panel["p1"]["u_1d"] == pytest.approx(u[ahead[0]]) and panel["p1"]["u_5d"] == pytest.approx(sum(u[d] for d in ahead) / 5)
+    p.close()
+    with pytest.raises(ZeroDivisionError):
+        scoring.first_model(lambda: 1 / 0)()

@@ -32,6 +32,20 @@ class LexiconScorer:
         return np.column_stack([p, n, np.full(len(words), 0.5)])
 
 
+def first_model(*builds: Callable[[], Scorer]) -> Callable[[], Scorer]:
+    """Builds the first model that can be built; the last one's failure is raised."""
+
+    def build() -> Scorer:
+        for one in builds[:-1]:
+            try:
+                return one()
+            except Exception:  # noqa: BLE001  weights that are not there, a library that is missing
+                continue
+        return builds[-1]()
+
+    return build
+
+
 def probabilities(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     e = np.exp((z - z.max(1, keepdims=True)) / temperature)
     return e / e.sum(1, keepdims=True)

@@ -129,3 +129,21 @@ def claims(found: DataFrame, expected: DataFrame) -> DataFrame:
 def exit_code(checked: DataFrame) -> int:
     """0 if all claims hold, else 1."""
     return int(not checked.filter("not holds").isEmpty())
+
+
+def event_day_spillover(values: DataFrame, events: DataFrame, value: str, least: int = 5) -> DataFrame:
+    """(reporter, affected, own, n_days, mean_on, mean_other, excess, t, ratio): what a name's `value` is on another's event days, against days without any event.
+
+    Takes (name, d, value) and (name, d). A name's own event days are left out where another reports; pairs with fewer than `least` days are too. t is Welch's, ratio the exponential of
+    the excess. Days are met by equality, so each event day costs a row for each name.
+    """
+    days = events.select("name", "d").distinct()
+    known = values.select("name", "d", F.col(value).cast("double").alias("x")).dropna()
+    other = known.join(days.select("d").distinct(), "d", "left_anti").groupBy(F.col("name").alias("affected")).agg(F.avg("x").alias("mean_other"), F.var_samp("x").alias("v0"), F.count("x").alias("n0"))
+    own = days.select(F.col("name").alias("affected"), "d", F.lit(True).alias("busy"))
+    met = known.withColumnRenamed("name", "affected").join(days.withColumnRenamed("name", "reporter"), "d").join(own, ["affected", "d"], "left")
+    met = met.filter((F.col("reporter") == F.col("affected")) | F.col("busy").isNull())
+    on = met.groupBy("reporter", "affected").agg(F.count("x").alias("n_days"), F.avg("x").alias("mean_on"), F.var_samp("x").alias("v1")).filter(F.col("n_days") >= least)
+    excess = F.col("mean_on") - F.col("mean_other")
+    error = F.sqrt(F.col("v1") / F.col("n_days") + F.col("v0") / F.col("n0"))
+    return on.join(other, "affected").select("reporter", "affected", (F.col("reporter") == F.col("affected")).alias("own"), "n_days", "mean_on", "mean_other", excess.alias("excess"), F.try_divide(excess, error).alias("t"), F.exp(excess).alias("ratio"))

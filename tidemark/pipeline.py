@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entity, scoring
 from tidemark.functions import signals as g
-from tidemark.operators import align, bars, calls, daily, evaluate, study, walk
+from tidemark.operators import align, bars, calls, daily, evaluate, state, study, walk
 from tidemark.sources import readers
 from tidemark.sources.shared import released, written
 
@@ -87,6 +87,30 @@ class Pipeline:
         """Sentences of transcripts (path, text) with context and flags."""
         return calls.sentences(calls.parsed(texts))
 
+    def score_calls(self, texts: DataFrame, model: str, done: DataFrame | None = None, least: int = 50, apart: int = 20) -> DataFrame:
+        """A row of features for each call of the target: path, d, symbol, call_time, model and what `calls.features` says.
+
+        Takes transcripts (path, text). Those with fewer than `least` sentences are no calls, and one within `apart` days after a kept one is the same
+        call again. With `done` (earlier results of this kind) only paths that this model has not scored are, and calls near those it has are left out.
+        """
+        filed = self.transcripts().select("symbol", "d", "path").dropna()
+        known = None
+        if done is not None:
+            own = done.filter(F.col("model") == model)
+            filed, known = state.pending(filed, done, "path", model), own.select("symbol", "d")
+        parsed = calls.parsed(texts.join(filed.select("path").distinct(), "path", "left_semi"))
+        sentences = written(calls.sentences(parsed), "sentences")
+        real = filed.join(calls.real_calls(sentences, least), "path", "left_semi")
+        kept = state.keep_apart(real, "symbol", apart, known)
+        scored = scoring.scored(sentences.join(kept.select("path"), "path", "left_semi"), "sentence", self.build, "t", self.target, self.temperature)
+        told = calls.features(scored.withColumn("s", F.col("sent_t")))
+        return kept.join(told, "path").join(calls.times(texts), "path", "left").withColumn("model", F.lit(model))
+
+    def call_window_panel(self, scored: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+        """Calls with the mean of u = ln(rv_target / rv) over the first h trading days from their own on."""
+        u = self.features().select("symbol", "d", "u")
+        return calls.window_panel(scored, u, self.calendar(), "symbol", "u", horizons)
+
     def features(self) -> DataFrame:
         """One row for each trading day: variance lags, everything known of the news, the live-call flag, u = ln(rv_target / base), base: yesterday's variance."""
         return self._once("features", self._features)

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars, expanding, placebo, robust
+from tidemark.operators import bars, calls, expanding, placebo, robust, study
 from tidemark.operators import evaluate as ev
 from tidemark.sources import views as v
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import garch, live
 
 
+from .daily import RV
 from .inferences import _implied
 from .networks import ORACLE as NETWORKS
 from .networks import PHI
@@ -87,7 +88,22 @@ def stream_garch(spark, sf):
     return tidy(spark.read.schema(garch.OUT).parquet(f"{root}/out"))
 
 
-QUERIES = {f.__name__: f for f in (ols_one_walk, ols_by_year, mean_by_year, placebo_refits, placebo_shares, best_temperature, robust_one, implied_periods, stream_garch)}
+def event_spillover(spark, sf):
+    """Days on which a symbol trades half as much again as on average are its events."""
+    b = v.bars(spark, sf)
+    busy = b.join(b.groupBy("symbol").agg(F.avg("v").alias("mean")), "symbol").filter(F.col("v") > 1.5 * F.col("mean"))
+    x = bars.realised(b).select(F.col("symbol").alias("name"), "d", F.ln("rv").alias("x"))
+    return tidy(study.event_day_spillover(x, busy.select(F.col("symbol").alias("name"), "d"), "x"))
+
+
+def call_windows(spark, sf):
+    b = v.bars(spark, sf)
+    x = bars.realised(b).select("symbol", "d", F.ln("rv").alias("x"))
+    filed = v.filings(spark, sf).select(F.translate("sub", "OFP", "ANR").alias("symbol"), "d", "id")
+    return tidy(calls.window_panel(filed, x, v.calendar(b), "symbol", "x").select("id", "symbol", "d", "x_1d", "x_5d", "x_10d"))
+
+
+QUERIES = {f.__name__: f for f in (ols_one_walk, ols_by_year, mean_by_year, placebo_refits, placebo_shares, best_temperature, robust_one, implied_periods, stream_garch, event_spillover, call_windows)}
 
 #: A walk with one feature, by block: columns symbol, d, u, x, base in `rows`.
 WALK = lambda rows, name="walked": f"""{name}_t as (select *, row_number() over (partition by symbol order by d) - 1 as t from {rows} where x is not null and base is not null),
@@ -137,3 +153,11 @@ ORACLE["implied_periods"] = sql("bars", "symbol period model n:i qlike:f change:
       s as (select symbol, period, model, count(*) as n, avg(loss) as qlike, avg(base) as base, avg(loss - base) as m, (sum(e * e) + {' + '.join(f'2 * (1 - {k} / 6.0 :: double) * coalesce(sum(e * e{k}), 0)' for k in LAGS)}) / count(*) as v from g group by 1, 2, 3 having count(*) >= 20),
       dm as (select *, case when model = 'f2' then null when v > 0 then m / sqrt(v / n) else 0 end as dm from s)
       ;; select symbol, period, model, n, qlike, 100 * (qlike / base - 1) as change, dm, 2 * {PHI('(-abs(dm))')} as p from dm""")
+ORACLE["event_spillover"] = sql("bars", "reporter affected own n_days:i mean_on:f mean_other:f excess:f t:f ratio:f", f"""{RV}, x as (select symbol as name, d, ln(rv) as x from rv), e as (select symbol as name, d from (select *, avg(v) over (partition by symbol) as m from bars) where v > 1.5 :: double * m),
+      o as (select name as affected, avg(x) as mean_other, var_samp(x) as v0, count(*) as n0 from x where d not in (select d from e) group by name),
+      m as (select e.name as reporter, x.name as affected, x.x from x join e using (d) where x.name = e.name or not exists (select 1 from e q where q.name = x.name and q.d = x.d)),
+      g as (select reporter, affected, count(*) as n_days, avg(x) as mean_on, var_samp(x) as v1 from m group by 1, 2 having count(*) >= 5)
+      ;; select *, reporter = affected as own, mean_on - mean_other as excess, (mean_on - mean_other) / sqrt(v1 / n_days + v0 / n0) as t, exp(mean_on - mean_other) as ratio from g join o using (affected)""")
+ORACLE["call_windows"] = sql("bars cal", "id symbol d:d x_1d:f x_5d:f x_10d:f", f"""{RV}, x as (select symbol, d, {', '.join(f'case when count(*) over (partition by symbol order by d rows between current row and {h - 1} following) = {h} then avg(ln(rv)) over (partition by symbol order by d rows between current row and {h - 1} following) end as x_{h}d' for h in (1, 5, 10))} from rv),
+      f as (select o_orderkey as id, translate(o_orderstatus, 'OFP', 'ANR') as symbol, cast(o_orderdate as date) as d from orders join customer on c_custkey = o_custkey), r as (select f.*, c.d as row_d from f asof join cal c on c.d <= f.d)
+      ;; select r.id, r.symbol, r.d, x_1d, x_5d, x_10d from r left join x on x.symbol = r.symbol and x.d = r.row_d""")
