@@ -51,7 +51,9 @@ def test_entities_and_signals(spark):
     rows = spark.createDataFrame([("HCLTech drags, Sensex ends flat - Mint", None), ("TCS, Infosys, Wipro shares fall", ""), ("tcs rate on foreign remittance", ""), (None, "Infosys")], "title string, description string")
     got = [r["entity"] for r in entity.analysed(rows, "HCLTECH").collect()]
     assert (got[0]["role"], got[0]["target_span"], got[0]["move_signal"], got[0]["relevance"]) == ("primary", "HCLTech drags", -1, 1.0) and got[1]["relevance"] == 0.0
-    assert entity.analyse("TCS, Infosys, Wipro shares fall", "", "TCS")["role"] == "list_member" and entity.analyse("tcs rate on foreign remittance", "", "TCS")["role"] == "wrong_entity"
+    assert entity.placed("TCS, Infosys, Wipro shares fall", "", "TCS")["role"] == "list_member" and entity.placed("tcs rate on foreign remittance", "", "TCS")["role"] == "wrong_entity"
+    sector = entity.analysed(rows, "SECTOR").select("entity.*").collect()
+    assert {r["role"] for r in sector} == {"sector"} and [r["move_signal"] for r in sector] == [-1, -1, 0, 0] and {r["relevance"] for r in sector} == {1.0}
     heads = spark.createDataFrame([("", "Transcript of the Q2 earnings call"), ("Earnings Call Transcript", None), ("", "AGM transcript results"), ("", "transcript")], "sub string, head string")
     assert [r[0] for r in heads.select(signals.is_transcript(F.col("sub"), F.col("head"))).collect()] == [True, True, False, False]
     names = spark.createDataFrame([(1, "TCS"), (1, "WIPRO"), (2, "INFY"), (2, "WIPRO"), (3, "INFY"), (3, "TCS"), (4, "TCS")], "item long, name string")
