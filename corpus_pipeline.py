@@ -24,7 +24,8 @@ def free(docs: DataFrame, *names: str) -> list[str]:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1; all of them if no label can be learned from.
 
-    Rows come back whole, with all columns; nulls and empty texts are scored like any text, repeated rows each.
+    Rows come back whole, with all columns; nulls and empty texts are scored like any text, repeated rows each. An empty table
+    stays empty; a text of any length is read whole, passage by passage.
     """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
@@ -32,7 +33,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is told with a score of at least one half; all of them if no language can be learned.
 
-    Rows come back whole, with all columns. A null text and one without a letter is rejected; repeated rows are judged each.
+    Rows come back whole, with all columns. A null text and one without a letter is rejected; repeated rows are judged each. An empty table
+    stays empty; a text of any length is read whole, window by window.
     """
     model = language_id.train(docs)
     return docs if model is None else language_id.keep_spoken(docs, model)
@@ -42,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
     A row is known by its doc_id and text, so rows that share an id, or have none, are judged each by its text;
-    of rows that are equal in both one stays. Texts without words all stay. Other columns come back as they are, whatever their names.
+    of rows that are equal in both one stays. Texts without words all stay. Other columns come back as they are, whatever their names. An empty table stays empty; of a text of any length all shingles count.
     """
     id_, hash_, again = free(docs, "kept_id", "kept_hash", "kept_again")
     kept = written(minhash.near_duplicates(docs, by_text=True).filter("kept").select("doc_id", "body", (F.col("n_shingles") > 0).alias("worded")), "kept")
@@ -57,7 +59,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents without their repeated passages of 20 words or more; n_chars, if there is one, follows the text.
 
     A row is known by its doc_id and text; equal rows are cut alike. Null, empty and short texts stay. Other
-    columns come back as they are, whatever their names.
+    columns come back as they are, whatever their names. An empty table stays empty; a text of any length is searched whole.
     """
     id_, hash_, kept = free(docs, "cut_id", "cut_hash", "cut_text")
     cut = substring.remove_repeats(docs.select("doc_id", "text"), span=20, keep_text=True, changed_only=True).filter("n_removed > 0")
@@ -72,7 +74,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens along the curve; a null or empty text is its end token alone, repeated rows are packed each."""
+    """Pieces of all documents in sequences of 4096 tokens along the curve; a null or empty text is its end token alone, repeated rows are packed each.
+
+    Other columns than doc_id and text are ignored, whatever their names; an empty table gives no pieces; a long text goes on over as many sequences as it needs.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
