@@ -21,12 +21,16 @@ from tidemark.sources.shared import released, written
 FLAT = 1e-11
 
 
-def prefix_moments(rows: DataFrame, by: list[str], block: str, columns: list[str], known: Column, own: bool = False) -> DataFrame:
-    """(by, block, n, sums, products): of the known rows in each block's earlier blocks; `products` is the upper triangle, by rows. With `own`, also own_n, own_sums and own_products of the block itself."""
+def moments_of(rows: DataFrame, by: list[str], columns: list[str], known: Column) -> DataFrame:
+    """(by, _n, _s0.., _q0_0..): count, sums and products of the known rows."""
     x = [F.when(known, F.col(c).cast("double")) for c in columns]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    sums = {"_n": F.count_if(known)} | {f"_s{i}": F.sum(c) for i, c in enumerate(x)} | {f"_q{i}_{j}": F.sum(x[i] * x[j]) for i, j in pairs}
-    each = rows.groupBy(*by, block).agg(*[c.alias(n) for n, c in sums.items()])
+    sums = {"_n": F.count_if(known)} | {f"_s{i}": F.sum(c) for i, c in enumerate(x)} | {f"_q{i}_{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}
+    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+
+
+def accumulated(each: DataFrame, by: list[str], block: str, k: int, own: bool = False) -> DataFrame:
+    """(by, block, n, sums, products) of each block's earlier blocks, from the moments of each (`moments_of` k columns)."""
+    sums = ["_n", *[f"_s{i}" for i in range(k)], *[f"_q{i}_{j}" for i in range(k) for j in range(i, k)]]
     before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)  # without `by`, over one row for each block
     upto = {n: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in sums}
     of = lambda names: F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).cast("array<double>")
@@ -36,6 +40,11 @@ def prefix_moments(rows: DataFrame, by: list[str], block: str, columns: list[str
     return added.select(*by, block, *packed(), *[n for n in ("own_n", "own_sums", "own_products") if own])
 
 
+def prefix_moments(rows: DataFrame, by: list[str], block: str, columns: list[str], known: Column, own: bool = False) -> DataFrame:
+    """(by, block, n, sums, products): of the known rows in each block's earlier blocks; `products` is the upper triangle, by rows. With `own`, also own_n, own_sums and own_products of the block itself."""
+    return accumulated(moments_of(rows, [*by, block], columns, known), by, block, len(columns), own)
+
+
 def solved(n: int, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """(slopes per deviation, means, deviations, mean of the target, squared residuals) of the last column on the others; minimum norm, population deviations, a flat feature's deviation is 1."""
     k = len(sums)
