@@ -25,7 +25,7 @@ def largest(spark, since):
     return max((b for s, b in found if s >= since), default=0), max(s for s, _ in found) + 1
 
 
-@pytest.mark.parametrize("kept", [["size"]])
+@pytest.mark.parametrize("kept", [["size"], []])
 def test_shuffles_do_not_grow_with_replicates(spark, monkeypatch, kept):
     monkeypatch.setattr(placebo, "ROUND", 3000, raising=False)
     rows = frame(spark, 3000).cache()
@@ -38,7 +38,7 @@ def test_shuffles_do_not_grow_with_replicates(spark, monkeypatch, kept):
     assert most[1] < 1.5 * most[0]
 
 
-@pytest.mark.parametrize("kept", [["size"]])
+@pytest.mark.parametrize("kept", [["size"], []])
 def test_cells_and_rounds_change_nothing(spark, monkeypatch, kept):
     rows = frame(spark, 2000)
     of = lambda: {(r["scheme"], r["rep"]): (r["n"], r["mse"]) for r in placebo.refitted(rows, "u", kept, ["tone"], SCHEMES, replicates=5).collect()}

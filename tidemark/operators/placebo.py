@@ -91,8 +91,8 @@ class _Cells:
         return cell, at
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of up to about HELD rows; digests as two unsigned numbers a row."""
+def _columns(batches: Iterator[pa.RecordBatch], digests: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of about HELD rows, fewer if they have many digests; a digest as two unsigned numbers."""
 
     def joined() -> dict[str, np.ndarray]:
         out = {}
@@ -108,7 +108,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= HELD:
+        if sum(b.num_rows for b in held) >= HELD // digests:
             yield joined()
             held = []
     if held:
@@ -121,7 +121,7 @@ def _counts(rows: DataFrame, pairs: list[tuple[int, int]], cells: list[_Cells],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {p: np.zeros(cells[p[0]].first[-1], np.int64) for p in pairs}
-        for x in _columns(batches):
+        for x in _columns(batches, len(pairs)):
             for i, rep in pairs:
                 big = x[f"_n{i}"] > cells[i].rows
                 cell = cells[i].by_digest(x[f"_s{i}"][big], x[f"_n{i}"][big], x[f"_d{rep}"][big, 0])
@@ -156,7 +156,7 @@ def _round(rows: DataFrame, pairs: list[tuple[int, int]], cells: list[_Cells], k
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, i), pa.int32()), pa.array(np.full(n, rep), pa.int32()), pa.array(cell[cuts], pa.int32()), pa.array([own] * n), pa.array(blobs, pa.binary())], names=["i", "rep", "cell", "own", "data"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _columns(batches):
+        for x in _columns(batches, len(reps)):
             for i, rep in pairs:
                 start, size, digest = x[f"_s{i}"], x[f"_n{i}"], x[f"_d{rep}"]
                 data = np.empty(len(start), by_digest)
